@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlemill.functions import safe_div
-from candlemill.operators.keyed import KEY, nearest
+from candlemill.operators.keyed import KEY, nearest, with_nearest
 from candlemill.operators.windows import EXCLUDED_PREFIX
 from candlemill.params import ScreenParams
 
@@ -26,30 +26,31 @@ def distinct_statements(finance: DataFrame, params: ScreenParams) -> DataFrame:
 
 
 def finance_asof(screened: DataFrame, statements: DataFrame) -> DataFrame:
-    """Latest report date not after each (stock, trade date), NULL where there is none.
+    """Latest report date not after each distinct (stock, trade date), NULL where there is none.
 
     The report date decides, not the date of publication.
     """
-    dated = statements.withColumn("report_day", F.to_date("report_date", REPORT_FORMAT))
-    return nearest(
-        screened, dated.withColumnRenamed("report_date", "latest_report_date"),
-        ("trade_date", "report_day"), "latest_report_date",
-    )
+    return nearest(screened, _dated(statements), ("trade_date", "report_day"), "latest_report_date")
 
 
-def finance_yoy(screened: DataFrame, finance: DataFrame, params: ScreenParams) -> DataFrame:
-    """Latest and year-ago profit and revenue of each (stock, trade date), with the growth in percent.
+def with_report_date(screened: DataFrame, statements: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """All screened rows with their latest report date."""
+    return with_nearest(screened, _dated(statements), ("trade_date", "report_day"), "latest_report_date", hot)
+
+
+def statement_growth(statements: DataFrame) -> DataFrame:
+    """Each statement next to the one of a year ago, with the growth in percent.
 
-    The growth is joined at statement level first. Several versions of one statement give several rows.
+    Comparing statements with each other, before any signal comes in, keeps this join at the size of the statements.
+    Several versions of one statement give several rows.
     """
-    statements = distinct_statements(finance, params)
     year_ago = statements.select(
         KEY,
         F.col("report_date").alias("last_year_report_date"),
         F.col("R_np").alias("last_year_net_profit"),
         F.col("R_operating_total_revenue").alias("last_year_revenue"),
     )
-    compared = (
+    return (
         statements.withColumn("last_year_report_date", _year_before(F.col("report_date")))
         .join(year_ago, [KEY, "last_year_report_date"], "left")
         .select(
@@ -58,12 +59,27 @@ def finance_yoy(screened: DataFrame, finance: DataFrame, params: ScreenParams) -
             F.col("R_np").alias("latest_net_profit"),
             F.col("R_operating_total_revenue").alias("latest_revenue"),
             "last_year_report_date", "last_year_net_profit", "last_year_revenue",
+            _growth(F.col("R_np"), F.col("last_year_net_profit")).alias("net_profit_yoy"),
+            _growth(F.col("R_operating_total_revenue"), F.col("last_year_revenue")).alias("revenue_yoy"),
         )
-        .withColumn("net_profit_yoy", _growth(F.col("latest_net_profit"), F.col("last_year_net_profit")))
-        .withColumn("revenue_yoy", _growth(F.col("latest_revenue"), F.col("last_year_revenue")))
     )
-    return finance_asof(screened, statements).join(compared, [KEY, "latest_report_date"], "left").select(
-        KEY, "trade_date", *(c for c in compared.columns if c != KEY)
+
+
+def finance_yoy(screened: DataFrame, finance: DataFrame, params: ScreenParams) -> DataFrame:
+    """Latest and year-ago profit and revenue of each distinct (stock, trade date), with their growth."""
+    statements = distinct_statements(finance, params)
+    growth = statement_growth(statements)
+    return (
+        finance_asof(screened, statements)
+        .join(growth, [KEY, "latest_report_date"], "left")
+        .select(KEY, "trade_date", *(c for c in growth.columns if c != KEY))
+    )
+
+
+def _dated(statements: DataFrame) -> DataFrame:
+    return statements.select(
+        KEY, F.to_date("report_date", REPORT_FORMAT).alias("report_day"),
+        F.col("report_date").alias("latest_report_date"),
     )
 
 

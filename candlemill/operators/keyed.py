@@ -95,15 +95,29 @@ def nearest(left: DataFrame, right: DataFrame, on: tuple[str, str], value: str,
     with the date. Pairs are merged and scanned once, never joined with each other, and hold one row per calendar
     date and stock, so a window stays short whatever the number of rows behind it.
     """
-    left_date, right_date = on
+    points = left.select(KEY, on[0]).distinct()
+    return _scan(points, right, on, value, forward)
+
+
+def with_nearest(
+    left: DataFrame, right: DataFrame, on: tuple[str, str], value: str, hot: DataFrame | None = None
+) -> DataFrame:
+    """Every row of `left` with the backward as-of value. Reads `left` once, unless there are hot stocks."""
+    return route(
+        left, hot,
+        lambda rows: _scan(rows, right, on, value),
+        lambda rows: rows.join(nearest(rows, right, on, value), [KEY, on[0]], "left"),
+    )
+
+
+def _scan(points: DataFrame, right: DataFrame, on: tuple[str, str], value: str, forward: bool = False) -> DataFrame:
+    point_date, value_date = on
     pick = F.min if forward else F.max
-    points = left.select(KEY, F.col(left_date).alias("_day")).distinct()
-    values = right.groupBy(KEY, F.col(right_date).alias("_day")).agg(pick(value).alias(value))
-    merged = points.withColumn("_point", F.lit(1)).unionByName(
+    values = right.groupBy(KEY, F.col(value_date).alias("_day")).agg(pick(value).alias(value))
+    merged = points.withColumns({"_day": F.col(point_date), "_point": F.lit(1)}).unionByName(
         values.withColumn("_point", F.lit(0)), allowMissingColumns=True
     )
     # A value on the very date of a point counts backward and does not count forward, hence the order within a date.
     order = (F.col("_day").desc(), F.col("_point").desc()) if forward else (F.col("_day"), F.col("_point"))
     seen = Window.partitionBy(KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = merged.withColumn(value, pick(value).over(seen)).filter(F.col("_point") == 1)
-    return found.select(KEY, F.col("_day").alias(left_date), value)
+    return merged.withColumn(value, pick(value).over(seen)).filter(F.col("_point") == 1).drop("_day", "_point")

@@ -21,10 +21,14 @@ DRILLDOWN_COLUMNS = (
 )
 
 
+def dated_bars(bars: DataFrame, columns: Sequence[str] = BAR_COLUMNS) -> DataFrame:
+    """The columns in use, without rows that name no stock or no date."""
+    return bars.select(*columns).filter(F.col(KEY).isNotNull() & F.col("trade_date").isNotNull())
+
+
 def distinct_bars(bars: DataFrame, columns: Sequence[str] = BAR_COLUMNS) -> DataFrame:
-    """Bars without exact copies and without rows that name no stock or no date."""
-    dated = F.col(KEY).isNotNull() & F.col("trade_date").isNotNull()
-    return bars.select(*columns).filter(dated).distinct()
+    """Bars without exact copies; copies merge before the shuffle, so they may be any number."""
+    return dated_bars(bars, columns).distinct()
 
 
 def bar_order(columns: Sequence[str]) -> list[Column]:
@@ -40,35 +44,41 @@ def adjusted_bars(
 
     Factors need a stock's whole history, so date filters belong after this operator.
     """
-    rows = distinct_bars(bars, columns).withColumn(
-        "rise_fall", safe_div(F.col("close_price"), F.col("prev_close_price")) - 1
+    factored = route(
+        dated_bars(bars, columns), hot, lambda d: _factor_by_bar(d, columns), lambda d: _factor_by_day(d, columns)
     )
-    factored = route(rows, hot, lambda d: _factor_by_bar(d, columns), lambda d: _factor_by_day(d, columns))
     adjusted = factored.withColumn(
         "adj_close", F.col("factor") * safe_div(F.col("last_close"), F.col("last_factor"))
     )
     return adjusted.withColumns({
         f"adj_{name}": safe_div(F.col(f"{name}_price"), F.col("close_price")) * F.col("adj_close")
         for name in ("open", "high", "low", "prev_close")
-    }).drop("rise_fall", "last_close", "last_factor")
+    }).drop("last_close", "last_factor")
+
+
+def _log_rise() -> Column:
+    rise = safe_div(F.col("close_price"), F.col("prev_close_price")) - 1
+    return F.ln(1 + rise)
 
 
-def _factor_by_bar(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """All windows of a stock on one exchange and one sort."""
+def _factor_by_bar(bars: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Copies and all windows of a stock on one exchange and one sort."""
     to_date = Window.partitionBy(KEY).orderBy("trade_date")
     history = Window.partitionBy(KEY)
     factored = (
-        rows.repartition(KEY)
+        bars.repartition(KEY)
+        .distinct()
         .sortWithinPartitions(KEY, *bar_order(columns))
-        .withColumn("factor", F.exp(F.sum(F.ln(1 + F.col("rise_fall"))).over(to_date)))
+        .withColumn("factor", F.exp(F.sum(_log_rise()).over(to_date)))
     )
     return _last_of(factored, F.max(_ranked(columns, "trade_date", "factor")).over(history))
 
 
-def _factor_by_day(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+def _factor_by_day(bars: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The same through one row per stock and date: bars of a date share their factor, and dates are few."""
+    rows = bars.distinct()
     days = rows.groupBy(KEY, "trade_date").agg(
-        F.sum(F.ln(1 + F.col("rise_fall"))).alias("day_sum"), F.max(_ranked(columns)).alias("day_last")
+        F.sum(_log_rise()).alias("day_sum"), F.max(_ranked(columns)).alias("day_last")
     )
     to_date = Window.partitionBy(KEY).orderBy("trade_date")
     days = days.withColumn("factor", F.exp(F.sum("day_sum").over(to_date))).select(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlemill.functions import amplitude, amplitude_limit
-from candlemill.operators.finance import finance_yoy
+from candlemill.operators.finance import distinct_statements, statement_growth, with_report_date
 from candlemill.operators.keyed import KEY
 from candlemill.operators.windows import CAP_UNIT
 from candlemill.params import ScreenParams
@@ -36,24 +36,29 @@ def breakout_screen(stats: DataFrame, params: ScreenParams) -> DataFrame:
     return found.filter(F.col("has_gain") == 1) if params.require_gain else found
 
 
-def signals(screened: DataFrame, finance: DataFrame, params: ScreenParams) -> DataFrame:
+def signals(
+    screened: DataFrame, finance: DataFrame, params: ScreenParams, hot: DataFrame | None = None
+) -> DataFrame:
     """Screened bars with the growth of the latest statements, rounded; optionally only those that grew enough."""
-    growth = finance_yoy(screened, finance, params).select(
-        KEY, "trade_date", "latest_net_profit", "latest_revenue", "net_profit_yoy", "revenue_yoy"
+    statements = distinct_statements(finance, params)
+    bars = screened.select(
+        KEY, "stock_name", "trade_date", "adj_close", "max_close", "float_cap", "total_cap",
+        "industry_level1", "industry_level2", "industry_level3",
+    )
+    joined = with_report_date(bars, statements, hot).join(
+        statement_growth(statements), [KEY, "latest_report_date"], "left"
     )
-    joined = screened.select(
-        *(c for c in ("stock_name", "adj_close", "max_close", "float_cap", "total_cap") + SIGNAL_COLUMNS[-3:]),
-        KEY, "trade_date",
-    ).join(growth, [KEY, "trade_date"], "left")
     if params.require_growth:
         joined = joined.filter(
             (F.col("net_profit_yoy") >= params.profit_growth) & (F.col("revenue_yoy") >= params.revenue_growth)
         )
-    return joined.withColumns({
-        "adj_close": F.round("adj_close", 2),
-        "support_price": F.round("max_close", 2),
-        "float_cap": F.round("float_cap", 2),
-        "total_cap": F.round("total_cap", 2),
-        "latest_net_profit": F.round(F.col("latest_net_profit") / CAP_UNIT, 2),
-        "latest_revenue": F.round(F.col("latest_revenue") / CAP_UNIT, 2),
-    }).select(*SIGNAL_COLUMNS)
+    return joined.select(
+        KEY, "stock_name", "trade_date",
+        F.round("adj_close", 2).alias("adj_close"),
+        F.round("max_close", 2).alias("support_price"),
+        F.round("float_cap", 2).alias("float_cap"),
+        F.round("total_cap", 2).alias("total_cap"),
+        F.round(F.col("latest_net_profit") / CAP_UNIT, 2).alias("latest_net_profit"),
+        F.round(F.col("latest_revenue") / CAP_UNIT, 2).alias("latest_revenue"),
+        "net_profit_yoy", "revenue_yoy", "industry_level1", "industry_level2", "industry_level3",
+    )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from candlemill.operators.keyed import find_hot
 from candlemill.operators.prices import adjusted_bars
 from candlemill.operators.screen import breakout_screen
+from candlemill.operators.support import number_bars, support_window_bars
 from candlemill.operators.windows import rolling_stats
 from candlemill.params import ScreenParams, TradeParams
 from candlemill.schemas import TARGET_HEADERS
@@ -121,6 +122,12 @@ class Market:
         """Rolling statistics with support dates, written because the support windows read them twice."""
         return self._once("windows", lambda: keep(self.stats(with_support_date=True), "windows"))
 
+    @property
+    def limited(self) -> DataFrame:
+        """Numbered bars of the support windows, written because dips and trades look into them several times."""
+        bars = support_window_bars(self.windows, SCREEN, TRADE)
+        return self._once("limited", lambda: keep(number_bars(bars, self.hot), "limited"))
+
     def target_file(self) -> DataFrame:
         """All signals in the layout of a target file, codes in upper case."""
         date, code, name, price = TARGET_HEADERS

@@ -18,7 +18,7 @@ from candlemill.operators import lookups
 from candlemill.operators.prices import distinct_bars, drilldown
 from candlemill.operators.report import REPORT_NAMES, pnl_report, position_ledger
 from candlemill.operators.screen import SIGNAL_COLUMNS, amplitude_ok, breakout_screen, signals
-from candlemill.operators.support import find_dips, number_bars, support_window_bars
+from candlemill.operators.support import find_dips, support_window_bars
 from candlemill.operators.thinning import drop_consecutive_higher, thin_signals
 from candlemill.operators.trades import apply_exit_rules, size_entries
 from candlemill.sources.sinks import display_report, display_signals
@@ -135,23 +135,18 @@ def _(m: Market) -> DataFrame:
     "select stock_code, trade_date, latest_report_date, latest_net_profit, latest_revenue, last_year_report_date, "
     "last_year_net_profit, last_year_revenue, net_profit_yoy, revenue_yoy from yoy", "yoy"))
 def _(m: Market) -> DataFrame:
-    found = fin.finance_yoy(breakout_screen(m.stats(), SCREEN), m.finance, SCREEN)
-    return found.select(
-        "stock_code", "trade_date", "latest_report_date", "latest_net_profit", "latest_revenue",
-        # The text of a year ago depends on the as-of date only, a missing statement leaves it NULL as well.
-        "last_year_report_date", "last_year_net_profit", "last_year_revenue", "net_profit_yoy", "revenue_yoy",
-    )
+    return fin.finance_yoy(breakout_screen(m.stats(), SCREEN), m.finance, SCREEN)
 
 
 @register("signals", sql(f"select {', '.join(SIGNAL_COLUMNS)} from sig", "sig"))
 def _(m: Market) -> DataFrame:
-    return signals(breakout_screen(m.stats(), SCREEN), m.finance, SCREEN)
+    return signals(breakout_screen(m.stats(), SCREEN), m.finance, SCREEN, m.hot)
 
 
 @register("signals_cond5", sql(
     f"select {', '.join(SIGNAL_COLUMNS)} from sig where net_profit_yoy >= -20 and revenue_yoy >= -20", "sig"))
 def _(m: Market) -> DataFrame:
-    return signals(breakout_screen(m.stats(), WITH_GROWTH), m.finance, WITH_GROWTH)
+    return signals(breakout_screen(m.stats(), WITH_GROWTH), m.finance, WITH_GROWTH, m.hot)
 
 
 @register("signals_display", sql(
@@ -160,7 +155,7 @@ def _(m: Market) -> DataFrame:
     'latest_revenue "季总营收(亿)", net_profit_yoy 净利润同比增长率, revenue_yoy 营收同比增长率, industry_level1 所属领域1, '
     "industry_level2 所属领域2, industry_level3 所属领域3 from sig", "sig"))
 def _(m: Market) -> DataFrame:
-    return display_signals(signals(breakout_screen(m.stats(), SCREEN), m.finance, SCREEN), SCREEN)
+    return display_signals(signals(breakout_screen(m.stats(), SCREEN), m.finance, SCREEN, m.hot), SCREEN)
 
 
 @register("business_day_gap", sql(
@@ -187,7 +182,7 @@ PREVIOUS = """, p as (
     f"{PREVIOUS} select {', '.join(SIGNAL_COLUMNS)} from g "
     "where not coalesce(gap = 1 and adj_close > close_before, false)", "sig"))
 def _(m: Market) -> DataFrame:
-    found = signals(breakout_screen(m.stats(), SCREEN), m.finance, SCREEN)
+    found = signals(breakout_screen(m.stats(), SCREEN), m.finance, SCREEN, m.hot)
     return drop_consecutive_higher(found, m.hot)
 
 
@@ -206,7 +201,7 @@ CHAIN = """, n as (select *, row_number() over (partition by stock_code order by
     f"{CHAIN} select {', '.join('n.' + c for c in SIGNAL_COLUMNS)} from n join k on k.stock_code = n.stock_code "
     "and k.i = n.i where k.i = 1 or (k.is_anchor and k.next_is)", "sig"))
 def _(m: Market) -> DataFrame:
-    found = signals(breakout_screen(m.stats(), SCREEN), m.finance, SCREEN)
+    found = signals(breakout_screen(m.stats(), SCREEN), m.finance, SCREEN, m.hot)
     return thin_signals(found, SCREEN.range_days)
 
 
@@ -219,10 +214,6 @@ def _(m: Market) -> DataFrame:
     return support_window_bars(m.windows, SCREEN, TRADE).select(*LIMITED)
 
 
-def _numbered(m: Market) -> DataFrame:
-    return number_bars(support_window_bars(m.windows, SCREEN, TRADE), m.hot)
-
-
 @register("target_list", sql(
     "select breakthrough_date, stock_code, stock_name, adj_stock_price, list_pos from tgt", "tgt"))
 def _(m: Market) -> DataFrame:
@@ -237,7 +228,7 @@ def _(m: Market) -> DataFrame:
        where b.adj_support_price <> 0 and c.adj_high >= b.adj_support_price
          and c.adj_low * 0.995e0 <= b.adj_support_price and c.adj_close > b.adj_support_price""", "tgt", "num"))
 def _(m: Market) -> DataFrame:
-    return find_dips(_numbered(m), m.targets(), TRADE)
+    return find_dips(m.limited, m.targets(), TRADE)
 
 
 ENTRY = ("stock_code", "stock_name", "breakthrough_date", "list_pos", "entry_pos", "bought_date", "entry_open",
@@ -247,12 +238,11 @@ ENTRY = ("stock_code", "stock_name", "breakthrough_date", "list_pos", "entry_pos
 @register("size_entries", sql(
     f"select {', '.join(ENTRY)}, cost, cost_price, cost_price * 0.95e0 stop_price from pos", "pos"))
 def _(m: Market) -> DataFrame:
-    return size_entries(_numbered(m), m.targets(), TRADE).select(*ENTRY, "cost", "cost_price", "stop_price")
+    return size_entries(m.limited, m.targets(), TRADE).select(*ENTRY, "cost", "cost_price", "stop_price")
 
 
 def _positions(m: Market) -> DataFrame:
-    numbered = _numbered(m)
-    return apply_exit_rules(size_entries(numbered, m.targets(), TRADE), numbered, TRADE)
+    return apply_exit_rules(size_entries(m.limited, m.targets(), TRADE), m.limited, TRADE)
 
 
 SALES = ("half_shares", "half_price", "half_bar_close", "exit_shares", "exit_price", "exit_bar_close")
