@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from candlemill.sources.shared import keep
@@ -38,7 +38,7 @@ def route(
     return usual(df.join(hot, KEY, "left_anti")).unionByName(split(df.join(hot, KEY, "left_semi")))
 
 
-def number_rows(df: DataFrame, order: Sequence[Column], name: str, key: str | None = None) -> DataFrame:
+def number_rows(df: DataFrame, order: Sequence[str], name: str, key: str | None = None) -> DataFrame:
     """Number the rows 1..n in `order`, per `key` when given, with no task holding more than one range of them.
 
     `order` must start with the key. A range partition is a run of consecutive rows, so a row's number is its number
@@ -58,7 +58,7 @@ def number_rows(df: DataFrame, order: Sequence[Column], name: str, key: str | No
 
 def windowed(
     df: DataFrame,
-    order: Sequence[Column],
+    order: Sequence[str],
     back: int,
     build: Callable[[DataFrame, WindowSpec], DataFrame],
     number: str,
@@ -76,7 +76,7 @@ def windowed(
 
     def split(rows: DataFrame) -> DataFrame:
         size = max(segment_rows, back)
-        numbered = number_rows(rows, [F.col(KEY), *order], number, KEY)
+        numbered = number_rows(rows, [KEY, *order], number, KEY)
         first = F.floor((F.col(number) - 1) / size)
         last = F.floor((F.col(number) - 1 + back) / size)
         copies = numbered.withColumn(_SEGMENT, F.explode(F.sequence(first, last))).withColumn(

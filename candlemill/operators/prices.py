@@ -31,10 +31,14 @@ def distinct_bars(bars: DataFrame, columns: Sequence[str] = BAR_COLUMNS) -> Data
     return dated_bars(bars, columns).distinct()
 
 
-def bar_order(columns: Sequence[str]) -> list[Column]:
+def bar_order(columns: Sequence[str]) -> list[str]:
     """Total order of a stock's bars: by date, then by the other columns where one date has several versions."""
-    rest = [c for c in BAR_COLUMNS + DRILLDOWN_COLUMNS if c in columns and c not in (KEY, "trade_date")]
-    return [F.col("trade_date"), *(F.col(c).asc_nulls_last() for c in dict.fromkeys(rest))]
+    return ["trade_date", *_other_columns(columns)]
+
+
+def _other_columns(columns: Sequence[str]) -> list[str]:
+    known = dict.fromkeys(BAR_COLUMNS + DRILLDOWN_COLUMNS)
+    return [c for c in known if c in columns and c not in (KEY, "trade_date")]
 
 
 def adjusted_bars(
@@ -99,8 +103,7 @@ def _last_of(df: DataFrame, last: Column) -> DataFrame:
 
 def _ranked(columns: Sequence[str], *first: str) -> Column:
     """Columns by which a stock's last bar is chosen."""
-    rest = [c for c in BAR_COLUMNS + DRILLDOWN_COLUMNS if c in columns and c not in (KEY, "trade_date")]
-    return F.struct(*first, *dict.fromkeys(rest))
+    return F.struct(*first, *_other_columns(columns))
 
 
 def drilldown(bars: DataFrame, code: str, first_day: date, day: date) -> DataFrame:

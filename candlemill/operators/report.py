@@ -117,6 +117,6 @@ def pnl_total(rows: DataFrame) -> DataFrame:
 
 def pnl_report(ledger: DataFrame) -> DataFrame:
     """Numbered per-stock rows followed by the total row, which has no number."""
-    numbered = number_rows(pnl_rows(ledger), [F.col(KEY), F.col("stock_name")], "no")
+    numbered = number_rows(pnl_rows(ledger), [KEY, "stock_name"], "no")
     columns = [*REPORT_NAMES, "is_profit"]
     return numbered.select(*columns).unionByName(pnl_total(numbered), allowMissingColumns=True).select(*columns)

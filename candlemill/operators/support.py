@@ -51,7 +51,7 @@ def number_bars(
     limited: DataFrame, hot: DataFrame | None = None, segment_rows: int = SEGMENT_ROWS
 ) -> DataFrame:
     """Add `pos`, the position of each bar among its stock's limited bars, from 1."""
-    return windowed(limited, [F.col("rn")], 0, lambda rows, _: rows, "pos", hot, segment_rows)
+    return windowed(limited, ["rn"], 0, lambda rows, _: rows, "pos", hot, segment_rows)
 
 
 def find_dips(numbered: DataFrame, targets: DataFrame, trade: TradeParams) -> DataFrame:

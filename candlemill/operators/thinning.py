@@ -72,6 +72,5 @@ def _anchors(dates: Column, range_days: int) -> Column:
     return F.aggregate(dates, F.array().cast("array<date>"), step)
 
 
-def _order(signals: DataFrame) -> list[Column]:
-    rest = [c for c in signals.columns if c not in (KEY, "trade_date")]
-    return [F.col("trade_date"), *(F.col(c).asc_nulls_last() for c in rest)]
+def _order(signals: DataFrame) -> list[str]:
+    return ["trade_date", *(c for c in signals.columns if c not in (KEY, "trade_date"))]
