@@ -19,6 +19,7 @@ from candlemill.params import ScreenParams, TradeParams
 from candlemill.schemas import TARGET_HEADERS
 from candlemill.sources.shared import keep
 from candlemill.sources.targets import read_targets
+from fixtures.files import write_bar_files
 
 SCREEN = ScreenParams(earliest=datetime(1996, 1, 1))
 TRADE = TradeParams()
@@ -86,9 +87,9 @@ class Market:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
-        self._tables: dict[str, DataFrame | None] = {}
+        self._tables: dict[str, object] = {}
 
-    def _once(self, name: str, make) -> DataFrame | None:
+    def _once(self, name: str, make):
         if name not in self._tables:
             self._tables[name] = make()
         return self._tables[name]
@@ -107,6 +108,10 @@ class Market:
     def finance(self) -> DataFrame:
         return self._once("finance", lambda: keep(self._derive(FINANCE_SQL), "finance"))
 
+    @property
+    def bar_files(self) -> str:
+        return self._once("bar_files", lambda: write_bar_files(self.bars))
+
     @property
     def hot(self) -> DataFrame | None:
         return self._once("hot", lambda: find_hot(self.bars))

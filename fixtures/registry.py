@@ -21,6 +21,7 @@ from candlemill.operators.screen import SIGNAL_COLUMNS, amplitude_ok, breakout_s
 from candlemill.operators.support import find_dips, support_window_bars
 from candlemill.operators.thinning import drop_consecutive_higher, thin_signals
 from candlemill.operators.trades import apply_exit_rules, size_entries
+from candlemill.sources.csv_files import accepted, read_bar_files
 from candlemill.sources.sinks import display_report, display_signals
 from fixtures.market import SCREEN, TRADE, Market, market
 from fixtures.oracle import sql
@@ -75,6 +76,20 @@ def _(m: Market) -> DataFrame:
     )
 
 
+FLAGS = ("hs300_component", "gem_component")
+
+
+@register("bar_csv_ingest", sql(
+    f"select stock_code, stock_name, trade_date, {rounds(*RAW, 'turnover')}, volume, {INDUSTRY}, "
+    f"{', '.join(f'cast(cast(volume as bigint) % 2 = 0 as integer) {c}' for c in FLAGS)}, "
+    "cast(null as double) net_assets from bars", "bars"))
+def _(m: Market) -> DataFrame:
+    return accepted(read_bar_files(m.spark, m.bar_files)).select(
+        "stock_code", "stock_name", "trade_date", *rounded(*RAW, "turnover"), "volume", *INDUSTRY.split(", "),
+        *FLAGS, "net_assets",
+    )
+
+
 @register("adjusted_bars", sql(
     f"select stock_code, trade_date, round(factor, 6) factor, {rounds(*ADJ)} from adj", "adj"))
 def _(m: Market) -> DataFrame:
