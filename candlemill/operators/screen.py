@@ -25,15 +25,20 @@ def amplitude_ok(params: ScreenParams) -> Column:
     return amplitude(F.col("max_high"), F.col("min_low"), F.col("first_open")) <= limit
 
 
-def breakout_screen(stats: DataFrame, params: ScreenParams) -> DataFrame:
-    """Bars that close more than one percent above the previous highest close under the other conditions."""
+def is_breakout(params: ScreenParams) -> Column:
+    """Whether a bar closes more than one percent above the previous highest close, under the other conditions."""
     found = (
-        stats.filter(F.col("rn") > params.history_bars)
-        .filter(F.col("adj_close") > F.col("max_close") * BREAKOUT_MARGIN)
-        .filter(amplitude_ok(params))
-        .filter(F.col("float_cap").between(params.min_cap, params.max_cap))
+        (F.col("rn") > params.history_bars)
+        & (F.col("adj_close") > F.col("max_close") * BREAKOUT_MARGIN)
+        & amplitude_ok(params)
+        & F.col("float_cap").between(params.min_cap, params.max_cap)
     )
-    return found.filter(F.col("has_gain") == 1) if params.require_gain else found
+    return found & (F.col("has_gain") == 1) if params.require_gain else found
+
+
+def breakout_screen(stats: DataFrame, params: ScreenParams) -> DataFrame:
+    """The bars that break out."""
+    return stats.filter(is_breakout(params))
 
 
 def signals(

@@ -2,28 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlemill.functions import day_number
-from candlemill.operators.keyed import KEY, SEGMENT_ROWS, windowed
-from candlemill.operators.screen import breakout_screen
+from candlemill.operators.keyed import KEY, SEGMENT_ROWS, route, windowed
+from candlemill.operators.prices import bar_order
+from candlemill.operators.screen import breakout_screen, is_breakout
 from candlemill.params import ScreenParams, TradeParams
+from candlemill.sources.shared import keep
 
 # Dip candidates are matched by price level first: prices within about two percent share a level.
 LEVEL_WIDTH = 0.02
 LEAST_PRICE = 1e-6
 
 
-def support_window_bars(stats: DataFrame, params: ScreenParams, trade: TradeParams) -> DataFrame:
+def support_window_bars(
+    stats: DataFrame, params: ScreenParams, trade: TradeParams, hot: DataFrame | None = None
+) -> DataFrame:
     """Bars within `days_limit` calendar days from the support date of any signal of their stock, prices rounded.
 
-    `stats` must carry `max_close_date`. It is read twice, so pass a written table. `rn` stays in the result: it orders
-    a stock's bars.
+    `stats` must carry `max_close_date`. `rn` stays in the result: it orders a stock's bars.
+    """
+    return route(
+        stats, hot,
+        lambda rows: _rounded(_covered_by_scan(rows, params, trade)),
+        lambda rows: _rounded(_covered_by_stretch(keep(rows, "hot_stats"), params, trade)),
+    )
+
+
+def _rounded(covered: DataFrame) -> DataFrame:
+    return covered.select(
+        KEY, "stock_name", "trade_date", "rn",
+        F.col("max_close_date").alias("adj_support_date"),
+        F.round("max_close", 2).alias("adj_support_price"),
+        *(F.round(f"adj_{p}", 2).alias(f"adj_{p}") for p in ("close", "high", "low", "open")),
+        "industry_level2", "industry_level3",
+    )
+
+
+def _covered_by_scan(stats: DataFrame, params: ScreenParams, trade: TradeParams) -> DataFrame:
+    """On the exchange and sort the statistics already have: no join and no second reading.
+
+    A signal lies at most `history_bars` bars after its support date. So a bar starts a window when one of that many
+    next bars is a signal that names its date, and a bar is covered when the last start up to its date is near enough.
+    """
+    next_bars = Window.partitionBy(KEY).orderBy(*bar_order(stats.columns)).rowsBetween(1, params.history_bars)
+    to_date = Window.partitionBy(KEY).orderBy("trade_date")
+    named = F.collect_set(F.when(is_breakout(params), F.col("max_close_date"))).over(next_bars)
+    day = F.col("trade_date")
+    return (
+        stats.withColumn("_named", named)
+        .withColumn("_start", F.max(F.when(F.array_contains("_named", day), day)).over(to_date))
+        .filter(F.datediff(day, F.col("_start")) <= trade.days_limit)
+    )
+
+
+def _covered_by_stretch(stats: DataFrame, params: ScreenParams, trade: TradeParams) -> DataFrame:
+    """By a join that also splits the bars of one stock.
+
+    Cut the calendar into stretches as long as a window. A window that covers a bar then starts either in the bar's own
+    stretch, not after the bar, or in the stretch before, late enough to reach it. The first start of the one and the
+    last start of the other decide, so one row per stock and stretch replaces a join over date ranges.
     """
-    # Cut the calendar into stretches as long as a window. A window that covers a bar then starts either in the bar's
-    # own stretch, not after the bar, or in the stretch before, late enough to reach it. The first start of the one
-    # and the last start of the other decide, so one row per stock and stretch replaces a join over date ranges.
     length = trade.days_limit + 1
     starts = breakout_screen(stats, params).select(KEY, F.col("max_close_date").alias("start"))
     own = starts.select(KEY, _stretch(F.col("start"), length), F.col("start").alias("own"))
@@ -32,19 +73,8 @@ def support_window_bars(stats: DataFrame, params: ScreenParams, trade: TradePara
         F.min("own").alias("first_own"), F.max("before").alias("last_before")
     )
     day = F.col("trade_date")
-    covered = (day >= F.col("first_own")) | (day <= F.date_add("last_before", trade.days_limit))
-    return (
-        stats.withColumn("stretch", _stretch(day, length))
-        .join(reach, [KEY, "stretch"])
-        .filter(covered)
-        .select(
-            KEY, "stock_name", "trade_date", "rn",
-            F.col("max_close_date").alias("adj_support_date"),
-            F.round("max_close", 2).alias("adj_support_price"),
-            *(F.round(f"adj_{p}", 2).alias(f"adj_{p}") for p in ("close", "high", "low", "open")),
-            "industry_level2", "industry_level3",
-        )
-    )
+    within = (day >= F.col("first_own")) | (day <= F.date_add("last_before", trade.days_limit))
+    return stats.withColumn("stretch", _stretch(day, length)).join(reach, [KEY, "stretch"]).filter(within)
 
 
 def number_bars(

@@ -27,20 +27,20 @@ def size_entries(numbered: DataFrame, targets: DataFrame, trade: TradeParams) ->
     """Enter each target on its stock's first limited bar after the breakthrough: half the cash at the open, half at
     the close, in lots of one hundred. `support` is the support price of the stock's first limited bar.
     """
-    entry_pos = nearest(targets, numbered, ("breakthrough_date", "trade_date"), "pos", forward=True)
-    support = numbered.filter(F.col("pos") == 1).select(KEY, F.col("adj_support_price").alias("support"))
-    entry_bar = numbered.select(
-        KEY, "pos", F.col("trade_date").alias("bought_date"),
+    bars = numbered.select(KEY, "trade_date", F.struct(
+        F.col("pos").alias("entry_pos"), F.col("trade_date").alias("bought_date"),
         F.col("adj_open").alias("entry_open"), F.col("adj_close").alias("entry_close"),
-    )
+    ).alias("entry"))
+    entry = nearest(targets, bars, ("breakthrough_date", "trade_date"), "entry", forward=True)
+    support = numbered.filter(F.col("pos") == 1).select(KEY, F.col("adj_support_price").alias("support"))
     half = trade.initial_cash * 0.5
     at_open, at_close = F.col("shares_at_open"), F.col("shares_at_close")
     return (
         targets.select(KEY, "stock_name", "breakthrough_date", "list_pos")
-        .join(entry_pos.filter(F.col("pos").isNotNull()), [KEY, "breakthrough_date"])
-        .join(entry_bar, [KEY, "pos"])
+        .join(entry.filter(F.col("entry").isNotNull()), [KEY, "breakthrough_date"])
         .join(support, KEY)
-        .withColumnRenamed("pos", "entry_pos")
+        .select("*", "entry.*")
+        .drop("entry")
         .withColumns({
             "shares_at_open": whole_lots(half, F.col("entry_open")),
             "shares_at_close": whole_lots(half, F.col("entry_close")),

@@ -19,10 +19,9 @@ def limited_bars(
 ) -> DataFrame:
     """Numbered support-window bars of the target stocks, written because both jobs look into them several times."""
     chosen = bars.join(targets.select(KEY).distinct(), KEY, "left_semi")
-    hot = find_hot(chosen, hot_rows)
+    hot = find_hot(bars, hot_rows)
     stats = rolling_stats(adjusted_bars(chosen, hot), params, hot, with_support_date=True)
-    windows = keep(stats, "windows")
-    return keep(number_bars(support_window_bars(windows, params, trade), hot), "limited")
+    return keep(number_bars(support_window_bars(stats, params, trade, hot), hot), "limited")
 
 
 def run_dips(

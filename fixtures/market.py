@@ -122,21 +122,18 @@ class Market:
     def stats(self, with_support_date: bool = False) -> DataFrame:
         return rolling_stats(self.adjusted(), SCREEN, self.hot, with_support_date)
 
-    @property
-    def windows(self) -> DataFrame:
-        """Rolling statistics with support dates, written because the support windows read them twice."""
-        return self._once("windows", lambda: keep(self.stats(with_support_date=True), "windows"))
+    def support_bars(self) -> DataFrame:
+        return support_window_bars(self.stats(with_support_date=True), SCREEN, TRADE, self.hot)
 
     @property
     def limited(self) -> DataFrame:
         """Numbered bars of the support windows, written because dips and trades look into them several times."""
-        bars = support_window_bars(self.windows, SCREEN, TRADE)
-        return self._once("limited", lambda: keep(number_bars(bars, self.hot), "limited"))
+        return self._once("limited", lambda: keep(number_bars(self.support_bars(), self.hot), "limited"))
 
     def target_file(self) -> DataFrame:
         """All signals in the layout of a target file, codes in upper case."""
         date, code, name, price = TARGET_HEADERS
-        return breakout_screen(self.windows, SCREEN).select(
+        return breakout_screen(self.stats(), SCREEN).select(
             F.date_format("trade_date", "yyyyMMdd").alias(date),
             F.upper("stock_code").alias(code),
             F.col("stock_name").alias(name),
@@ -144,9 +141,10 @@ class Market:
             F.datediff("trade_date", F.to_date(F.lit("1990-01-01"))).cast("long").alias("list_pos"),
         )
 
+    @property
     def targets(self) -> DataFrame:
         """Targets; within a stock they are listed by date."""
-        return read_targets(self.target_file())
+        return self._once("targets", lambda: read_targets(keep(self.target_file(), "targets")))
 
 
 _markets: dict[tuple[str, str], Market] = {}

@@ -18,11 +18,12 @@ from candlemill.operators import lookups
 from candlemill.operators.prices import distinct_bars, drilldown
 from candlemill.operators.report import REPORT_NAMES, pnl_report, position_ledger
 from candlemill.operators.screen import SIGNAL_COLUMNS, amplitude_ok, breakout_screen, signals
-from candlemill.operators.support import find_dips, support_window_bars
+from candlemill.operators.support import find_dips
 from candlemill.operators.thinning import drop_consecutive_higher, thin_signals
 from candlemill.operators.trades import apply_exit_rules, size_entries
 from candlemill.sources.csv_files import accepted, read_bar_files
 from candlemill.sources.sinks import display_report, display_signals
+from candlemill.sources.targets import read_targets
 from fixtures.market import SCREEN, TRADE, Market, market
 from fixtures.oracle import sql
 
@@ -226,13 +227,13 @@ LIMITED = ("stock_code", "stock_name", "trade_date", "adj_support_date", "adj_su
 
 @register("support_window_bars", sql(f"select {', '.join(LIMITED)} from lim", "lim"))
 def _(m: Market) -> DataFrame:
-    return support_window_bars(m.windows, SCREEN, TRADE).select(*LIMITED)
+    return m.support_bars().select(*LIMITED)
 
 
 @register("target_list", sql(
     "select breakthrough_date, stock_code, stock_name, adj_stock_price, list_pos from tgt", "tgt"))
 def _(m: Market) -> DataFrame:
-    return m.targets()
+    return read_targets(m.target_file())
 
 
 @register("find_dips", sql(
@@ -243,7 +244,7 @@ def _(m: Market) -> DataFrame:
        where b.adj_support_price <> 0 and c.adj_high >= b.adj_support_price
          and c.adj_low * 0.995e0 <= b.adj_support_price and c.adj_close > b.adj_support_price""", "tgt", "num"))
 def _(m: Market) -> DataFrame:
-    return find_dips(m.limited, m.targets(), TRADE)
+    return find_dips(m.limited, m.targets, TRADE)
 
 
 ENTRY = ("stock_code", "stock_name", "breakthrough_date", "list_pos", "entry_pos", "bought_date", "entry_open",
@@ -253,11 +254,11 @@ ENTRY = ("stock_code", "stock_name", "breakthrough_date", "list_pos", "entry_pos
 @register("size_entries", sql(
     f"select {', '.join(ENTRY)}, cost, cost_price, cost_price * 0.95e0 stop_price from pos", "pos"))
 def _(m: Market) -> DataFrame:
-    return size_entries(m.limited, m.targets(), TRADE).select(*ENTRY, "cost", "cost_price", "stop_price")
+    return size_entries(m.limited, m.targets, TRADE).select(*ENTRY, "cost", "cost_price", "stop_price")
 
 
 def _positions(m: Market) -> DataFrame:
-    return apply_exit_rules(size_entries(m.limited, m.targets(), TRADE), m.limited, TRADE)
+    return apply_exit_rules(size_entries(m.limited, m.targets, TRADE), m.limited, TRADE)
 
 
 SALES = ("half_shares", "half_price", "half_bar_close", "exit_shares", "exit_price", "exit_bar_close")

@@ -97,10 +97,12 @@ def test_signals_and_thinning(market, hot):
 
 
 def test_positions_and_dips(market, hot):
-    limited = support_window_bars(market.windows, SCREEN, TRADE)
+    stats = keep(market.stats(with_support_date=True), "stats")
+    limited = support_window_bars(stats, SCREEN, TRADE)
+    assert rows(limited) == rows(support_window_bars(stats, SCREEN, TRADE, hot))
     usual, split = number_bars(limited), number_bars(limited, hot, segment_rows=3)
     assert rows(usual.select("stock_code", "rn", "pos")) == rows(split.select("stock_code", "rn", "pos"))
-    assert rows(find_dips(usual, market.targets(), TRADE)) == rows(find_dips(split, market.targets(), TRADE))
+    assert rows(find_dips(usual, market.targets, TRADE)) == rows(find_dips(split, market.targets, TRADE))
 
 
 def test_nearest_by_brute_force(spark):

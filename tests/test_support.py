@@ -10,6 +10,7 @@ from candlemill import ScreenParams, TradeParams
 from candlemill.operators.support import find_dips, support_window_bars
 
 PARAMS = ScreenParams(earliest=datetime(2020, 1, 1), history_bars=2)
+LONG = replace(PARAMS, history_bars=15)
 TRADE = TradeParams()
 STATS = ("stock_code string, stock_name string, trade_date date, rn long, adj_close double, adj_high double, "
          "adj_low double, adj_open double, max_close double, max_close_date date, max_high double, min_low double, "
@@ -22,7 +23,7 @@ DAY = date(2024, 1, 1)
 def stats(spark, days, signals):
     """Flat bars on `days`; `signals` maps a day to its support day."""
     rows = [
-        ("sh900001", "n", d, 10 + i, 20.0 if d in signals else 10.0, 10.0, 10.0, 10.0, 10.0, signals.get(d, d),
+        ("sh900001", "n", d, 20 + i, 20.0 if d in signals else 10.0, 10.0, 10.0, 10.0, 10.0, signals.get(d, d),
          10.0, 10.0, 10.0, 100.0, 0, "b", "c")
         for i, d in enumerate(days)
     ]
@@ -31,20 +32,22 @@ def stats(spark, days, signals):
 
 def test_window_length(spark):
     days = [DAY + timedelta(days=d) for d in range(-5, 60)]
-    found = support_window_bars(stats(spark, days, {DAY + timedelta(days=9): DAY}), PARAMS, TRADE).collect()
+    found = support_window_bars(stats(spark, days, {DAY + timedelta(days=9): DAY}), LONG, TRADE).collect()
     kept = sorted(r.trade_date for r in found)
     assert (kept[0], kept[-1], len(kept)) == (DAY, date(2024, 2, 11), 42)
 
 
+@pytest.mark.parametrize("split", [False, True])
 @pytest.mark.parametrize("holding", [0, 1, 6, 40])
-def test_windows_by_loop(spark, holding):
+def test_windows_by_loop(spark, holding, split):
     rng = random.Random(holding)
     days = sorted(DAY + timedelta(days=d) for d in rng.sample(range(900), 300))
     signals = {}
     for i in rng.sample(range(20, 300), 12):
         signals[days[i]] = days[i - rng.randrange(1, 15)]
     trade = replace(TRADE, window_holding_days=holding)
-    found = support_window_bars(stats(spark, days, signals), PARAMS, trade).collect()
+    hot = spark.createDataFrame([("sh900001",)], "stock_code string") if split else None
+    found = support_window_bars(stats(spark, days, signals), LONG, trade, hot).collect()
     length = timedelta(days=holding + 1)
     assert sorted(r.trade_date for r in found) == [d for d in days if any(s <= d <= s + length for s in signals.values())]
     assert TradeParams(window_holding_days=None).days_limit == 41
