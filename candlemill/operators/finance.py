@@ -30,12 +30,12 @@ def finance_asof(screened: DataFrame, statements: DataFrame) -> DataFrame:
 
     The report date decides, not the date of publication.
     """
-    return nearest(screened, _dated(statements), ("trade_date", "report_day"), "latest_report_date")
+    return _with_text(nearest(screened, _report_days(statements), ("trade_date", "report_day"), "report_day"))
 
 
 def with_report_date(screened: DataFrame, statements: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """All screened rows with their latest report date."""
-    return with_nearest(screened, _dated(statements), ("trade_date", "report_day"), "latest_report_date", hot)
+    return _with_text(with_nearest(screened, _report_days(statements), ("trade_date", "report_day"), "report_day", hot))
 
 
 def statement_growth(statements: DataFrame) -> DataFrame:
@@ -76,11 +76,12 @@ def finance_yoy(screened: DataFrame, finance: DataFrame, params: ScreenParams) -
     )
 
 
-def _dated(statements: DataFrame) -> DataFrame:
-    return statements.select(
-        KEY, F.to_date("report_date", REPORT_FORMAT).alias("report_day"),
-        F.col("report_date").alias("latest_report_date"),
-    )
+def _report_days(statements: DataFrame) -> DataFrame:
+    return statements.select(KEY, F.to_date("report_date", REPORT_FORMAT).alias("report_day"))
+
+
+def _with_text(found: DataFrame) -> DataFrame:
+    return found.withColumn("latest_report_date", F.date_format("report_day", REPORT_FORMAT)).drop("report_day")
 
 
 def _year_before(report_date: Column) -> Column:

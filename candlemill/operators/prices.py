@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from candlemill.functions import safe_div
 from candlemill.operators.keyed import KEY, route
+from candlemill.sources.shared import keep
 
 BAR_COLUMNS = (
     "stock_code", "stock_name", "trade_date", "open_price", "close_price", "high_price", "low_price",
     "prev_close_price", "market_cap", "total_market_cap", "industry_level1", "industry_level2", "industry_level3",
 )
+# Total order of a stock's bars. `version` is a hash of a bar's other columns: it orders several versions of one date.
+BAR_ORDER = ("trade_date", "version")
 DRILLDOWN_COLUMNS = (
     "stock_code", "stock_name", "trade_date", "open_price", "close_price", "high_price", "low_price",
     "prev_close_price", "market_cap", "industry_level2", "industry_level3", "volume",
@@ -31,26 +34,14 @@ def distinct_bars(bars: DataFrame, columns: Sequence[str] = BAR_COLUMNS) -> Data
     return dated_bars(bars, columns).distinct()
 
 
-def bar_order(columns: Sequence[str]) -> list[str]:
-    """Total order of a stock's bars: by date, then by the other columns where one date has several versions."""
-    return ["trade_date", *_other_columns(columns)]
-
-
-def _other_columns(columns: Sequence[str]) -> list[str]:
-    known = dict.fromkeys(BAR_COLUMNS + DRILLDOWN_COLUMNS)
-    return [c for c in known if c in columns and c not in (KEY, "trade_date")]
-
-
 def adjusted_bars(
     bars: DataFrame, hot: DataFrame | None = None, columns: Sequence[str] = BAR_COLUMNS
 ) -> DataFrame:
-    """Distinct bars with `factor`, the running product of close to previous close, and the five adjusted prices.
+    """Distinct bars with `version`, `factor`, the running product of close to previous close, and the adjusted prices.
 
     Factors need a stock's whole history, so date filters belong after this operator.
     """
-    factored = route(
-        dated_bars(bars, columns), hot, lambda d: _factor_by_bar(d, columns), lambda d: _factor_by_day(d, columns)
-    )
+    factored = route(dated_bars(bars, columns), hot, _factor_by_bar, _factor_by_day)
     adjusted = factored.withColumn(
         "adj_close", F.col("factor") * safe_div(F.col("last_close"), F.col("last_factor"))
     )
@@ -65,45 +56,38 @@ def _log_rise() -> Column:
     return F.ln(1 + rise)
 
 
-def _factor_by_bar(bars: DataFrame, columns: Sequence[str]) -> DataFrame:
+def _factor_by_bar(bars: DataFrame) -> DataFrame:
     """Copies and all windows of a stock on one exchange and one sort."""
     to_date = Window.partitionBy(KEY).orderBy("trade_date")
-    history = Window.partitionBy(KEY)
+    last = F.max(F.struct(*BAR_ORDER, "close_price", "factor")).over(Window.partitionBy(KEY))
     factored = (
-        bars.repartition(KEY)
-        .distinct()
-        .sortWithinPartitions(KEY, *bar_order(columns))
+        _versioned(bars.repartition(KEY).distinct())
+        .sortWithinPartitions(KEY, *BAR_ORDER)
         .withColumn("factor", F.exp(F.sum(_log_rise()).over(to_date)))
     )
-    return _last_of(factored, F.max(_ranked(columns, "trade_date", "factor")).over(history))
+    return factored.withColumn("_last", last).select(
+        *factored.columns, F.col("_last.close_price").alias("last_close"), F.col("_last.factor").alias("last_factor")
+    )
 
 
-def _factor_by_day(bars: DataFrame, columns: Sequence[str]) -> DataFrame:
+def _factor_by_day(bars: DataFrame) -> DataFrame:
     """The same through one row per stock and date: bars of a date share their factor, and dates are few."""
-    rows = bars.distinct()
+    rows = keep(_versioned(bars.distinct()), "hot_bars")
     days = rows.groupBy(KEY, "trade_date").agg(
-        F.sum(_log_rise()).alias("day_sum"), F.max(_ranked(columns)).alias("day_last")
+        F.sum(_log_rise()).alias("log_rise"), F.max(F.struct("version", "close_price")).alias("bar")
     )
     to_date = Window.partitionBy(KEY).orderBy("trade_date")
-    days = days.withColumn("factor", F.exp(F.sum("day_sum").over(to_date))).select(
-        KEY, "trade_date", "factor", F.struct("trade_date", "factor", "day_last.*").alias("day_last")
+    days = days.select(KEY, "trade_date", "bar", F.exp(F.sum("log_rise").over(to_date)).alias("factor"))
+    last = F.max(F.struct("trade_date", "bar.close_price", "factor")).over(Window.partitionBy(KEY))
+    days = days.withColumn("_last", last).select(
+        KEY, "trade_date", "factor",
+        F.col("_last.close_price").alias("last_close"), F.col("_last.factor").alias("last_factor"),
     )
-    days = _last_of(days, F.max("day_last").over(Window.partitionBy(KEY))).drop("day_last")
     return rows.join(days, [KEY, "trade_date"])
 
 
-def _last_of(df: DataFrame, last: Column) -> DataFrame:
-    return (
-        df.withColumn("_last", last)
-        .withColumn("last_close", F.col("_last.close_price"))
-        .withColumn("last_factor", F.col("_last.factor"))
-        .drop("_last")
-    )
-
-
-def _ranked(columns: Sequence[str], *first: str) -> Column:
-    """Columns by which a stock's last bar is chosen."""
-    return F.struct(*first, *_other_columns(columns))
+def _versioned(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("version", F.xxhash64(*(c for c in rows.columns if c not in (KEY, "trade_date"))))
 
 
 def drilldown(bars: DataFrame, code: str, first_day: date, day: date) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from candlemill.functions import day_number
 from candlemill.operators.keyed import KEY, SEGMENT_ROWS, route, windowed
-from candlemill.operators.prices import bar_order
+from candlemill.operators.prices import BAR_ORDER
 from candlemill.operators.screen import breakout_screen, is_breakout
 from candlemill.params import ScreenParams, TradeParams
 from candlemill.sources.shared import keep
@@ -47,7 +47,7 @@ def _covered_by_scan(stats: DataFrame, params: ScreenParams, trade: TradeParams)
     A signal lies at most `history_bars` bars after its support date. So a bar starts a window when one of that many
     next bars is a signal that names its date, and a bar is covered when the last start up to its date is near enough.
     """
-    next_bars = Window.partitionBy(KEY).orderBy(*bar_order(stats.columns)).rowsBetween(1, params.history_bars)
+    next_bars = Window.partitionBy(KEY).orderBy(*BAR_ORDER).rowsBetween(1, params.history_bars)
     to_date = Window.partitionBy(KEY).orderBy("trade_date")
     named = F.collect_set(F.when(is_breakout(params), F.col("max_close_date"))).over(next_bars)
     day = F.col("trade_date")

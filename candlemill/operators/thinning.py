@@ -23,7 +23,9 @@ def drop_consecutive_higher(
         higher = F.col("adj_close") > F.lag("adj_close").over(window)
         return rows.withColumn("_dropped", F.coalesce((gap == 1) & higher, F.lit(False)))
 
-    marked = windowed(signals, _order(signals), 1, build, "_number", hot, segment_rows)
+    rest = [c for c in signals.columns if c not in (KEY, "trade_date")]
+    ordered = signals.withColumn("_version", F.xxhash64(*rest))
+    marked = windowed(ordered, ["trade_date", "_version"], 1, build, "_number", hot, segment_rows)
     return marked.filter(~F.col("_dropped")).select(*signals.columns)
 
 
@@ -70,7 +72,3 @@ def _anchors(dates: Column, range_days: int) -> Column:
         return F.when(far, F.concat(chain, F.array(day))).otherwise(chain)
 
     return F.aggregate(dates, F.array().cast("array<date>"), step)
-
-
-def _order(signals: DataFrame) -> list[str]:
-    return ["trade_date", *(c for c in signals.columns if c not in (KEY, "trade_date"))]

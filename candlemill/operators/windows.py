@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from candlemill.functions import safe_div
 from candlemill.operators.keyed import KEY, SEGMENT_ROWS, windowed
-from candlemill.operators.prices import bar_order
+from candlemill.operators.prices import BAR_ORDER
 from candlemill.params import ScreenParams
 
 EXCLUDED_PREFIX = "bj"
@@ -49,7 +49,7 @@ def rolling_stats(
             stats["_highest"] = F.max(F.when(F.col("adj_close").isNotNull(), dated)).over(previous)
         return rows.withColumns(stats)
 
-    stats = windowed(listed, bar_order(adjusted.columns), n, build, "rn", hot, segment_rows).withColumns({
+    stats = windowed(listed, BAR_ORDER, n, build, "rn", hot, segment_rows).withColumns({
         "float_cap": F.col("market_cap") / CAP_UNIT,
         "total_cap": F.col("total_market_cap") / CAP_UNIT,
     })

@@ -12,7 +12,7 @@ from candlemill.operators.support import find_dips, support_window_bars
 PARAMS = ScreenParams(earliest=datetime(2020, 1, 1), history_bars=2)
 LONG = replace(PARAMS, history_bars=15)
 TRADE = TradeParams()
-STATS = ("stock_code string, stock_name string, trade_date date, rn long, adj_close double, adj_high double, "
+STATS = ("stock_code string, stock_name string, trade_date date, version long, rn long, adj_close double, adj_high double, "
          "adj_low double, adj_open double, max_close double, max_close_date date, max_high double, min_low double, "
          "first_open double, float_cap double, has_gain int, industry_level2 string, industry_level3 string")
 NUMBERED = ("stock_code string, trade_date date, pos long, adj_support_price double, adj_support_date date, "
@@ -23,7 +23,7 @@ DAY = date(2024, 1, 1)
 def stats(spark, days, signals):
     """Flat bars on `days`; `signals` maps a day to its support day."""
     rows = [
-        ("sh900001", "n", d, 20 + i, 20.0 if d in signals else 10.0, 10.0, 10.0, 10.0, 10.0, signals.get(d, d),
+        ("sh900001", "n", d, 0, 20 + i, 20.0 if d in signals else 10.0, 10.0, 10.0, 10.0, 10.0, signals.get(d, d),
          10.0, 10.0, 10.0, 100.0, 0, "b", "c")
         for i, d in enumerate(days)
     ]
