@@ -31,3 +31,8 @@ def statements_between(finance: DataFrame, first: str, last: str) -> DataFrame:
 def row_count(table: DataFrame) -> DataFrame:
     """Number of rows as a one-row table."""
     return table.agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def preview(table: DataFrame, n: int = 5) -> DataFrame:
+    """The first rows of an ordered table."""
+    return table.limit(n)

@@ -21,6 +21,8 @@ from candlemill.operators.screen import SIGNAL_COLUMNS, amplitude_ok, breakout_s
 from candlemill.operators.support import find_dips
 from candlemill.operators.thinning import drop_consecutive_higher, thin_signals
 from candlemill.operators.trades import apply_exit_rules, size_entries
+from candlemill.plans.evaluate import run_dips, run_trades
+from candlemill.plans.screen import run_screen
 from candlemill.sources.csv_files import accepted, read_bar_files
 from candlemill.sources.sinks import display_report, display_signals
 from candlemill.sources.targets import read_targets
@@ -299,8 +301,11 @@ REPORT_SQL = f"""
 
 
 def _report(m: Market) -> DataFrame:
+    return _shown(pnl_report(position_ledger(_positions(m), TRADE)))
+
+
+def _shown(report: DataFrame) -> DataFrame:
     money = {c: F.round(c, 4) for c in MONEY}
-    report = pnl_report(position_ledger(_positions(m), TRADE))
     return report.withColumns({**money, "cost_price": F.round("cost_price", 9),
                                "profit_percent": F.round("profit_percent", 8)})
 
@@ -335,6 +340,14 @@ def _(m: Market) -> DataFrame:
     return lookups.bars_between(m.bars, FIRST_DAY, LAST_DAY).withColumn("close_price", F.round("close_price", 2))
 
 
+@register("bars_preview", sql(
+    f"select trade_date, round(close_price, 2) close_price, volume from bars where trade_date between "
+    f"date '{FIRST_DAY}' and date '{LAST_DAY}' order by trade_date, stock_code, bars.close_price, volume limit 5", "bars"))
+def _(m: Market) -> DataFrame:
+    found = lookups.preview(lookups.bars_between(m.bars, FIRST_DAY, LAST_DAY))
+    return found.withColumn("close_price", F.round("close_price", 2))
+
+
 @register("statements_between", sql(
     "select stock_code, report_date, B_total_assets, B_total_liab, B_total_owner_equity from fin "
     "where report_date between '19970601' and '19971231'", "fin"))
@@ -345,3 +358,26 @@ def _(m: Market) -> DataFrame:
 @register("row_count", sql("select count(*) n_rows from bars", "bars"))
 def _(m: Market) -> DataFrame:
     return lookups.row_count(m.bars)
+
+
+# The complete jobs, from the two tables and the target list.
+
+
+@register("screen_job", ORACLES["drop_consecutive_higher"])
+def _(m: Market) -> DataFrame:
+    return run_screen(m.bars, m.finance, SCREEN)
+
+
+@register("screen_job_rule_1_2", ORACLES["thin_signals"])
+def _(m: Market) -> DataFrame:
+    return run_screen(m.bars, m.finance, replace(SCREEN, thinning="1.2"))
+
+
+@register("dip_job", ORACLES["find_dips"])
+def _(m: Market) -> DataFrame:
+    return run_dips(m.bars, m.targets, SCREEN, TRADE)
+
+
+@register("trade_job", ORACLES["pnl_report"])
+def _(m: Market) -> DataFrame:
+    return _shown(run_trades(m.bars, m.targets, SCREEN, TRADE))
