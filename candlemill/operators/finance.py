@@ -33,9 +33,9 @@ def finance_asof(screened: DataFrame, statements: DataFrame) -> DataFrame:
     return _with_text(nearest(screened, _report_days(statements), ("trade_date", "report_day"), "report_day"))
 
 
-def with_report_date(screened: DataFrame, statements: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def with_report_date(screened: DataFrame, statements: DataFrame, split: bool = False) -> DataFrame:
     """All screened rows with their latest report date."""
-    return _with_text(with_nearest(screened, _report_days(statements), ("trade_date", "report_day"), "report_day", hot))
+    return _with_text(with_nearest(screened, _report_days(statements), ("trade_date", "report_day"), "report_day", split))
 
 
 def statement_growth(statements: DataFrame) -> DataFrame:

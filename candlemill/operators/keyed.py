@@ -1,8 +1,9 @@
 """Ordered work per stock that also holds when one stock has too many rows for a task.
 
-Most stocks fit a task, so their windows run on one hash exchange by `stock_code`. The stocks `find_hot` reports are
-range partitioned over all their rows instead: every row gets its exact number, and windows that look a fixed number
-of rows back run on fixed-size segments which start with copies of the rows they look back to.
+Most stocks fit a task, so their windows run on one hash exchange by `stock_code`. The stocks `find_hot` reports go
+through the same operators with `split=True`. There rows are range partitioned over all their columns in order, every
+row gets its exact number, and windows that look a fixed number of rows back run on fixed-size segments which start
+with copies of the rows they look back to. `by_size` parts the bars once and joins the results.
 """
 
 from __future__ import annotations
@@ -26,16 +27,11 @@ def find_hot(df: DataFrame, limit: int = HOT_ROWS) -> DataFrame | None:
     return None if hot.isEmpty() else keep(hot, "hot_stocks")
 
 
-def route(
-    df: DataFrame,
-    hot: DataFrame | None,
-    usual: Callable[[DataFrame], DataFrame],
-    split: Callable[[DataFrame], DataFrame],
-) -> DataFrame:
-    """Send the rows of hot stocks through `split`, all others through `usual`."""
+def by_size(df: DataFrame, hot: DataFrame | None, chain: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+    """Run a chain of operators, called with rows and `split`, once on the hot stocks and once on all others."""
     if hot is None:
-        return usual(df)
-    return usual(df.join(hot, KEY, "left_anti")).unionByName(split(df.join(hot, KEY, "left_semi")))
+        return chain(df, False)
+    return chain(df.join(hot, KEY, "left_anti"), False).unionByName(chain(df.join(hot, KEY, "left_semi"), True))
 
 
 def number_rows(df: DataFrame, order: Sequence[str], name: str, key: str | None = None) -> DataFrame:
@@ -62,7 +58,7 @@ def windowed(
     back: int,
     build: Callable[[DataFrame, WindowSpec], DataFrame],
     number: str,
-    hot: DataFrame | None = None,
+    split: bool = False,
     segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Number each stock's rows in `order` and add the window columns of `build`, which look at most `back` rows back.
@@ -70,22 +66,18 @@ def windowed(
     `build` gets the numbered rows and the window of a stock or of a segment.
     """
 
-    def usual(rows: DataFrame) -> DataFrame:
+    if not split:
         window = Window.partitionBy(KEY).orderBy(*order)
-        return build(rows.withColumn(number, F.row_number().over(window).cast("long")), window)
-
-    def split(rows: DataFrame) -> DataFrame:
-        size = max(segment_rows, back)
-        numbered = number_rows(rows, [KEY, *order], number, KEY)
-        first = F.floor((F.col(number) - 1) / size)
-        last = F.floor((F.col(number) - 1 + back) / size)
-        copies = numbered.withColumn(_SEGMENT, F.explode(F.sequence(first, last))).withColumn(
-            _COPY, F.col(_SEGMENT) != first
-        )
-        window = Window.partitionBy(KEY, _SEGMENT).orderBy(number)
-        return build(copies, window).filter(~F.col(_COPY)).drop(_SEGMENT, _COPY)
-
-    return route(df, hot, usual, split)
+        return build(df.withColumn(number, F.row_number().over(window).cast("long")), window)
+    size = max(segment_rows, back)
+    numbered = number_rows(df, [KEY, *order], number, KEY)
+    first = F.floor((F.col(number) - 1) / size)
+    last = F.floor((F.col(number) - 1 + back) / size)
+    copies = numbered.withColumn(_SEGMENT, F.explode(F.sequence(first, last))).withColumn(
+        _COPY, F.col(_SEGMENT) != first
+    )
+    window = Window.partitionBy(KEY, _SEGMENT).orderBy(number)
+    return build(copies, window).filter(~F.col(_COPY)).drop(_SEGMENT, _COPY)
 
 
 def nearest(left: DataFrame, right: DataFrame, on: tuple[str, str], value: str, forward: bool = False) -> DataFrame:
@@ -100,14 +92,12 @@ def nearest(left: DataFrame, right: DataFrame, on: tuple[str, str], value: str,
 
 
 def with_nearest(
-    left: DataFrame, right: DataFrame, on: tuple[str, str], value: str, hot: DataFrame | None = None
+    left: DataFrame, right: DataFrame, on: tuple[str, str], value: str, split: bool = False
 ) -> DataFrame:
-    """Every row of `left` with the backward as-of value. Reads `left` once, unless there are hot stocks."""
-    return route(
-        left, hot,
-        lambda rows: _scan(rows, right, on, value),
-        lambda rows: rows.join(nearest(rows, right, on, value), [KEY, on[0]], "left"),
-    )
+    """Every row of `left` with the backward as-of value. Reads `left` once unless its stocks are split."""
+    if not split:
+        return _scan(left, right, on, value)
+    return left.join(nearest(left, right, on, value), [KEY, on[0]], "left")
 
 
 def _scan(points: DataFrame, right: DataFrame, on: tuple[str, str], value: str, forward: bool = False) -> DataFrame:

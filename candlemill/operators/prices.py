@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlemill.functions import safe_div
-from candlemill.operators.keyed import KEY, route
+from candlemill.operators.keyed import KEY
 from candlemill.sources.shared import keep
 
 BAR_COLUMNS = (
@@ -34,14 +34,13 @@ def distinct_bars(bars: DataFrame, columns: Sequence[str] = BAR_COLUMNS) -> Data
     return dated_bars(bars, columns).distinct()
 
 
-def adjusted_bars(
-    bars: DataFrame, hot: DataFrame | None = None, columns: Sequence[str] = BAR_COLUMNS
-) -> DataFrame:
+def adjusted_bars(bars: DataFrame, split: bool = False, columns: Sequence[str] = BAR_COLUMNS) -> DataFrame:
     """Distinct bars with `version`, `factor`, the running product of close to previous close, and the adjusted prices.
 
     Factors need a stock's whole history, so date filters belong after this operator.
     """
-    factored = route(dated_bars(bars, columns), hot, _factor_by_bar, _factor_by_day)
+    rows = dated_bars(bars, columns)
+    factored = _factor_by_day(rows) if split else _factor_by_bar(rows)
     adjusted = factored.withColumn(
         "adj_close", F.col("factor") * safe_div(F.col("last_close"), F.col("last_factor"))
     )

@@ -42,7 +42,7 @@ def breakout_screen(stats: DataFrame, params: ScreenParams) -> DataFrame:
 
 
 def signals(
-    screened: DataFrame, finance: DataFrame, params: ScreenParams, hot: DataFrame | None = None
+    screened: DataFrame, finance: DataFrame, params: ScreenParams, split: bool = False
 ) -> DataFrame:
     """Screened bars with the growth of the latest statements, rounded; optionally only those that grew enough."""
     statements = distinct_statements(finance, params)
@@ -50,7 +50,7 @@ def signals(
         KEY, "stock_name", "trade_date", "adj_close", "max_close", "float_cap", "total_cap",
         "industry_level1", "industry_level2", "industry_level3",
     )
-    joined = with_report_date(bars, statements, hot).join(
+    joined = with_report_date(bars, statements, split).join(
         statement_growth(statements), [KEY, "latest_report_date"], "left"
     )
     if params.require_growth:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlemill.functions import day_number
-from candlemill.operators.keyed import KEY, SEGMENT_ROWS, route, windowed
+from candlemill.operators.keyed import KEY, SEGMENT_ROWS, windowed
 from candlemill.operators.prices import BAR_ORDER
 from candlemill.operators.screen import breakout_screen, is_breakout
 from candlemill.params import ScreenParams, TradeParams
@@ -18,20 +18,16 @@ LEAST_PRICE = 1e-6
 
 
 def support_window_bars(
-    stats: DataFrame, params: ScreenParams, trade: TradeParams, hot: DataFrame | None = None
+    stats: DataFrame, params: ScreenParams, trade: TradeParams, split: bool = False
 ) -> DataFrame:
     """Bars within `days_limit` calendar days from the support date of any signal of their stock, prices rounded.
 
     `stats` must carry `max_close_date`. `rn` stays in the result: it orders a stock's bars.
     """
-    return route(
-        stats, hot,
-        lambda rows: _rounded(_covered_by_scan(rows, params, trade)),
-        lambda rows: _rounded(_covered_by_stretch(keep(rows, "hot_stats"), params, trade)),
-    )
-
-
-def _rounded(covered: DataFrame) -> DataFrame:
+    if split:
+        covered = _covered_by_stretch(keep(stats, "hot_stats"), params, trade)
+    else:
+        covered = _covered_by_scan(stats, params, trade)
     return covered.select(
         KEY, "stock_name", "trade_date", "rn",
         F.col("max_close_date").alias("adj_support_date"),
@@ -77,11 +73,9 @@ def _covered_by_stretch(stats: DataFrame, params: ScreenParams, trade: TradePara
     return stats.withColumn("stretch", _stretch(day, length)).join(reach, [KEY, "stretch"]).filter(within)
 
 
-def number_bars(
-    limited: DataFrame, hot: DataFrame | None = None, segment_rows: int = SEGMENT_ROWS
-) -> DataFrame:
+def number_bars(limited: DataFrame, split: bool = False, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Add `pos`, the position of each bar among its stock's limited bars, from 1."""
-    return windowed(limited, ["rn"], 0, lambda rows, _: rows, "pos", hot, segment_rows)
+    return windowed(limited, ["rn"], 0, lambda rows, _: rows, "pos", split, segment_rows)
 
 
 def find_dips(numbered: DataFrame, targets: DataFrame, trade: TradeParams) -> DataFrame:

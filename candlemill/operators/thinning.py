@@ -11,7 +11,7 @@ from candlemill.params import ScreenParams
 
 
 def drop_consecutive_higher(
-    signals: DataFrame, hot: DataFrame | None = None, segment_rows: int = SEGMENT_ROWS
+    signals: DataFrame, split: bool = False, segment_rows: int = SEGMENT_ROWS
 ) -> DataFrame:
     """Drop a signal one business day after the stock's previous signal when it closes higher.
 
@@ -25,7 +25,7 @@ def drop_consecutive_higher(
 
     rest = [c for c in signals.columns if c not in (KEY, "trade_date")]
     ordered = signals.withColumn("_version", F.xxhash64(*rest))
-    marked = windowed(ordered, ["trade_date", "_version"], 1, build, "_number", hot, segment_rows)
+    marked = windowed(ordered, ["trade_date", "_version"], 1, build, "_number", split, segment_rows)
     return marked.filter(~F.col("_dropped")).select(*signals.columns)
 
 
@@ -54,13 +54,11 @@ def thin_signals(signals: DataFrame, range_days: int) -> DataFrame:
     return kept.select(KEY, "day.trade_date", "day.first.*").select(*signals.columns)
 
 
-def apply_thinning(
-    signals: DataFrame, params: ScreenParams, hot: DataFrame | None = None
-) -> DataFrame:
+def apply_thinning(signals: DataFrame, params: ScreenParams, split: bool = False) -> DataFrame:
     """Thin by the rule the parameters name."""
     if params.thinning == "1.2":
         return thin_signals(signals, params.range_days)
-    return drop_consecutive_higher(signals, hot)
+    return drop_consecutive_higher(signals, split)
 
 
 def _anchors(dates: Column, range_days: int) -> Column:

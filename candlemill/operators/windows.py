@@ -18,7 +18,7 @@ FAR_DAY = "2100-01-01"
 def rolling_stats(
     adjusted: DataFrame,
     params: ScreenParams,
-    hot: DataFrame | None = None,
+    split: bool = False,
     with_support_date: bool = False,
     segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
@@ -49,7 +49,7 @@ def rolling_stats(
             stats["_highest"] = F.max(F.when(F.col("adj_close").isNotNull(), dated)).over(previous)
         return rows.withColumns(stats)
 
-    stats = windowed(listed, BAR_ORDER, n, build, "rn", hot, segment_rows).withColumns({
+    stats = windowed(listed, BAR_ORDER, n, build, "rn", split, segment_rows).withColumns({
         "float_cap": F.col("market_cap") / CAP_UNIT,
         "total_cap": F.col("total_market_cap") / CAP_UNIT,
     })

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from candlemill.operators.keyed import HOT_ROWS, find_hot
+from candlemill.operators.keyed import HOT_ROWS, by_size, find_hot
 from candlemill.operators.prices import adjusted_bars
 from candlemill.operators.screen import breakout_screen, signals
 from candlemill.operators.thinning import apply_thinning
@@ -12,7 +12,29 @@ from candlemill.operators.windows import rolling_stats
 from candlemill.params import ScreenParams
 
 
+def run_stats(
+    bars: DataFrame, params: ScreenParams, with_support_date: bool = False, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Rolling statistics of all bars."""
+    return by_size(
+        bars, find_hot(bars, hot_rows),
+        lambda rows, split: rolling_stats(adjusted_bars(rows, split), params, split, with_support_date),
+    )
+
+
+def run_signals(bars: DataFrame, finance: DataFrame, params: ScreenParams, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """All signals."""
+    return by_size(bars, find_hot(bars, hot_rows), lambda rows, split: _signals(rows, finance, params, split))
+
+
 def run_screen(bars: DataFrame, finance: DataFrame, params: ScreenParams, hot_rows: int = HOT_ROWS) -> DataFrame:
-    hot = find_hot(bars, hot_rows)
-    screened = breakout_screen(rolling_stats(adjusted_bars(bars, hot), params, hot), params)
-    return apply_thinning(signals(screened, finance, params, hot), params, hot)
+    """The signals the thinning rule leaves."""
+    return by_size(
+        bars, find_hot(bars, hot_rows),
+        lambda rows, split: apply_thinning(_signals(rows, finance, params, split), params, split),
+    )
+
+
+def _signals(bars: DataFrame, finance: DataFrame, params: ScreenParams, split: bool) -> DataFrame:
+    stats = rolling_stats(adjusted_bars(bars, split), params, split)
+    return signals(breakout_screen(stats, params), finance, params, split)

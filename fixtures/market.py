@@ -10,12 +10,12 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlemill.operators.keyed import find_hot
+from candlemill.operators.keyed import by_size, find_hot
 from candlemill.operators.prices import adjusted_bars
 from candlemill.operators.screen import breakout_screen
-from candlemill.operators.support import number_bars, support_window_bars
-from candlemill.operators.windows import rolling_stats
 from candlemill.params import ScreenParams, TradeParams
+from candlemill.plans.evaluate import limited_bars
+from candlemill.plans.screen import run_stats
 from candlemill.schemas import TARGET_HEADERS
 from candlemill.sources.shared import keep
 from candlemill.sources.targets import read_targets
@@ -112,23 +112,16 @@ class Market:
     def bar_files(self) -> str:
         return self._once("bar_files", lambda: write_bar_files(self.bars))
 
-    @property
-    def hot(self) -> DataFrame | None:
-        return self._once("hot", lambda: find_hot(self.bars))
-
     def adjusted(self) -> DataFrame:
-        return adjusted_bars(self.bars, self.hot)
+        return by_size(self.bars, find_hot(self.bars), adjusted_bars)
 
     def stats(self, with_support_date: bool = False) -> DataFrame:
-        return rolling_stats(self.adjusted(), SCREEN, self.hot, with_support_date)
-
-    def support_bars(self) -> DataFrame:
-        return support_window_bars(self.stats(with_support_date=True), SCREEN, TRADE, self.hot)
+        return run_stats(self.bars, SCREEN, with_support_date)
 
     @property
     def limited(self) -> DataFrame:
-        """Numbered bars of the support windows, written because dips and trades look into them several times."""
-        return self._once("limited", lambda: keep(number_bars(self.support_bars(), self.hot), "limited"))
+        """Numbered bars of the support windows of all signals."""
+        return self._once("limited", lambda: limited_bars(self.bars, self.targets, SCREEN, TRADE))
 
     def target_file(self) -> DataFrame:
         """All signals in the layout of a target file, codes in upper case."""

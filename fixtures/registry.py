@@ -17,12 +17,12 @@ from candlemill.operators import finance as fin
 from candlemill.operators import lookups
 from candlemill.operators.prices import distinct_bars, drilldown
 from candlemill.operators.report import REPORT_NAMES, pnl_report, position_ledger
-from candlemill.operators.screen import SIGNAL_COLUMNS, amplitude_ok, breakout_screen, signals
+from candlemill.operators.screen import SIGNAL_COLUMNS, amplitude_ok, breakout_screen
 from candlemill.operators.support import find_dips
-from candlemill.operators.thinning import drop_consecutive_higher, thin_signals
+from candlemill.operators.thinning import thin_signals
 from candlemill.operators.trades import apply_exit_rules, size_entries
-from candlemill.plans.evaluate import run_dips, run_trades
-from candlemill.plans.screen import run_screen
+from candlemill.plans.evaluate import run_dips, run_support_windows, run_trades
+from candlemill.plans.screen import run_screen, run_signals
 from candlemill.sources.csv_files import accepted, read_bar_files
 from candlemill.sources.sinks import display_report, display_signals
 from candlemill.sources.targets import read_targets
@@ -158,13 +158,13 @@ def _(m: Market) -> DataFrame:
 
 @register("signals", sql(f"select {', '.join(SIGNAL_COLUMNS)} from sig", "sig"))
 def _(m: Market) -> DataFrame:
-    return signals(breakout_screen(m.stats(), SCREEN), m.finance, SCREEN, m.hot)
+    return run_signals(m.bars, m.finance, SCREEN)
 
 
 @register("signals_cond5", sql(
     f"select {', '.join(SIGNAL_COLUMNS)} from sig where net_profit_yoy >= -20 and revenue_yoy >= -20", "sig"))
 def _(m: Market) -> DataFrame:
-    return signals(breakout_screen(m.stats(), WITH_GROWTH), m.finance, WITH_GROWTH, m.hot)
+    return run_signals(m.bars, m.finance, WITH_GROWTH)
 
 
 @register("signals_display", sql(
@@ -173,7 +173,7 @@ def _(m: Market) -> DataFrame:
     'latest_revenue "季总营收(亿)", net_profit_yoy 净利润同比增长率, revenue_yoy 营收同比增长率, industry_level1 所属领域1, '
     "industry_level2 所属领域2, industry_level3 所属领域3 from sig", "sig"))
 def _(m: Market) -> DataFrame:
-    return display_signals(signals(breakout_screen(m.stats(), SCREEN), m.finance, SCREEN, m.hot), SCREEN)
+    return display_signals(run_signals(m.bars, m.finance, SCREEN), SCREEN)
 
 
 @register("business_day_gap", sql(
@@ -200,8 +200,7 @@ PREVIOUS = """, p as (
     f"{PREVIOUS} select {', '.join(SIGNAL_COLUMNS)} from g "
     "where not coalesce(gap = 1 and adj_close > close_before, false)", "sig"))
 def _(m: Market) -> DataFrame:
-    found = signals(breakout_screen(m.stats(), SCREEN), m.finance, SCREEN, m.hot)
-    return drop_consecutive_higher(found, m.hot)
+    return run_screen(m.bars, m.finance, SCREEN)
 
 
 CHAIN = """, n as (select *, row_number() over (partition by stock_code order by trade_date) i from sig),
@@ -219,8 +218,7 @@ CHAIN = """, n as (select *, row_number() over (partition by stock_code order by
     f"{CHAIN} select {', '.join('n.' + c for c in SIGNAL_COLUMNS)} from n join k on k.stock_code = n.stock_code "
     "and k.i = n.i where k.i = 1 or (k.is_anchor and k.next_is)", "sig"))
 def _(m: Market) -> DataFrame:
-    found = signals(breakout_screen(m.stats(), SCREEN), m.finance, SCREEN, m.hot)
-    return thin_signals(found, SCREEN.range_days)
+    return thin_signals(run_signals(m.bars, m.finance, SCREEN), SCREEN.range_days)
 
 
 LIMITED = ("stock_code", "stock_name", "trade_date", "adj_support_date", "adj_support_price", "adj_close", "adj_high",
@@ -229,7 +227,7 @@ LIMITED = ("stock_code", "stock_name", "trade_date", "adj_support_date", "adj_su
 
 @register("support_window_bars", sql(f"select {', '.join(LIMITED)} from lim", "lim"))
 def _(m: Market) -> DataFrame:
-    return m.support_bars().select(*LIMITED)
+    return run_support_windows(m.bars, SCREEN, TRADE).select(*LIMITED)
 
 
 @register("target_list", sql(
@@ -363,9 +361,11 @@ def _(m: Market) -> DataFrame:
 # The complete jobs, from the two tables and the target list.
 
 
-@register("screen_job", ORACLES["drop_consecutive_higher"])
+@register("screen_job_with_growth", sql(
+    f"{PREVIOUS.replace('from sig', 'from (select * from sig where net_profit_yoy >= -20 and revenue_yoy >= -20)')} "
+    f"select {', '.join(SIGNAL_COLUMNS)} from g where not coalesce(gap = 1 and adj_close > close_before, false)", "sig"))
 def _(m: Market) -> DataFrame:
-    return run_screen(m.bars, m.finance, SCREEN)
+    return run_screen(m.bars, m.finance, WITH_GROWTH)
 
 
 @register("screen_job_rule_1_2", ORACLES["thin_signals"])

@@ -1,9 +1,9 @@
-"""The split path must give what the usual one gives; here every stock above a few rows counts as hot."""
+"""The split path must give what the usual one gives."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from candlemill.operators.keyed import find_hot, nearest, number_rows, with_nearest
+from candlemill.operators.keyed import by_size, find_hot, nearest, number_rows, with_nearest
 from candlemill.operators.prices import adjusted_bars
 from candlemill.operators.screen import breakout_screen, signals
 from candlemill.operators.support import find_dips, number_bars, support_window_bars
@@ -23,14 +23,6 @@ def rounded(df, *names):
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
-@pytest.fixture(scope="module")
-def hot(market):
-    """Half of the stocks."""
-    codes = sorted(r[0] for r in market.bars.select("stock_code").distinct().collect())
-    listed = market.spark.createDataFrame([(c,) for c in codes[::2]], "stock_code string")
-    return keep(listed, "hot")
-
-
 def test_find_hot(market):
     sizes = {r[0]: r[1] for r in market.bars.groupBy("stock_code").count().collect()}
     limit = sorted(sizes.values())[len(sizes) // 2]
@@ -39,6 +31,17 @@ def test_find_hot(market):
     assert find_hot(market.bars, max(sizes.values())) is None
 
 
+def test_by_size(market):
+    sizes = sorted(r[1] for r in market.bars.groupBy("stock_code").count().collect())
+    hot = find_hot(market.bars, sizes[4])
+    split = by_size(market.bars, hot, lambda rows, split: adjusted_bars(rows, split).withColumn("split", F.lit(split)))
+    assert rows(rounded(split.drop("split"), "factor", *PRICES)) == rows(rounded(adjusted_bars(market.bars).select(
+        *split.drop("split").columns), "factor", *PRICES))
+    codes = {r[0] for r in hot.collect()}
+    assert 0 < len(codes) < 10
+    assert all((r.stock_code in codes) == r.split for r in split.select("stock_code", "split").distinct().collect())
+
+
 def test_number_rows(market):
     numbered = number_rows(market.bars.select("stock_code", "trade_date").distinct(), ["stock_code", "trade_date"], "no")
     listed = sorted((r.no, r.stock_code, r.trade_date) for r in numbered.collect())
@@ -46,19 +49,19 @@ def test_number_rows(market):
     assert listed == sorted(listed, key=lambda r: r[1:])
 
 
-def test_prices(market, hot):
-    usual, split = adjusted_bars(market.bars), adjusted_bars(market.bars, hot)
+def test_prices(market):
+    usual, split = adjusted_bars(market.bars), adjusted_bars(market.bars, split=True)
     names = sorted(usual.columns)
     both = [rows(rounded(d.select(*names), "factor", *PRICES)) for d in (usual, split)]
     assert both[0] == both[1]
 
 
 @pytest.mark.parametrize("segment_rows", [1, 40, 64, 100_000])
-def test_windows(market, hot, segment_rows):
+def test_windows(market, segment_rows):
     adjusted = keep(market.adjusted(), "adjusted")
     names = ("max_close", "max_high", "min_low", "first_open")
     usual = rolling_stats(adjusted, SCREEN, with_support_date=True)
-    split = rolling_stats(adjusted, SCREEN, hot, with_support_date=True, segment_rows=segment_rows)
+    split = rolling_stats(adjusted, SCREEN, split=True, with_support_date=True, segment_rows=segment_rows)
     picked = ("stock_code", "trade_date", "rn", "has_gain", "max_close_date", *names)
     assert rows(usual.select(*picked)) == rows(split.select(*picked))
 
@@ -77,30 +80,29 @@ def test_versions_of_a_date(spark):
     from datetime import datetime
 
     bars = spark.createDataFrame(data * 2, list(BAR_COLUMNS))
-    hot = spark.createDataFrame([("sz000001",)], "stock_code string")
     params = replace(SCREEN, earliest=datetime(2024, 1, 5), history_bars=4)
     out = [
-        rows(rounded(rolling_stats(adjusted_bars(bars, h), params, h, True, segment_rows=5).select(
+        rows(rounded(rolling_stats(adjusted_bars(bars, split), params, split, True, segment_rows=5).select(
             "stock_name", "trade_date", "rn", "max_close_date", "has_gain", "max_close", "min_low", "factor"),
             "max_close", "min_low", "factor"))
-        for h in (None, hot)
+        for split in (False, True)
     ]
     assert len(out[0]) == 26 * 3
     assert out[0] == out[1]
 
 
-def test_signals_and_thinning(market, hot):
+def test_signals_and_thinning(market):
     screened = keep(breakout_screen(market.stats(), SCREEN), "screened")
-    usual, split = signals(screened, market.finance, SCREEN), signals(screened, market.finance, SCREEN, hot)
+    usual, split = signals(screened, market.finance, SCREEN), signals(screened, market.finance, SCREEN, split=True)
     assert rows(usual) == rows(split)
-    assert rows(drop_consecutive_higher(usual)) == rows(drop_consecutive_higher(split, hot, segment_rows=1))
+    assert rows(drop_consecutive_higher(usual)) == rows(drop_consecutive_higher(split, split=True, segment_rows=1))
 
 
-def test_positions_and_dips(market, hot):
+def test_positions_and_dips(market):
     stats = keep(market.stats(with_support_date=True), "stats")
     limited = support_window_bars(stats, SCREEN, TRADE)
-    assert rows(limited) == rows(support_window_bars(stats, SCREEN, TRADE, hot))
-    usual, split = number_bars(limited), number_bars(limited, hot, segment_rows=3)
+    assert rows(limited) == rows(support_window_bars(stats, SCREEN, TRADE, split=True))
+    usual, split = number_bars(limited), number_bars(limited, split=True, segment_rows=3)
     assert rows(usual.select("stock_code", "rn", "pos")) == rows(split.select("stock_code", "rn", "pos"))
     assert rows(find_dips(usual, market.targets, TRADE)) == rows(find_dips(split, market.targets, TRADE))
 
@@ -119,7 +121,6 @@ def test_nearest_by_brute_force(spark):
     ahead = {(c, d): min((v for k, o, v in right if k == c and o > d), default=None) for c, d in left}
     assert {(r[0], r[1]): r[2] for r in nearest(points, values, ("at", "on"), "v").collect()} == back
     assert {(r[0], r[1]): r[2] for r in nearest(points, values, ("at", "on"), "v", forward=True).collect()} == ahead
-    hot = spark.createDataFrame([("a",)], "stock_code string")
-    for h in (None, hot):
-        found = with_nearest(points, values, ("at", "on"), "v", h).select("stock_code", "at", "v").collect()
+    for split in (False, True):
+        found = with_nearest(points, values, ("at", "on"), "v", split).select("stock_code", "at", "v").collect()
         assert sorted(map(tuple, found), key=repr) == sorted(((c, d, back[c, d]) for c, d in left), key=repr)

@@ -46,8 +46,7 @@ def test_windows_by_loop(spark, holding, split):
     for i in rng.sample(range(20, 300), 12):
         signals[days[i]] = days[i - rng.randrange(1, 15)]
     trade = replace(TRADE, window_holding_days=holding)
-    hot = spark.createDataFrame([("sh900001",)], "stock_code string") if split else None
-    found = support_window_bars(stats(spark, days, signals), LONG, trade, hot).collect()
+    found = support_window_bars(stats(spark, days, signals), LONG, trade, split).collect()
     length = timedelta(days=holding + 1)
     assert sorted(r.trade_date for r in found) == [d for d in days if any(s <= d <= s + length for s in signals.values())]
     assert TradeParams(window_holding_days=None).days_limit == 41
