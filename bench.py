@@ -34,6 +34,8 @@ def session() -> SparkSession:
         .appName("bench")
         .config("spark.sql.shuffle.partitions", CPUS if CPUS.isdigit() else "8")
         .config("spark.driver.memory", "8g")
+        # A job compiles more classes than the default cache of 100 holds, so that repeated runs would start cold.
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")

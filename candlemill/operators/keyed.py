@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from candlemill.sources.shared import keep
@@ -27,6 +27,12 @@ def find_hot(df: DataFrame, limit: int = HOT_ROWS) -> DataFrame | None:
     return None if hot.isEmpty() else keep(hot, "hot_stocks")
 
 
+def row_hash(df: DataFrame, *leaving_out: str) -> Column:
+    """Hash of a row's other columns. Hashes pass over NULL, so which columns are NULL goes in as well."""
+    names = [c for c in df.columns if c not in leaving_out]
+    return F.xxhash64(*names, *(F.isnull(c) for c in names))
+
+
 def by_size(df: DataFrame, hot: DataFrame | None, chain: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
     """Run a chain of operators, called with rows and `split`, once on the hot stocks and once on all others."""
     if hot is None:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlemill.functions import safe_div
-from candlemill.operators.keyed import KEY
+from candlemill.operators.keyed import KEY, row_hash
 from candlemill.sources.shared import keep
 
 BAR_COLUMNS = (
@@ -86,7 +86,7 @@ def _factor_by_day(bars: DataFrame) -> DataFrame:
 
 
 def _versioned(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("version", F.xxhash64(*(c for c in rows.columns if c not in (KEY, "trade_date"))))
+    return rows.withColumn("version", row_hash(rows, KEY, "trade_date"))
 
 
 def drilldown(bars: DataFrame, code: str, first_day: date, day: date) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from candlemill.functions import business_day_gap
-from candlemill.operators.keyed import KEY, SEGMENT_ROWS, windowed
+from candlemill.operators.keyed import KEY, SEGMENT_ROWS, row_hash, windowed
 from candlemill.params import ScreenParams
 
 
@@ -23,8 +23,7 @@ def drop_consecutive_higher(
         higher = F.col("adj_close") > F.lag("adj_close").over(window)
         return rows.withColumn("_dropped", F.coalesce((gap == 1) & higher, F.lit(False)))
 
-    rest = [c for c in signals.columns if c not in (KEY, "trade_date")]
-    ordered = signals.withColumn("_version", F.xxhash64(*rest))
+    ordered = signals.withColumn("_version", row_hash(signals, KEY, "trade_date"))
     marked = windowed(ordered, ["trade_date", "_version"], 1, build, "_number", split, segment_rows)
     return marked.filter(~F.col("_dropped")).select(*signals.columns)
 

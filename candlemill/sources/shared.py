@@ -12,7 +12,7 @@ _local: list[tempfile.TemporaryDirectory] = []
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder named by spark.checkpoint.dir; a scratch folder when that is unset and Spark runs in one process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
