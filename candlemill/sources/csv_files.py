@@ -1,7 +1,7 @@
 """Vendor CSV files: a banner line, a header line, then rows; one file per stock in one of two encodings.
 
 Spark lists the files and hands each to a task whole, because one bad value or byte turns down the whole file for an
-encoding. A file holds one stock's days; the binary reader refuses one beyond 2 GiB, it does not cut it.
+encoding. Files above `WHOLE_BYTES` are split into batches of lines instead.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from candlemill.schemas import BAR_HEADERS, BAR_SCHEMA, FINANCE_HEADER_SUFFIX, FINANCE_TEXT, finance_schema
+from candlemill.sources.long_files import parse_long
 
 # Encodings in the order they are tried, and the ending of the statement files in use.
 BAR_ENCODINGS = ("utf-8", "gb2312")
@@ -27,17 +28,20 @@ FINANCE_ENDING = "_一般企业.csv"
 PATH, REASON = "source_path", "reject_reason"
 BATCH_ROWS = 20_000
 HEADER_FILES = 32
+WHOLE_BYTES = 256 * 1024 * 1024
 
 Columns = dict[str, list]
 
 
-def read_bar_files(spark: SparkSession, folder: str) -> DataFrame:
+def read_bar_files(spark: SparkSession, folder: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """Rows of all bar files of a folder, and one row with a reason for each file turned down."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
-    return _parse(files, _bar_columns, BAR_ENCODINGS, BAR_SCHEMA)
+    return _parse(files, _bar_columns, BAR_ENCODINGS, BAR_SCHEMA, whole_bytes)
 
 
-def read_finance_files(spark: SparkSession, folder: str, columns: Sequence[str] | None = None) -> DataFrame:
+def read_finance_files(
+    spark: SparkSession, folder: str, columns: Sequence[str] | None = None, whole_bytes: int = WHOLE_BYTES
+) -> DataFrame:
     """Rows of all statement files `{folder}/{code}/{code}_一般企业.csv`, and a row for each file turned down.
 
     The table has the given columns, or those of the first readable file. Other files are fitted to it: missing
@@ -45,7 +49,8 @@ def read_finance_files(spark: SparkSession, folder: str, columns: Sequence[str]
     """
     files = _finance_files(spark, folder)
     names = list(columns) if columns else _first_header(files)
-    return _parse(files, partial(_finance_columns, names=names), FINANCE_ENCODINGS, finance_schema(names))
+    parse = partial(_finance_columns, names=names)
+    return _parse(files, parse, FINANCE_ENCODINGS, finance_schema(names), whole_bytes)
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
@@ -69,11 +74,12 @@ def _first_header(files: DataFrame) -> list[str]:
     kind = T.StructType([T.StructField("names", T.ArrayType(T.StringType()))])
     seen = ""
     while True:
-        paths = [r.path for r in files.select("path").filter(F.col("path") > seen).orderBy("path").limit(HEADER_FILES).collect()]
+        later = files.select("path").filter(F.col("path") > seen).orderBy("path")
+        paths = [r.path for r in later.limit(HEADER_FILES).collect()]
         if not paths:
             raise ValueError("no readable statement file")
         found = (
-            _parse(files.filter(F.col("path").isin(paths)), _header_columns, FINANCE_ENCODINGS, kind)
+            _parse(files.filter(F.col("path").isin(paths)), _header_columns, FINANCE_ENCODINGS, kind, WHOLE_BYTES)
             .filter(F.col(REASON).isNull()).orderBy(PATH).limit(1).collect()
         )
         if found:
@@ -82,7 +88,7 @@ def _first_header(files: DataFrame) -> list[str]:
 
 
 def _parse(
-    files: DataFrame, parse: Callable[[str], Columns], encodings: Sequence[str], schema: T.StructType
+    files: DataFrame, parse: Callable[[str], Columns], encodings: Sequence[str], schema: T.StructType, whole_bytes: int
 ) -> DataFrame:
     tagged = T.StructType([*schema.fields, T.StructField(PATH, T.StringType()), T.StructField(REASON, T.StringType())])
     arrow = to_arrow_schema(tagged)
@@ -97,7 +103,16 @@ def _parse(
                 table = pa.table({**columns, **tags}, schema=arrow)
                 yield from table.to_batches(max_chunksize=BATCH_ROWS)
 
-    return files.select("path", "content").mapInArrow(read, tagged)
+    # The length is known from the listing: neither filter reads a file.
+    parsed = files.filter(F.col("length") <= whole_bytes).select("path", "content").mapInArrow(read, tagged)
+    long = [r.path for r in files.filter(F.col("length") > whole_bytes).select("path").collect()]
+    if not long:
+        return parsed
+
+    def read_lines(content: bytes, encoding: str) -> tuple[Columns | None, str | None]:
+        return _decode(content, parse, [encoding])
+
+    return parsed.unionByName(parse_long(files.sparkSession, long, read_lines, encodings, tagged))
 
 
 def _decode(content: bytes, parse: Callable[[str], Columns], encodings: Sequence[str]) -> tuple[Columns | None, str | None]:
@@ -105,7 +120,10 @@ def _decode(content: bytes, parse: Callable[[str], Columns], encodings: Sequence
     reasons = []
     for encoding in encodings:
         try:
-            return parse(content.decode(encoding)), None
+            columns = parse(content.decode(encoding))
+            if not next(iter(columns.values())):
+                raise ValueError("no rows")
+            return columns, None
         except (ValueError, StopIteration, csv.Error) as error:
             reasons.append(f"{encoding}: {error or 'no header line'}")
     return None, "; ".join(reasons)
@@ -145,7 +163,8 @@ def _finance_columns(text: str, names: Sequence[str]) -> Columns:
 
 
 def _header_columns(text: str) -> Columns:
-    return {"names": [_finance_rows(text)[0]]}
+    header, rows = _finance_rows(text)
+    return {"names": [header] if rows else []}
 
 
 def _finance_rows(text: str) -> tuple[list[str], list[list[str]]]:
@@ -165,10 +184,7 @@ def _finance_value(name: str, value: str | None) -> float | str | None:
 
 
 def _filled(reader: Iterator[list[str]]) -> list[list[str]]:
-    rows = [row for row in reader if row]
-    if not rows:
-        raise ValueError("no rows")
-    return rows
+    return [row for row in reader if row]
 
 
 def _cells(rows: list[list[str]], place: int) -> list[str | None]:

@@ -1,0 +1,84 @@
+"""Vendor files too long for one task: read as lines, which Spark splits, and parsed in batches of lines.
+
+A batch of lines with the file's header in front is a small file of its own, so the parser is the same. Whether an
+encoding suits a file still depends on all its lines: a batch that cannot be read turns the encoding down for the file.
+So does a batch with a quote left open, because a quoted line break may be cut by the split.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from candlemill.sources.shared import keep
+
+ENCODING = "_encoding"
+
+
+def parse_long(
+    spark: SparkSession, paths: Sequence[str], read, encodings: Sequence[str], tagged: T.StructType
+) -> DataFrame:
+    """Rows of the files under the first encoding that suits all of their lines, else one row with the reasons.
+
+    `read(content, encoding)` gives columns and a reason; `tagged` ends with the path and the reason.
+    """
+    path, reason = tagged.names[-2:]
+    tried = keep(_tried(_data_lines(spark, paths, path), read, encodings, tagged), "long_file_rows")
+    failures = tried.filter(F.col(reason).isNotNull()).groupBy(path, ENCODING).agg(F.min(reason).alias(reason))
+    # One row per file and encoding without failures; the smallest is the one to use.
+    seen = tried.select(path, ENCODING).distinct()
+    chosen = seen.join(failures, [path, ENCODING], "left_anti").groupBy(path).agg(F.min(ENCODING).alias(ENCODING))
+    rows = tried.join(chosen, [path, ENCODING]).select(*tagged.names)
+    turned_down = (
+        failures.join(chosen, path, "left_anti")
+        .groupBy(path)
+        .agg(F.concat_ws("; ", F.array_sort(F.collect_list(F.struct(ENCODING, reason)))[reason]).alias(reason))
+    )
+    return rows.unionByName(turned_down, allowMissingColumns=True)
+
+
+def _data_lines(spark: SparkSession, paths: Sequence[str], path: str) -> DataFrame:
+    """Lines from the third on, each with its file's header line. Lines stay bytes."""
+    lines = keep(
+        spark.read.text(list(paths)).select(
+            F.col("_metadata.file_path").alias(path),
+            (F.col("_metadata.file_block_start") == 0).alias("in_first_block"),
+            # Consecutive within a block, so the header's number follows the banner's.
+            F.monotonically_increasing_id().alias("line"),
+            F.col("value").cast("binary").alias("raw"),
+        ),
+        "long_files",
+    )
+    first = lines.filter("in_first_block").groupBy(path).agg((F.min("line") + 1).alias("header_line"))
+    headers = first.join(
+        lines.filter("in_first_block").select(path, F.col("line").alias("header_line"), F.col("raw").alias("header")),
+        [path, "header_line"],
+    )
+    below = ~F.col("in_first_block") | (F.col("line") > F.col("header_line"))
+    return lines.join(headers, path).filter(below & (F.length("raw") > 0)).select(path, "header", "raw")
+
+
+def _tried(lines: DataFrame, read, encodings: Sequence[str], tagged: T.StructType) -> DataFrame:
+    schema = T.StructType([*tagged.fields, T.StructField(ENCODING, T.IntegerType())])
+    arrow = to_arrow_schema(schema)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            triples = zip(*(column.to_pylist() for column in batch.columns))
+            for (path, header), run in groupby(triples, key=lambda t: t[:2]):
+                content = b"\n".join([b"", header, *(raw for *_, raw in run)])
+                open_quote = content.count(b'"') % 2
+                for number, encoding in enumerate(encodings):
+                    columns, reason = (None, "open quote") if open_quote else read(content, encoding)
+                    rows = len(next(iter(columns.values()))) if columns else 1
+                    columns = columns or {f.name: [None] for f in tagged.fields[:-2]}
+                    tags = {tagged.names[-2]: [path] * rows, tagged.names[-1]: [reason] * rows, ENCODING: [number] * rows}
+                    yield from pa.table({**columns, **tags}, schema=arrow).to_batches()
+
+    return lines.mapInArrow(parse, schema)

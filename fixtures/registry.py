@@ -87,7 +87,16 @@ FLAGS = ("hs300_component", "gem_component")
     f"{', '.join(f'cast(cast(volume as bigint) % 2 = 0 as integer) {c}' for c in FLAGS)}, "
     "cast(null as double) net_assets from bars", "bars"))
 def _(m: Market) -> DataFrame:
-    return accepted(read_bar_files(m.spark, m.bar_files)).select(
+    return _ingested(read_bar_files(m.spark, m.bar_files))
+
+
+@register("bar_csv_ingest_by_lines", ORACLES["bar_csv_ingest"])
+def _(m: Market) -> DataFrame:
+    return _ingested(read_bar_files(m.spark, m.bar_files, whole_bytes=0))
+
+
+def _ingested(parsed: DataFrame) -> DataFrame:
+    return accepted(parsed).select(
         "stock_code", "stock_name", "trade_date", *rounded(*RAW, "turnover"), "volume", *INDUSTRY.split(", "),
         *FLAGS, "net_assets",
     )

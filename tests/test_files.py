@@ -57,6 +57,30 @@ def test_bar_files(spark, folder):
     assert "09:55收盘价" in found["missing.csv"] and "ten" in found["number.csv"]
 
 
+def test_long_bar_files(spark, folder):
+    """Split into lines, the same files give the same rows."""
+    rows = [{**VALUES, "开盘价": str(i)} for i in range(30_000)]
+    bar_file(folder, "utf.csv", rows)
+    bar_file(folder, "gb.csv", rows[:9_000], "gb2312", tuple(reversed(BAR_HEADERS)), ",more")
+    bar_file(folder, "number.csv", [*rows, {**VALUES, "收盘价": "ten"}, *rows])
+    bar_file(folder, "missing.csv", rows, headers=tuple(BAR_HEADERS)[:-1])
+    (folder / "bytes.csv").write_bytes((folder / "utf.csv").read_bytes() + b"\xff\xff\xff\r\n")
+    bar_file(folder, "quote.csv", [{**VALUES, "股票名称": '"a'}])
+    bar_file(folder, "blank.csv", rows[:2], extra="\r\n\r\n")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300k")
+    try:
+        long = read_bar_files(spark, str(folder), whole_bytes=0)
+        short = read_bar_files(spark, str(folder)).filter(f"{PATH} not like '%quote.csv'")
+        assert accepted(long).count() == 39_002
+        assert accepted(long).exceptAll(accepted(short)).count() == accepted(short).exceptAll(accepted(long)).count() == 0
+        found = reasons(long)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert found.keys() == {"number.csv", "missing.csv", "bytes.csv", "quote.csv"}
+    assert "ten" in found["number.csv"] and "09:55收盘价" in found["missing.csv"] and "quote" in found["quote.csv"]
+
+
 def test_load_bars_replaces(spark, folder, tmp_path):
     table = str(tmp_path / "table")
     bar_file(folder, "a.csv")
@@ -86,6 +110,8 @@ def test_finance_files(spark, tmp_path):
     assert rows == [("sh600001", None, "x", None, 2.0), ("sh600001", "20240331", None, 1.5, None),
                     ("sh600002", None, None, 7.0, None)]
     assert reasons(parsed).keys() == {"sh600000_一般企业.csv"}
+    long = read_finance_files(spark, str(tmp_path), whole_bytes=0)
+    assert sorted(map(str, accepted(long).collect())) == sorted(map(str, accepted(parsed).collect()))
     fitted = accepted(read_finance_files(spark, str(tmp_path), ["stock_code", "new"]))
     assert {tuple(r) for r in fitted.collect()} == {("sh600001", None), ("sh600002", 1.0)}
 
