@@ -14,7 +14,7 @@ from candlemill.plans.screen import run_screen
 from fixtures.market import SCREEN, TRADE
 from fixtures.registry import DRILL_CODE, DRILL_DAY
 
-PYTHON_QUERIES = {"bar_csv_ingest", "apply_exit_rules", "position_ledger"}
+PYTHON_QUERIES = {"bar_csv_ingest", "bar_csv_ingest_by_lines", "apply_exit_rules", "position_ledger"}
 
 
 def plan(df):
