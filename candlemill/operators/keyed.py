@@ -100,10 +100,11 @@ def nearest(left: DataFrame, right: DataFrame, on: tuple[str, str], value: str,
 def with_nearest(
     left: DataFrame, right: DataFrame, on: tuple[str, str], value: str, split: bool = False
 ) -> DataFrame:
-    """Every row of `left` with the backward as-of value. Reads `left` once unless its stocks are split."""
+    """Every row of `left` with the backward as-of value."""
     if not split:
         return _scan(left, right, on, value)
-    return left.join(nearest(left, right, on, value), [KEY, on[0]], "left")
+    points = keep(left, "hot_points")
+    return points.join(nearest(points, right, on, value), [KEY, on[0]], "left")
 
 
 def _scan(points: DataFrame, right: DataFrame, on: tuple[str, str], value: str, forward: bool = False) -> DataFrame:
