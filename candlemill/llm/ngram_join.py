@@ -31,6 +31,9 @@ from candlemill.llm.scratch import Scratch
 from candlemill.llm.words import U, mix, shingles, split_words
 
 CHUNK = 1 << 14
+#: Bits of a document's parity bitmap, and of the filter that tells which documents' sets a verification needs.
+MAP_BITS = 1024
+WANTED_BITS = 1 << 23
 CARD = "doc_id long, n long, k1 long, k2 long, prefix array<long>, prefix_key long, bitmap array<long>"
 
 
@@ -88,14 +91,14 @@ def cards(docs: DataFrame, k: int, percent: int, ranks, bits: int) -> DataFrame:
                 n = len(found)
                 key = (rank[found >> U(64 - bits)].astype(U) << U(56)) | (found >> U(8))
                 key = np.sort(key)[: n - (n * percent + 99) // 100 + 1] if n else key
-                flips = np.bincount((found & U(255)).astype(np.int64), minlength=256) & 1
+                flips = np.bincount((found & U(MAP_BITS - 1)).astype(np.int64), minlength=MAP_BITS) & 1
                 rows.append(row)
                 sizes.append(n)
                 one.append(int(np.bitwise_xor.reduce(mix(found)).view(np.int64)) if n else 0)
                 two.append(int(np.add.reduce(mix(found ^ U(0xA5A5A5A5A5A5A5A5))).view(np.int64)) if n else 0)
                 prefixes.append(key.view(np.int64))
                 keys.append(int(np.add.reduce(mix(key)).view(np.int64)) if n else 0)
-                maps.append(np.packbits(flips.astype(np.uint8)).view("<i8") if n else np.zeros(4, np.int64))
+                maps.append(np.packbits(flips.astype(np.uint8)).view("<i8") if n else np.zeros(MAP_BITS // 64, np.int64))
                 if len(rows) >= 2000:
                     yield _card_batch(ids, rows, sizes, one, two, prefixes, keys, maps)
                     rows, sizes, one, two, prefixes, keys, maps = [], [], [], [], [], [], []
@@ -117,11 +120,26 @@ def _card_batch(ids, rows, sizes, one, two, prefixes, keys, maps) -> pa.RecordBa
     )
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, set): whole sets of shingles, for verification."""
+def wanted_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size in which every id of the table has a bit."""
+    place = F.pmod(F.xxhash64("id"), F.lit(WANTED_BITS))
+    words = ids.groupBy(F.floor(place / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits"))
+    held = np.zeros(WANTED_BITS // 64, np.int64)
+    for row in words.toLocalIterator():
+        held[row.w] = row.bits
+    return np.unpackbits(held.view(np.uint8), bitorder="little").astype(bool)
+
+
+def shingle_sets(docs: DataFrame, k: int, ids: DataFrame) -> DataFrame:
+    """(doc_id, set): whole sets of shingles of all documents in `ids`, and of a few others whose hash is the same.
+
+    The documents are told from the rest while they are read, so that no text is shuffled.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(wanted_filter(ids))
 
     def make(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(held.value[batch.column(2).to_numpy()]))
             rows, found = [], []
             for row, one in _sets(batch.column(1), k):
                 rows.append(row)
@@ -132,7 +150,8 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), _list(found)], ["doc_id", "set"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "doc_id long, set array<long>")
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(WANTED_BITS))
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("place")).mapInArrow(make, "doc_id long, set array<long>")
 
 
 def _may_reach(percent: int) -> F.Column:
@@ -148,10 +167,30 @@ def _may_reach(percent: int) -> F.Column:
 
 def _bitmaps_allow(percent: int) -> F.Column:
     """Sets differ in at least as many shingles as their parity bitmaps differ in bits."""
-    apart = sum(F.bit_count(F.col("a.bitmap")[i].bitwiseXOR(F.col("b.bitmap")[i])) for i in range(4))
+    apart = sum(F.bit_count(F.col("a.bitmap")[i].bitwiseXOR(F.col("b.bitmap")[i])) for i in range(MAP_BITS // 64))
     return apart * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent)
 
 
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Those of the pairs (a, b) of doc_ids whose whole sets are similar enough."""
+    pairs = scratch.keep(pairs, "pairs")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = scratch.keep(shingle_sets(docs, k, ids), "sets")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
+    both = both.withColumn("i", F.size(F.array_intersect("x", "y")))
+    good = scratch.keep(both.where(F.col("i") * 100 >= (F.size("x") + F.size("y") - F.col("i")) * percent).select("a", "b"), "good")
+    scratch.drop(sets, pairs)
+    return good
+
+
+def _filtered(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of two different documents, without those that bitmaps rule out or that links join already."""
+    left = pairs.join(facts.select(F.col("doc_id").alias("pa"), F.struct("doc_id", "label", "n", "bitmap").alias("a")), "pa")
+    right = facts.select(F.col("doc_id").alias("pb"), F.struct("doc_id", "label", "n", "bitmap").alias("b"))
+    allowed = (F.col("a.label") != F.col("b.label")) & _bitmaps_allow(percent)
+    return left.join(right, (left["pb"] == right["pb"]) & allowed).select("pa", right["pb"]).select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+
+
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = 20, star_rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of documents whose shingle sets have a Jaccard similarity of
     `percent` / 100 or more.
@@ -166,55 +205,48 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int
 
     keys = ["n", "k1", "k2"]
     lows = made.where("n > 0").groupBy(keys).agg(F.min("doc_id").alias("cls"))
-    members = scratch.keep(made.select("doc_id", *keys).join(lows, keys, "left").select("doc_id", "n", F.coalesce("cls", "doc_id").alias("cls")), "members")
-    firsts = members.where("n > 0").select("cls").distinct()
-    reps = made.where("n > 0").join(firsts, F.col("doc_id") == F.col("cls"), "left_semi").dropDuplicates(["doc_id"])
+    members = scratch.keep(made.select("doc_id", "prefix_key", *keys).join(lows, keys, "left").select("doc_id", "n", "prefix_key", F.coalesce("cls", "doc_id").alias("cls")), "members")
+    reps = members.where("n > 0 and doc_id = cls").select("doc_id", "n", "prefix_key").dropDuplicates(["doc_id"])
     group = reps.groupBy("n", "prefix_key").agg(F.min("doc_id").alias("gid"))
-    reps = scratch.keep(reps.join(group, ["n", "prefix_key"]).select("doc_id", "gid", "n", "bitmap", F.when(F.col("gid") == F.col("doc_id"), F.col("prefix")).alias("prefix")), "reps")
-    scratch.drop(made)
+    reps = scratch.keep(reps.join(group, ["n", "prefix_key"]).select("doc_id", "gid", "n"), "reps")
+    maps = scratch.keep(made.join(reps, ["doc_id", "n"], "left_semi").select("doc_id", "bitmap").dropDuplicates(["doc_id"]), "maps")
 
     # The smaller set of a pair shares a shingle in a shorter prefix still: the first n - ceil(2 t n / (1 + t)) + 1.
     early = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent)) + 1
-    rows = reps.where("prefix is not null").select("gid", "n", F.posexplode("prefix").alias("at", "key")).select("key", "gid", F.col("n").cast("int").alias("n"), "at", (F.col("at") < early).alias("early"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("c"), F.max("early").alias("any")).where("c > 1 and any").select("key")
-    posts = scratch.keep(rows.join(shared, "key"), "posts")
+    heads = made.select("doc_id", "n", "prefix").join(reps.where("gid = doc_id"), ["doc_id", "n"], "left_semi")
+    rows = heads.select(F.col("doc_id").alias("gid"), "n", F.posexplode("prefix").alias("at", "key"))
+    rows = rows.select("key", "gid", (F.col("n") * F.lit(1 << 32) + F.col("at") * 2 + (F.col("at") < early).cast("int")).alias("packed"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    posts = rows.join(shared, "key").select("key", "gid", F.shiftright("packed", 32).alias("n"), F.shiftright(F.col("packed").bitwiseAND(F.lit((1 << 32) - 1)), 1).alias("at"), (F.col("packed").bitwiseAND(F.lit(1)) == 1).alias("early"))
+    posts = scratch.keep(posts, "posts")
+    scratch.drop(made)
 
-    inner = reps.where("gid <> doc_id").select(F.col("gid"), F.col("doc_id"))
+    inner = reps.where("gid <> doc_id").select(F.col("gid").alias("pa"), F.col("doc_id").alias("pb"))
+    label = scratch.keep(reps.select("doc_id", F.col("doc_id").alias("label")), "label")
     links = None
-    label = reps.select("doc_id", F.col("doc_id").alias("label"))
-    sets = None
+    apart = ~((F.col("a.lo") == F.col("a.hi")) & (F.col("a.lo") == F.col("b.lo")) & (F.col("b.lo") == F.col("b.hi")))
     for turn in range(star_rounds + 1):
-        labels = scratch.keep(reps.drop("prefix").join(label, "doc_id"), "labels")
-        span = labels.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-        posted = posts.join(span, "gid") if turn else posts.withColumns({"lo": F.col("gid"), "hi": F.col("gid")})
-        band = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(100 / percent)))
+        facts = scratch.keep(reps.join(label, "doc_id").join(maps, "doc_id"), "facts")
+        span = facts.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        posted = posts.join(span, "gid")
         if turn < star_rounds:
-            posted = posted.withColumn("band", band)
+            posted = posted.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))))
             order = F.col("gid") if turn == 0 else F.xxhash64("gid", F.lit(turn))
             hub = posted.groupBy("key", "band").agg(F.min(F.struct(order.alias("o"), "gid", "n", "at", "early", "lo", "hi")).alias("h"), F.count("*").alias("c")).where("c > 1")
             hub = hub.select("key", "band", "h.gid", "h.n", "h.at", "h.early", "h.lo", "h.hi")
-            near = posted.alias("a").join(hub.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.gid") != F.col("b.gid")) & ~((F.col("a.lo") == F.col("a.hi")) & (F.col("a.lo") == F.col("b.lo")) & (F.col("b.lo") == F.col("b.hi"))) & _may_reach(percent))
-            pairs = near.select(F.least("a.gid", "b.gid").alias("a"), F.greatest("a.gid", "b.gid").alias("b")).distinct()
-            if turn == 0:
-                pairs = pairs.union(inner.select(F.col("gid").alias("a"), F.col("doc_id").alias("b")))
+            same = (F.col("a.key") == F.col("b.key")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.gid") != F.col("b.gid"))
+            near = posted.alias("a").join(hub.alias("b"), same & apart & _may_reach(percent))
+            pairs = near.select(F.least("a.gid", "b.gid").alias("pa"), F.greatest("a.gid", "b.gid").alias("pb")).distinct()
+            pairs = pairs.union(inner) if turn == 0 else pairs
         else:
-            near = posted.alias("a").join(posted.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.gid") < F.col("b.gid")) & ~((F.col("a.lo") == F.col("a.hi")) & (F.col("a.lo") == F.col("b.lo")) & (F.col("b.lo") == F.col("b.hi"))) & _may_reach(percent))
+            same = (F.col("a.key") == F.col("b.key")) & (F.col("a.gid") < F.col("b.gid"))
+            near = posted.alias("a").join(posted.alias("b"), same & apart & _may_reach(percent))
             groups = near.select(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb")).distinct()
-            within = span.where("lo <> hi").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
-            side = labels.select("gid", "doc_id", "label", "n", "bitmap")
-            left = groups.union(within).join(side.alias("a"), F.col("ga") == F.col("a.gid")).select("gb", F.struct("a.doc_id", "a.label", "a.n", "a.bitmap", "a.gid").alias("a"))
-            pairs = left.join(side.alias("b"), (F.col("gb") == F.col("b.gid")) & (F.col("a.label") != F.col("b.label")) & ((F.col("a.gid") != F.col("b.gid")) | (F.col("a.doc_id") < F.col("b.doc_id"))) & _bitmaps_allow(percent))
-            pairs = pairs.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
-        pairs = scratch.keep(pairs, "pairs")
-        if sets is None:
-            # Any document that may ever be compared: those of groups with a shared shingle, and of groups of several.
-            wanted = reps.join(posts.select("gid").distinct(), "gid", "left_semi").select("doc_id").union(inner.select("doc_id")).union(inner.select("gid")).distinct()
-            texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-            sets = scratch.keep(shingle_sets(texts, k).dropDuplicates(["doc_id"]), "sets")
-        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        good = both.withColumn("i", common).where(F.col("i") * 100 >= (F.size("x") + F.size("y") - F.col("i")) * percent).select("a", "b")
-        good = scratch.keep(good, "good")
+            groups = groups.union(span.where("lo <> hi").select(F.col("gid").alias("ga"), F.col("gid").alias("gb")))
+            side = reps.select("gid", "doc_id")
+            left = groups.join(side.select(F.col("gid").alias("ga"), F.col("doc_id").alias("pa")), "ga")
+            pairs = left.join(side.select(F.col("gid").alias("gb"), F.col("doc_id").alias("pb")), "gb").where("ga <> gb or pa < pb").select("pa", "pb")
+        good = _verified(_filtered(pairs, facts, percent), docs, k, percent, scratch)
         links = good if links is None else links.union(good)
         if turn < star_rounds:
             # Links so far put labels together part of the way, which is enough to leave pairs out.
@@ -222,7 +254,8 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int
             step = scratch.keep(label.join(step, "doc_id", "left").select("doc_id", F.least("label", F.coalesce("to", "label")).alias("label")), "step")
             far = step.select(F.col("doc_id").alias("via"), F.col("label").alias("end"))
             label = scratch.keep(step.join(far, F.col("label") == F.col("via"), "left").select("doc_id", F.coalesce("end", "label").alias("label")), "label")
+            scratch.drop(step, facts)
     joined = components(scratch, links)
-    scratch.drop(posts, sets, reps)
+    scratch.drop(posts, reps, maps)
     found = members.join(joined.select(F.col("id").alias("cls"), "component"), "cls", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.coalesce("component", "cls").alias("component_id"))
