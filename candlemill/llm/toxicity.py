@@ -1,6 +1,6 @@
 """Toxicity scores by subword bags.
 
-A word is the bag of its character 3- to 5-grams, between word marks, and of itself. Bags of windows of 32 words are
+A word is the bag of its character 3- to 5-grams, between word marks, and of itself. Bags of windows of 4 words are
 averaged and go through a linear softmax; embeddings and softmax are trained together in NumPy. A text's score is that of
 its worst window, so that a few words count in a long text too. In training, a text stands for the window that the
 model so far finds worst. Unseen misspellings share n-grams, and so vectors, with words that were learned.
@@ -24,11 +24,17 @@ from candlemill.llm.words import LOWER, U, Words, mix, split_words
 
 TABLE_BITS = 18
 SIZES = (3, 4, 5)
-WINDOW = 32
+WINDOW = 4
 DIMENSIONS = 12
-EPOCHS = 12
+EPOCHS = 8
+LEAST_STEPS = 1000
 BATCH = 64
-RATE = 0.02
+RATE = 0.05
+#: Embeddings move faster than the softmax, as the average over a bag makes their gradients small.
+GAIN = 100.0
+#: Texts that an n-gram must be in, and deviations above its expected texts of label 1, to count at the start.
+LEAST_TEXTS = 3
+CHANCE = 3.0
 SEED = 7
 OPEN, CLOSE = 0x02, 0x03  # marks around a word; they are no characters of texts
 
@@ -82,11 +88,6 @@ def _sums(values: np.ndarray, parts, count: int) -> np.ndarray:
     return total / np.maximum(size, 1)
 
 
-def _softmax_gain(logits: np.ndarray) -> np.ndarray:
-    e = np.exp(logits - logits.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
-
-
 def fit(texts: pa.Array, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Embeddings, softmax weights and biases."""
     size = 1 << TABLE_BITS
@@ -114,14 +115,22 @@ def fit(texts: pa.Array, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     has = np.flatnonzero(np.diff(limits) > 0)
     window_label = np.repeat(labels, np.diff(limits))
 
-    # Start from the windows with the n-grams that most favour label 1.
-    seen = [np.bincount(grams[np.repeat(window_label == y, sizes)], minlength=size) + 1.0 for y in (0, 1)]
-    lift = np.log(seen[1] / seen[1].sum()) - np.log(seen[0] / seen[0].sum())
-    lift = np.where(seen[0] + seen[1] >= 7, np.maximum(lift, 0), 0) ** 2
+    # Start from the windows with the n-grams that texts of label 1 have more often than chance explains. Those that
+    # are in hardly any text say nothing yet, and are left out of the bags.
+    text_of = np.repeat(np.repeat(np.arange(len(labels)), np.diff(limits)), sizes)
+    pairs = np.unique(grams.astype(np.int64) * len(labels) + text_of)
+    of_text = np.bincount(pairs // len(labels), minlength=size)
+    of_toxic = np.bincount(pairs // len(labels), weights=labels[pairs % len(labels)], minlength=size)
+    expected = of_text * share
+    values = np.maximum((of_toxic - expected) / np.sqrt(expected + 1) - CHANCE, 0) ** 2
+    del pairs, text_of
+    common = of_text >= LEAST_TEXTS
     embed = draw.uniform(-1, 1, (size, DIMENSIONS)).astype(np.float32) / DIMENSIONS
-    first, second, steps = [np.zeros_like(x) for x in (embed, weights, bias)], [np.zeros_like(x) for x in (embed, weights, bias)], 0
-    values = lift
-    for epoch in range(EPOCHS):
+    embed[~common] = 0
+    weights = draw.normal(0, 1, weights.shape).astype(np.float32)
+    steps = max(LEAST_STEPS, EPOCHS * len(has) // BATCH)
+    step = 0
+    while step < steps:
         score = np.add.reduceat(values[grams], begins) / np.maximum(sizes, 1)
         best = np.maximum.reduceat(score, limits[has])
         is_best = np.flatnonzero(score >= np.repeat(best, np.diff(limits)[has]))
@@ -130,34 +139,23 @@ def fit(texts: pa.Array, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         others = limits[has] + (draw.random(len(has)) * np.diff(limits)[has]).astype(np.int64)
         chosen = np.concatenate((top, others[labels[has] == 0]))
         draw.shuffle(chosen)
-        rate = RATE * (1 - epoch / EPOCHS)
         for at in range(0, len(chosen), BATCH):
             batch = chosen[at : at + BATCH]
             lengths = sizes[batch]
             owner = np.repeat(np.arange(len(batch)), lengths)
             index = grams[np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(begins[batch], lengths)]
             mean = np.add.reduceat(embed[index], np.cumsum(lengths) - lengths, axis=0) / lengths[:, None]
-            gain = _softmax_gain(mean @ weights + bias)
-            gain[np.arange(len(batch)), window_label[batch]] -= 1
-            gain = (gain / len(batch)).astype(np.float32)
-            if steps == 0:
-                weights[:] = draw.normal(0, 1, weights.shape)
-                continue_from = mean @ weights
-                gain = _softmax_gain(continue_from + bias)
-                gain[np.arange(len(batch)), window_label[batch]] -= 1
-                gain = (gain / len(batch)).astype(np.float32)
-            to_weights, to_bias = mean.T @ gain, gain.sum(0)
-            order = np.argsort(index, kind="stable")
-            sorted_index = index[order]
-            edge = np.flatnonzero(np.concatenate(([True], sorted_index[1:] != sorted_index[:-1])))
-            rows = sorted_index[edge]
-            to_rows = np.add.reduceat(((gain @ weights.T) / lengths[:, None])[owner[order]], edge, axis=0)
-            steps += 1
-            fix = np.sqrt(1 - 0.999**steps) / (1 - 0.9**steps)
-            for part, (param, grad, pick) in enumerate(((embed, to_rows, rows), (weights, to_weights, slice(None)), (bias, to_bias, slice(None)))):
-                m = first[part][pick] = 0.9 * first[part][pick] + 0.1 * grad
-                v = second[part][pick] = 0.999 * second[part][pick] + 0.001 * grad**2
-                param[pick] -= rate * fix * m / (np.sqrt(v) + 1e-8)
+            odds = mean @ weights + bias
+            odds = np.exp(odds - odds.max(1, keepdims=True))
+            miss = odds / odds.sum(1, keepdims=True)
+            miss[np.arange(len(batch)), window_label[batch]] -= 1
+            rate = RATE * max(0.05, 1 - step / steps)
+            to_rows = (miss @ weights.T / lengths[:, None] * rate * GAIN).astype(np.float32)
+            weights -= rate * (mean.T @ miss)
+            bias -= rate * 0.1 * miss.sum(0)
+            known = common[index]
+            np.subtract.at(embed, index[known], to_rows[owner[known]])
+            step += 1
         values = fold(embed, weights)
     return embed, weights, bias
 
