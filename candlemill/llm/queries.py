@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlemill.llm import langid, toxicity
+from candlemill.llm.decontaminate import contaminated
+from candlemill.llm.embeddings import near_duplicates
 from candlemill.llm.mixing import mix_sources
 from candlemill.llm.ngram_join import ngram_join
+from candlemill.llm.passages import repeated_passages
 from candlemill.llm.url_filter import Rule, judge_urls
 
 URL_RULES = [
@@ -32,12 +35,20 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), cap=3)
     taken = (F.col("copies") * F.col("size")).cast("long").alias("taken")
     return mixed.select("row.doc_id", "source", "size", "source_size", "target", taken, "rate", "copies")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -49,6 +60,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs.where(fold(5) != 0))
@@ -77,9 +92,12 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/en/1', 'exampl
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op3_passages": op3_passages,
     "op4_source_mix": op4_source_mix,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_toxicity": op7_toxicity,
+    "op9_decontaminate": op9_decontaminate,
     "op10_langid": op10_langid,
 }
 ORACLES = {"op6_url_filter": OP6_SQL}

@@ -18,6 +18,9 @@ PIECE_BYTES = 1 << 20
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: White space and ASCII punctuation.
+GAPS = SPACE.copy()
+GAPS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -77,10 +80,10 @@ def pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def word_marks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_marks(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words in bytes, and bounds of texts in words; offsets begin at 0."""
     word = np.zeros(len(data) + 2, bool)
-    word[1:-1] = ~SPACE[data]
+    word[1:-1] = ~gaps[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True  # between the last byte of a text and the first of the next
     starts = np.flatnonzero(word[1:] & (~word[:-1] | edge))
@@ -88,12 +91,12 @@ def word_marks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def split_words(texts: pa.Array) -> Iterator[Words]:
-    """The words of all texts, piece by piece, in order."""
+def split_words(texts: pa.Array, gaps: np.ndarray = SPACE) -> Iterator[Words]:
+    """The words of all texts, piece by piece, in order; `gaps` are the bytes that stand between words."""
     offsets, data = buffers(texts)
     for i, j in pieces(offsets):
         part = data[offsets[i] : offsets[j]]
-        starts, ends, bounds = word_marks(part, offsets[i : j + 1] - offsets[i])
+        starts, ends, bounds = word_marks(part, offsets[i : j + 1] - offsets[i], gaps)
         total = np.zeros(len(part) + 1, U)
         np.cumsum((LOWER[part].astype(U) + U(1)) * powers(BASE, len(part)), out=total[1:])
         hashes = (total[ends] - total[starts]) * powers(BASE_INVERSE, len(part) + 1)[starts]
