@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlemill.llm import langid, toxicity
+from candlemill.llm.chat import repair_chats
 from candlemill.llm.decontaminate import contaminated
 from candlemill.llm.embeddings import near_duplicates
 from candlemill.llm.mixing import mix_sources
@@ -60,6 +61,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -97,6 +102,7 @@ QUERIES = {
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_toxicity": op7_toxicity,
+    "op8_chat_format": op8_chat_format,
     "op9_decontaminate": op9_decontaminate,
     "op10_langid": op10_langid,
 }
