@@ -13,6 +13,7 @@ Repeated rows are predicted one by one. Texts may have any length.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -197,8 +198,8 @@ def _has_letter(text: str | None) -> bool:
     return any(map(str.isalpha, text or ""))
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
-    """(doc_id, lang_pred, score, spans): score is the predicted language's share of the letters.
+def identify(docs: DataFrame, model: Model, penalty: float = 12.0, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """(row, lang_pred, score, spans): score is the predicted language's share of the letters, row the columns to keep.
 
     A span has a language and the numbers of its first word and of the word after its last.
     """
@@ -223,8 +224,9 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
                     score.append(float(share.max() / share.sum()))
                     cut = [0, *(np.flatnonzero(np.diff(labels[a:b])) + 1).tolist(), int(b - a)]
                     spans.append([{"lang": model.langs[labels[a + x]], "first": x, "end": y} for x, y in zip(cut, cut[1:], strict=False)])
-                ids = batch.column(0).slice(words.first, len(pred))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(pred), pa.array(score), pa.array(spans, pa.list_(span))], ["doc_id", "lang_pred", "score", "spans"])
+                rows = batch.column(0).slice(words.first, len(pred))
+                yield pa.RecordBatch.from_arrays([rows, pa.array(pred), pa.array(score), pa.array(spans, pa.list_(span))], ["row", "lang_pred", "score", "spans"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(label, f"doc_id {kind}, lang_pred string, score double, spans array<struct<lang: string, first: long, end: long>>")
+    chosen = docs.select(F.struct(*keep).alias("row"), "text")
+    kind = chosen.schema["row"].dataType.simpleString()
+    return chosen.mapInArrow(label, f"row {kind}, lang_pred string, score double, spans array<struct<lang: string, first: long, end: long>>")

@@ -9,6 +9,7 @@ from candlemill.llm import langid, toxicity
 from candlemill.llm.chat import repair_chats
 from candlemill.llm.decontaminate import contaminated
 from candlemill.llm.embeddings import near_duplicates
+from candlemill.llm.html_template import extract
 from candlemill.llm.mixing import mix_sources
 from candlemill.llm.ngram_join import ngram_join
 from candlemill.llm.passages import repeated_passages
@@ -36,6 +37,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op2_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
@@ -72,7 +77,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs.where(fold(5) != 0))
-    found = langid.identify(docs, model)
+    found = langid.identify(docs, model).select("row.doc_id", "lang_pred", "score", "spans")
     return found.select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
@@ -97,6 +102,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/en/1', 'exampl
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_html_template": op2_html_template,
     "op3_passages": op3_passages,
     "op4_source_mix": op4_source_mix,
     "op5_embedding_dedup": op5_embedding_dedup,
