@@ -14,12 +14,15 @@ REPORT_FORMAT = "yyyyMMdd"
 
 
 def distinct_statements(finance: DataFrame, params: ScreenParams) -> DataFrame:
-    """The queried statement columns without exact copies, from the earliest date on."""
+    """The queried statement columns without exact copies, from the earliest date on.
+
+    A report date that is no date raises, whatever the bound: only text of eight digits is compared as text first.
+    """
     first = params.first_report_date
     return (
         finance.select(KEY, "report_date", "R_np", "R_operating_total_revenue")
         .filter(~F.col(KEY).startswith(EXCLUDED_PREFIX))
-        .filter(F.col("report_date") >= first.strftime("%Y%m%d"))
+        .filter((F.col("report_date") >= first.strftime("%Y%m%d")) | ~F.col("report_date").rlike("^[0-9]{8}$"))
         .filter(F.to_date("report_date", REPORT_FORMAT) >= F.lit(first))
         .distinct()
     )

@@ -18,6 +18,7 @@ BAR_COLUMNS = (
 )
 # Total order of a stock's bars. `version` is a hash of a bar's other columns: it orders several versions of one date.
 BAR_ORDER = ("trade_date", "version")
+LOG_UNITS = 1e15
 DRILLDOWN_COLUMNS = (
     "stock_code", "stock_name", "trade_date", "open_price", "close_price", "high_price", "low_price",
     "prev_close_price", "market_cap", "industry_level2", "industry_level3", "volume",
@@ -41,6 +42,10 @@ def adjusted_bars(bars: DataFrame, split: bool = False, columns: Sequence[str] =
     """
     rows = dated_bars(bars, columns)
     factored = _factor_by_day(rows) if split else _factor_by_bar(rows)
+    return _with_adjusted(factored)
+
+
+def _with_adjusted(factored: DataFrame) -> DataFrame:
     adjusted = factored.withColumn(
         "adj_close", F.col("factor") * safe_div(F.col("last_close"), F.col("last_factor"))
     )
@@ -51,8 +56,13 @@ def adjusted_bars(bars: DataFrame, split: bool = False, columns: Sequence[str] =
 
 
 def _log_rise() -> Column:
+    """Log of a bar's rise, in units of 1e-15. Sums of whole numbers are the same in any order and grouping."""
     rise = safe_div(F.col("close_price"), F.col("prev_close_price")) - 1
-    return F.ln(1 + rise)
+    return F.round(F.ln(1 + rise) * LOG_UNITS).cast("long")
+
+
+def _as_factor(units: Column) -> Column:
+    return F.exp(units / LOG_UNITS)
 
 
 def _factor_by_bar(bars: DataFrame) -> DataFrame:
@@ -62,7 +72,7 @@ def _factor_by_bar(bars: DataFrame) -> DataFrame:
     factored = (
         _versioned(bars.repartition(KEY).distinct())
         .sortWithinPartitions(KEY, *BAR_ORDER)
-        .withColumn("factor", F.exp(F.sum(_log_rise()).over(to_date)))
+        .withColumn("factor", _as_factor(F.sum(_log_rise()).over(to_date)))
     )
     return factored.withColumn("_last", last).select(
         *factored.columns, F.col("_last.close_price").alias("last_close"), F.col("_last.factor").alias("last_factor")
@@ -76,7 +86,7 @@ def _factor_by_day(bars: DataFrame) -> DataFrame:
         F.sum(_log_rise()).alias("log_rise"), F.max(F.struct("version", "close_price")).alias("bar")
     )
     to_date = Window.partitionBy(KEY).orderBy("trade_date")
-    days = days.select(KEY, "trade_date", "bar", F.exp(F.sum("log_rise").over(to_date)).alias("factor"))
+    days = days.select(KEY, "trade_date", "bar", _as_factor(F.sum("log_rise").over(to_date)).alias("factor"))
     last = F.max(F.struct("trade_date", "bar.close_price", "factor")).over(Window.partitionBy(KEY))
     days = days.withColumn("_last", last).select(
         KEY, "trade_date", "factor",
@@ -90,12 +100,22 @@ def _versioned(rows: DataFrame) -> DataFrame:
 
 
 def drilldown(bars: DataFrame, code: str, first_day: date, day: date) -> DataFrame:
-    """One stock's adjusted bars of one day, the stock named in any case."""
+    """One stock's adjusted bars of one day, the stock named in any case.
+
+    The factor of the day and of the last bar are sums over the stock's history, so no task holds the whole stock.
+    """
     one = bars.filter(F.col(KEY).isin(sorted({code, code.lower(), code.upper()})))
+    rows = _versioned(distinct_bars(one, DRILLDOWN_COLUMNS))
+    units = _log_rise()
+    history = rows.groupBy(KEY).agg(
+        _as_factor(F.sum(F.when(F.col("trade_date") <= F.lit(day), units))).alias("factor"),
+        _as_factor(F.sum(units)).alias("last_factor"),
+        F.max(F.struct(*BAR_ORDER, "close_price")).alias("last"),
+    )
+    history = history.withColumnRenamed("last", "_last").withColumn("last_close", F.col("_last.close_price")).drop("_last")
     shown = F.col("trade_date").between(first_day, day) & (F.col("trade_date") == day)
     return (
-        adjusted_bars(one, columns=DRILLDOWN_COLUMNS)
-        .filter(shown)
+        _with_adjusted(rows.filter(shown).join(history, KEY))
         .select(
             KEY, "trade_date", "stock_name", "volume",
             F.col("adj_close").alias("close"), F.col("adj_high").alias("high"),

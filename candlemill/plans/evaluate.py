@@ -24,7 +24,7 @@ def limited_bars(
         stats = rolling_stats(adjusted_bars(rows, split), params, split, with_support_date=True)
         return number_bars(support_window_bars(stats, params, trade, split), split)
 
-    return keep(by_size(chosen, find_hot(bars, hot_rows), chain), "limited")
+    return keep(by_size(chosen, find_hot(chosen, hot_rows), chain), "limited")
 
 
 def run_support_windows(

@@ -2,32 +2,58 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local: list[tempfile.TemporaryDirectory] = []
+#: Folders written inside the innermost `scratch`, if any.
+_owned: ContextVar[list[str] | None] = ContextVar("_owned", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by spark.checkpoint.dir; a scratch folder when that is unset and Spark runs in one process."""
+    """Folder named by spark.checkpoint.dir or by the session's `setCheckpointDir`."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    if not _local:
-        _local.append(tempfile.TemporaryDirectory(prefix="candlemill-"))
-    return f"file://{_local[0].name}"
+    return named.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses; the surrounding `scratch`, if any, removes it."""
+    path = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+    owned = _owned.get()
+    if owned is not None:
+        owned.append(path)
+    return path
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once as a Parquet table and read it back, so that it is not computed again.
 
-    The table outlives lost executors and cuts the lineage. It stays in the folder until its owner empties it.
+    The table outlives lost executors and cuts the lineage. It stays until the surrounding `scratch` ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Own the tables kept inside: they are removed at the end, so results must be written before it."""
+    token = _owned.set([])
+    try:
+        yield
+    finally:
+        remove(spark, _owned.get())
+        _owned.reset(token)

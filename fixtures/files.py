@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlemill.schemas import BAR_HEADERS, BAR_SCHEMA
-from candlemill.sources.shared import shared_folder
+from candlemill.sources.shared import new_folder
 
 BANNER = "daily bars"
 
@@ -34,7 +32,7 @@ def write_bar_files(bars: DataFrame) -> str:
             F.struct(F.lit(1).alias("line"), F.lit(",".join(BAR_HEADERS)).alias("text")),
         )).alias("head"),
     ).select("stock_code", "head.line", F.lit(None).cast("date").alias("trade_date"), "head.text")
-    folder = f"{shared_folder(bars.sparkSession)}/bar-files-{uuid4().hex}"
+    folder = new_folder(bars.sparkSession, "bar-files")
     (
         heads.unionByName(rows)
         .repartition("stock_code")

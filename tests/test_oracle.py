@@ -5,8 +5,9 @@ import math
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from fixtures.market import SOURCE_TABLES
+from fixtures.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -31,13 +32,13 @@ def listed(names, rows):
 
 
 def test_each_query_has_sql():
-    assert queries().keys() == oracle_sql().keys()
+    assert QUERIES.keys() == ORACLES.keys()
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
-    found = queries()[name](spark, FOLDER)
-    result = duck.execute(oracle_sql()[name])
+    found = QUERIES[name](spark, FOLDER)
+    result = duck.execute(ORACLES[name])
     names = [c[0] for c in result.description]
     assert sorted(names) == sorted(found.columns)
     assert listed(found.columns, found.collect()) == listed(names, result.fetchall())

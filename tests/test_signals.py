@@ -48,19 +48,21 @@ def test_versions_of_a_statement_fan_out(spark):
     assert [r.latest_net_profit for r in rows] == [1.0, 2.0]
 
 
-def business_gap(a, b):
-    return len(pd.date_range(a, b, freq="B")) - 1
+def weekdays_after(a, b):
+    """Weekdays from a to b, both counted, less one."""
+    return sum((a + timedelta(days=n)).weekday() < 5 for n in range((b - a).days + 1)) - 1
 
 
 def plain_thin(days, range_days):
-    """Positions kept, by walking the dates."""
-    keep, anchor = [True] * len(days), 0
-    for i in range(1, len(days)):
-        if business_gap(days[anchor], days[i]) <= range_days:
-            keep[anchor] = keep[i] = False
-        else:
-            anchor = i
-    return [d for i, d in enumerate(days) if keep[i] or i == 0]
+    """Dates kept: the first one, and every anchor that no row follows within its range.
+
+    The first row is an anchor, and so is the first row out of reach of the anchor before.
+    """
+    anchors = [0]
+    while reach := [i for i in range(anchors[-1], len(days)) if weekdays_after(days[anchors[-1]], days[i]) > range_days]:
+        anchors.append(reach[0])
+    ends = {*anchors, len(days)}
+    return [days[i] for i in sorted({0, *(i for i in anchors if i + 1 in ends)})]
 
 
 def test_rule_1_1(spark):
