@@ -29,7 +29,7 @@ from candlemill.llm.scratch import Scratch
 START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = ["", "system", "user", "assistant"]
 ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant"}
-RELABEL, RELABEL_UNKNOWN, MERGE, INSERT = 4, 1, 2, 5
+RELABEL, RELABEL_UNKNOWN, MERGE, INSERT = 8, 1, 2, 5
 OPEN, CLOSE = "<|%s|>\n", "<|end|>\n"
 NEVER = 1 << 40
 

@@ -5,7 +5,7 @@ token has an occurrence vector, how often each page has it; tokens with equal ve
 by an order-free fingerprint, so that a host's pages are only ever added up). A class is valid when its tokens nest under
 its first one. Valid classes, nested by their paths, are the host's template. Between its tokens lie slots. Slots of
 navigation, forms, adverts and the like are left out by name; of the others the template's content class is the deepest
-one that holds nearly all text that varies from page to page, an article element before all. A page's main text is what
+one that comes once a page and holds nearly all text that varies from page to page, an article element before all. A page's main text is what
 its slots inside the content class hold, less slots outside any article whose text is the same on every page of the host.
 
 A host's template comes from all its pages. A page without its host's content class is read by its own article or main
@@ -109,6 +109,10 @@ def read(page: str) -> Iterator[tuple[str, str, str | None, bool]]:
             elif not inline:
                 yield from block()
             continue
+        if name in RAW:
+            end = re.compile(f"</{name}[^>]*>", re.I).search(page, at)
+            at = end.end() if end else size
+            continue
         above = bool(stack and stack[-1].skip)
         node = _node(name, found["rest"], above)
         if not inline or node.skip != above:
@@ -126,10 +130,6 @@ def read(page: str) -> Iterator[tuple[str, str, str | None, bool]]:
                     break
         if name in VOID:
             continue
-        if name in RAW:
-            end = re.compile(f"</{name}[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
-            continue
         if found["rest"].endswith("/") and name in ("path", "circle", "rect", "use"):
             continue
         stack.append(node)
@@ -185,10 +185,10 @@ def content_paths(template: DataFrame) -> DataFrame:
     above = slots.select("host", weight.alias("w"), F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))).alias("content"))
     mass = above.groupBy("host", "content").agg(F.sum("w").alias("mass"))
     total = slots.groupBy("host").agg(F.sum(weight).alias("total"))
-    tokens = template.where("valid and not skip").select("host", F.col("path").alias("content"))
-    mass = mass.join(tokens, ["host", "content"], "left_semi").join(total, "host")
+    tokens = template.where("valid and not skip").select("host", F.col("path").alias("content"), (F.col("n") == F.col("pages")).alias("once"))
+    mass = mass.join(tokens, ["host", "content"]).join(total, "host")
     name = F.regexp_extract("content", r"([^/.]*)[^/]*$", 1)
-    kind = F.when((name == "article") & (F.col("mass") > 0), 3).when((name == "main") & (F.col("mass") > 0), 2).when(F.col("mass") >= F.col("total") * CONTENT_SHARE, 1).otherwise(0)
+    kind = F.when((name == "article") & (F.col("mass") > 0), 3).when((name == "main") & (F.col("mass") > 0), 2).when(F.col("once") & (F.col("mass") >= F.col("total") * CONTENT_SHARE), 1).otherwise(0)
     # The outermost article or main, else the deepest class that holds enough.
     depth = F.size(F.split("content", "/"))
     rank = F.struct(kind.alias("kind"), F.when(kind == 1, depth).otherwise(-depth).alias("depth"), F.col("mass"), F.col("content"))

@@ -5,7 +5,7 @@ chosen ones are closest to 1 in relative entropy, weighted by words. Their dual
 `exp(multiplier)`, and Newton iterations on the dual find the multipliers; each is an aggregation over the corpus, whose
 rows were first added up by source and size. Rates become whole copies: everyone gets the whole part, and one copy more
 goes to so many documents of each size that the words taken follow the target size by size, from the largest down, which
-leaves an error of about half the smallest document. Hashes of doc_id choose the documents of a size.
+leaves an error of a few words where a source has small documents. Hashes of doc_id choose the documents of a size.
 
 A null source is a source of its own and comes last. Null and empty texts have size 0, rate and copies of their source.
 Repeated rows are mixed one by one. Sources without words have the target 0.

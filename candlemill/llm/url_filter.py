@@ -70,7 +70,7 @@ def _places(key: Column, level: Level) -> list[Column]:
 
 
 def _passes(key: Column, level: Level) -> Column:
-    words = F.lit(level.words)
+    words = F.lit(level.words).cast("array<bigint>")
     test = F.lit(True)
     for place in _places(key, level):
         word = F.get(words, F.floor(place / 64).cast("int"))
