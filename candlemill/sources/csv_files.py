@@ -1,56 +1,66 @@
 """Vendor CSV files: a banner line, a header line, then rows; one file per stock in one of two encodings.
 
-Spark lists the files and hands each to a task whole, because one bad value or byte turns down the whole file for an
-encoding. Files above `WHOLE_BYTES` are split into batches of lines instead.
+Files of every size take one path. Spark reads and splits them as lines; one aggregation tells which encoding all bytes
+of a file suit, another whether all its values convert, because one bad value or byte turns down the whole file. Cells
+are split and converted by column functions. Only lines in GB2312 that are not plain ASCII go through Python, for decoding.
 """
 
 from __future__ import annotations
 
-import csv
-import io
-from collections.abc import Callable, Iterator, Sequence
-from datetime import date, datetime
-from functools import partial
+from collections.abc import Sequence
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from candlemill.schemas import BAR_HEADERS, BAR_SCHEMA, FINANCE_HEADER_SUFFIX, FINANCE_TEXT, finance_schema
-from candlemill.sources.long_files import parse_long
+from candlemill.sources.records import BLOCK, LINE, PATH, RAW, fields, join_lines, leaves_open, read_lines
+from candlemill.sources.shared import keep
 
 # Encodings in the order they are tried, and the ending of the statement files in use.
 BAR_ENCODINGS = ("utf-8", "gb2312")
 FINANCE_ENCODINGS = ("gb2312", "utf-8")
 FINANCE_ENDING = "_一般企业.csv"
-PATH, REASON = "source_path", "reject_reason"
-BATCH_ROWS = 20_000
-HEADER_FILES = 32
-WHOLE_BYTES = 256 * 1024 * 1024
+REASON = "reject_reason"
 
-Columns = dict[str, list]
 
-
-def read_bar_files(spark: SparkSession, folder: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+def read_bar_files(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of all bar files of a folder, and one row with a reason for each file turned down."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
-    return _parse(files, _bar_columns, BAR_ENCODINGS, BAR_SCHEMA, whole_bytes)
-
-
-def read_finance_files(
-    spark: SparkSession, folder: str, columns: Sequence[str] | None = None, whole_bytes: int = WHOLE_BYTES
-) -> DataFrame:
+    lines = read_lines(spark, folder, pathGlobFilter="*.csv")
+    heads = _heads(lines, BAR_ENCODINGS, fields)
+    missing = F.array_except(F.array(*map(F.lit, BAR_HEADERS)), "header")
+    heads = keep(_turn_down(heads, F.size(missing) > 0, F.concat(F.lit("missing headers "), F.array_join(missing, ", "))), "files")
+    places = F.transform(F.array(*map(F.lit, BAR_HEADERS)), lambda name: _place(F.col("header"), name))
+    rows = _rows(lines, heads.withColumn("places", places))
+    cells = [F.get("cells", F.get("places", F.lit(i))) for i in range(len(BAR_HEADERS))]
+    made = [_bar_value(f.dataType, cell) for f, cell in zip(BAR_SCHEMA.fields, cells, strict=True)]
+    bad = F.coalesce(*(F.when(wrong, F.concat(F.lit(f"{f.name}: cannot read "), F.coalesce(cell, F.lit("nothing")))) for f, cell, (_, wrong) in zip(BAR_SCHEMA.fields, cells, made, strict=True) if wrong is not None))
+    rows = rows.withColumns({"error": F.when(F.col("too_long"), F.lit("a record is too long")).otherwise(bad)})
+    verdicts = keep(_verdicts(heads, rows.groupBy(PATH).agg(F.count("*").alias("n"), F.min("error").alias("error"))), "verdicts")
+    good = rows.join(verdicts.where(F.col(REASON).isNull()).select(PATH), PATH, "left_semi")
+    return _tagged(good.select(*(value.alias(f.name) for f, (value, _) in zip(BAR_SCHEMA.fields, made, strict=True)), PATH), verdicts)
+
+
+def read_finance_files(spark: SparkSession, folder: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows of all statement files `{folder}/{code}/{code}_一般企业.csv`, and a row for each file turned down.
 
     The table has the given columns, or those of the first readable file. Other files are fitted to it: missing
-    columns are NULL, further ones are left out.
+    columns are NULL however long a row is, further ones are left out.
     """
-    files = _finance_files(spark, folder)
-    names = list(columns) if columns else _first_header(files)
-    parse = partial(_finance_columns, names=names)
-    return _parse(files, parse, FINANCE_ENCODINGS, finance_schema(names), whole_bytes)
+    name, code = F.substring_index(PATH, "/", -1), F.substring_index(F.substring_index(PATH, "/", -2), "/", 1)
+    lines = read_lines(spark, f"{folder}/*/*{FINANCE_ENDING}").where(name == F.concat(code, F.lit(FINANCE_ENDING)))
+    clean = lambda head: F.transform(F.split(F.trim(head), ",", -1), lambda h: F.replace(h, F.lit(FINANCE_HEADER_SUFFIX), F.lit("")))
+    heads = keep(_heads(lines, FINANCE_ENCODINGS, clean), "files")
+    counts = _rows(lines, heads.withColumn("places", F.array().cast("array<int>"))).groupBy(PATH)
+    verdicts = keep(_verdicts(heads, counts.agg(F.count("*").alias("n"), F.max(F.when(F.col("too_long"), "a record is too long")).alias("error"))), "verdicts")
+    names = list(columns) if columns else _first_header(heads, verdicts)
+    schema = finance_schema(names)
+    places = F.transform(F.array(*map(F.lit, names)), lambda name: _place(F.col("header"), name))
+    good = heads.join(verdicts.where(F.col(REASON).isNull()).select(PATH), PATH, "left_semi")
+    rows = _rows(lines, good.withColumn("places", places))
+    cells = [F.get("cells", F.get("places", F.lit(i))) for i in range(len(names))]
+    return _tagged(rows.select(*(_finance_value(f, cell).alias(f.name) for f, cell in zip(schema.fields, cells, strict=True)), PATH), verdicts)
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
@@ -63,129 +73,105 @@ def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col(REASON).isNotNull()).select(PATH, REASON)
 
 
-def _finance_files(spark: SparkSession, folder: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(f"{folder}/*/*{FINANCE_ENDING}")
-    code = F.substring_index(F.substring_index("path", "/", -2), "/", 1)
-    return files.filter(F.substring_index("path", "/", -1) == F.concat(code, F.lit(FINANCE_ENDING)))
-
-
-def _first_header(files: DataFrame) -> list[str]:
-    """Columns of the first file by path that has rows. Looks at a few files at a time, mostly just the first few."""
-    kind = T.StructType([T.StructField("names", T.ArrayType(T.StringType()))])
-    seen = ""
-    while True:
-        later = files.select("path").filter(F.col("path") > seen).orderBy("path")
-        paths = [r.path for r in later.limit(HEADER_FILES).collect()]
-        if not paths:
-            raise ValueError("no readable statement file")
-        found = (
-            _parse(files.filter(F.col("path").isin(paths)), _header_columns, FINANCE_ENCODINGS, kind, WHOLE_BYTES)
-            .filter(F.col(REASON).isNull()).orderBy(PATH).limit(1).collect()
-        )
-        if found:
-            return found[0].names
-        seen = paths[-1]
-
-
-def _parse(
-    files: DataFrame, parse: Callable[[str], Columns], encodings: Sequence[str], schema: T.StructType, whole_bytes: int
-) -> DataFrame:
-    tagged = T.StructType([*schema.fields, T.StructField(PATH, T.StringType()), T.StructField(REASON, T.StringType())])
-    arrow = to_arrow_schema(tagged)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column("path"), batch.column("content")):
-                columns, reason = _decode(content.as_py(), parse, encodings)
-                rows = len(next(iter(columns.values()))) if columns else 1
-                columns = columns or {f.name: [None] for f in schema.fields}
-                tags = {PATH: [path.as_py()] * rows, REASON: [reason] * rows}
-                table = pa.table({**columns, **tags}, schema=arrow)
-                yield from table.to_batches(max_chunksize=BATCH_ROWS)
-
-    # The length is known from the listing: neither filter reads a file.
-    parsed = files.filter(F.col("length") <= whole_bytes).select("path", "content").mapInArrow(read, tagged)
-    long = [r.path for r in files.filter(F.col("length") > whole_bytes).select("path").collect()]
-    if not long:
-        return parsed
-
-    def read_lines(content: bytes, encoding: str) -> tuple[Columns | None, str | None]:
-        return _decode(content, parse, [encoding])
-
-    return parsed.unionByName(parse_long(files.sparkSession, long, read_lines, encodings, tagged))
-
-
-def _decode(content: bytes, parse: Callable[[str], Columns], encodings: Sequence[str]) -> tuple[Columns | None, str | None]:
-    """Columns by the first encoding under which the whole file can be read, or the reasons why none can."""
-    reasons = []
-    for encoding in encodings:
+@F.pandas_udf(T.StringType())
+def _from_gb2312(raw: pd.Series) -> pd.Series:
+    def decode(value):
         try:
-            columns = parse(content.decode(encoding))
-            if not next(iter(columns.values())):
-                raise ValueError("no rows")
-            return columns, None
-        except (ValueError, StopIteration, csv.Error) as error:
-            reasons.append(f"{encoding}: {error or 'no header line'}")
-    return None, "; ".join(reasons)
-
-
-def _bar_columns(text: str) -> Columns:
-    lines = io.StringIO(text, newline=None)
-    next(lines)
-    reader = csv.reader(lines)
-    places = {name: i for i, name in enumerate(next(reader))}
-    missing = [h for h in BAR_HEADERS if h not in places]
-    if missing:
-        raise ValueError(f"missing headers {missing}")
-    rows = _filled(reader)
-    return {
-        name: [_bar_value(f.dataType, v) for v in _cells(rows, places[header])]
-        for (header, name), f in zip(BAR_HEADERS.items(), BAR_SCHEMA.fields)
-    }
-
-
-def _bar_value(kind: T.DataType, value: str | None) -> float | int | date | str | None:
-    if isinstance(kind, T.DoubleType):
-        return float(value) if value else None
-    if isinstance(kind, T.IntegerType):
-        return int(bool(value) and value.lower() == "true")
-    if isinstance(kind, T.DateType):
-        return datetime.strptime((value or "").strip().replace("/", "-"), "%Y-%m-%d").date()
-    return value
+            return None if value is None else value.decode("gb2312")
+        except UnicodeDecodeError:
+            return None
+
+    return raw.map(decode)
+
+
+def _text(encoding: Column) -> Column:
+    """A line's text in its file's encoding, NULL where it does not suit the line."""
+    plain = F.col(RAW).cast("string")
+    ascii_only = F.octet_length(RAW) == F.length(plain)
+    other = F.when((encoding == "gb2312") & ~ascii_only, F.col(RAW))
+    return F.when(ascii_only | ((encoding == "utf-8") & F.is_valid_utf8(plain)), plain).otherwise(_from_gb2312(other))
+
 
+def _heads(lines: DataFrame, encodings: Sequence[str], split) -> DataFrame:
+    """A row per file: encoding, first line, whether records span lines, header fields, and why it is turned down."""
+    facts = lines
+    for i, encoding in enumerate(encodings):
+        facts = facts.withColumn(f"_t{i}", _text(F.lit(encoding)))
+    facts = facts.groupBy(PATH).agg(
+        *(F.min(F.col(f"_t{i}").isNotNull()).alias(f"_ok{i}") for i in range(2)),
+        # Which bytes are quotes and commas is the same in both encodings.
+        F.max(leaves_open(F.decode(RAW, "ISO-8859-1"))).alias("spans"),
+        F.min(F.when(F.col(BLOCK) == 0, F.col(LINE))).alias("first"),
+    )
+    encoding = F.when(F.col("_ok0"), encodings[0]).when(F.col("_ok1"), encodings[1])
+    facts = facts.select(PATH, encoding.alias("encoding"), "spans", "first")
+    seconds = lines.join(facts, PATH).where((F.col(BLOCK) == 0) & (F.col(LINE) == F.col("first") + 1))
+    heads = facts.join(seconds.select(PATH, split(_text(F.col("encoding"))).alias("header")), PATH, "left").withColumn(REASON, F.lit(None).cast("string"))
+    heads = _turn_down(heads, F.col("encoding").isNull(), F.lit(f"neither {encodings[0]} nor {encodings[1]}"))
+    return _turn_down(heads, F.col("header").isNull(), F.lit("no header line"))
 
-def _finance_columns(text: str, names: Sequence[str]) -> Columns:
-    header, rows = _finance_rows(text)
-    places = {name: i for i, name in enumerate(header)}
-    return {
-        name: [_finance_value(name, v) for v in _cells(rows, places.get(name, len(header)))] for name in names
-    }
 
+def _turn_down(files: DataFrame, when: Column, why: Column) -> DataFrame:
+    return files.withColumn(REASON, F.coalesce(REASON, F.when(when, why)))
 
-def _header_columns(text: str) -> Columns:
-    header, rows = _finance_rows(text)
-    return {"names": [header] if rows else []}
 
+def _place(header: Column, name: Column) -> Column:
+    """Where a column stands, the last time if twice; NULL if it does not."""
+    from_end = F.array_position(F.reverse(header), name)
+    return F.when(from_end > 0, F.size(header) - from_end).cast("int")
 
-def _finance_rows(text: str) -> tuple[list[str], list[list[str]]]:
-    lines = io.StringIO(text, newline=None)
-    next(lines)
-    header = [h.replace(FINANCE_HEADER_SUFFIX, "") for h in next(lines).strip().split(",")]
-    return header, _filled(csv.reader(lines))
 
+def _rows(lines: DataFrame, heads: DataFrame) -> DataFrame:
+    """(source_path, places, cells, too_long) of the records below the header of files that are not turned down."""
+    good = heads.where(F.col(REASON).isNull()).select(PATH, "encoding", "spans", "first", "places")
+    below = lines.join(good, PATH).where((F.col(BLOCK) > 0) | (F.col(LINE) > F.col("first") + 1))
+    below = below.withColumn("text", _text(F.col("encoding")))
+    single = below.where("not spans").select(PATH, "places", F.col("text").alias("record"), F.lit(False).alias("too_long"))
+    several = join_lines(below.where("spans").select(PATH, BLOCK, LINE, "text")).join(good.select(PATH, "places"), PATH)
+    records = single.unionByName(several.select(PATH, "places", "record", "too_long"))
+    return records.where("record <> '' or too_long").select(PATH, "places", fields(F.col("record")).alias("cells"), "too_long")
 
-def _finance_value(name: str, value: str | None) -> float | str | None:
-    if name in FINANCE_TEXT or not value:
-        return value or None
-    try:
-        return float(value)
-    except ValueError:
-        return None
 
+def _verdicts(heads: DataFrame, found: DataFrame) -> DataFrame:
+    """(source_path, reject_reason) of every file, NULL for those to use."""
+    files = heads.select(PATH, REASON).join(found, PATH, "left")
+    files = _turn_down(files, F.col("error").isNotNull(), F.col("error"))
+    return _turn_down(files, F.coalesce("n", F.lit(0)) == 0, F.lit("no rows")).select(PATH, REASON)
 
-def _filled(reader: Iterator[list[str]]) -> list[list[str]]:
-    return [row for row in reader if row]
+
+def _tagged(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    turned_down = verdicts.where(F.col(REASON).isNotNull())
+    return rows.withColumn(REASON, F.lit(None).cast("string")).unionByName(turned_down, allowMissingColumns=True)
+
+
+def _first_header(heads: DataFrame, verdicts: DataFrame) -> list[str]:
+    """Columns of the first file by path that is used."""
+    used = heads.join(verdicts.where(F.col(REASON).isNull()).select(PATH), PATH, "left_semi")
+    first = used.agg(F.min_by("header", PATH).alias("header")).first().header
+    if first is None:
+        raise ValueError("no readable statement file")
+    return first
+
+
+def _number(cell: Column) -> Column:
+    """NULL where the cell is no number. A trailing d or f is no part of one."""
+    return F.when(~cell.rlike(r"[0-9.]\s*[dDfF]\s*$"), cell.try_cast("double"))
+
+
+def _bar_value(kind: T.DataType, cell: Column) -> tuple[Column, Column | None]:
+    """The value of a cell, and when it is wrong."""
+    if isinstance(kind, T.DoubleType):
+        number = _number(cell)
+        return number, (F.coalesce(cell, F.lit("")) != "") & number.isNull()
+    if isinstance(kind, T.IntegerType):
+        return F.coalesce(F.lower(cell) == "true", F.lit(False)).cast("int"), None
+    if isinstance(kind, T.DateType):
+        text = F.replace(F.trim(cell), F.lit("/"), F.lit("-"))
+        day = F.when(text.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), text.try_cast("date"))
+        return day, day.isNull()
+    return cell, None
 
 
-def _cells(rows: list[list[str]], place: int) -> list[str | None]:
-    return [row[place] if place < len(row) else None for row in rows]
+def _finance_value(field: T.StructField, cell: Column) -> Column:
+    filled = F.when(cell != "", cell)
+    return filled if field.name in FINANCE_TEXT else _number(filled)

@@ -1,0 +1,100 @@
+"""Records of CSV files of any size, from lines that Spark reads and splits.
+
+A quoted field may hold line breaks, so a record may have several lines, in different blocks of the file. Whether a line
+starts a record depends on the lines before it only through one bit: inside or outside a quote. Every line is a map of
+that bit, maps put together are maps again, and so the bit before each line comes from the lines of its block and from
+one map per earlier block. Files without such records, nearly all, need none of this: each of their lines is a record.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+PATH, BLOCK, LINE, RAW = "source_path", "_block", "_line", "_raw"
+#: Characters of a record, after which a file is turned down: a quote was hardly meant to stay open for so long.
+LONGEST_RECORD = 131_072
+
+# Patterns of fields. A quote opens only where a field begins; a doubled quote inside stands for one.
+QUOTED = r'"(?:[^"]++|"")*+"'
+WHOLE_LINE = rf'^(?:(?:{QUOTED}[^,]*+|[^",][^,]*+|)(?:,|$))*+$'
+CLOSED_FIRST = rf'^(?:[^"]++|"")*+"[^,]*+(?:$|,(?:(?:{QUOTED}[^,]*+|[^",][^,]*+|)(?:,|$))*+$)'
+HAS_CLOSE = r'^(?:[^"]++|"")*+"(?!")'
+FIELD = rf',({QUOTED}[^,]*+|"(?:[^"]++|"")*+\z|[^,]*+)'
+
+
+def read_lines(spark: SparkSession, where: str, **options: str) -> DataFrame:
+    """(source_path, _block, _line, _raw): lines as bytes. Within a block of a file, _line rises."""
+    return spark.read.options(**options).text(where).select(
+        F.col("_metadata.file_path").alias(PATH),
+        F.col("_metadata.file_block_start").alias(BLOCK),
+        F.monotonically_increasing_id().alias(LINE),
+        F.col("value").cast("binary").alias(RAW),
+    )
+
+
+def leaves_open(text: Column) -> Column:
+    """A line that starts outside quotes ends inside one."""
+    return F.contains(text, F.lit('"')) & ~text.rlike(WHOLE_LINE)
+
+
+def _stays_open(text: Column) -> Column:
+    """A line that starts inside a quote ends inside one: this quote or a later one."""
+    return ~F.contains(text, F.lit('"')) | ~text.rlike(HAS_CLOSE) | ~text.rlike(CLOSED_FIRST)
+
+
+def _inside_before(rows: DataFrame, part: list[str], order: list[str], name: str, start: Column) -> DataFrame:
+    """Add whether each row starts inside a quote, from the maps `_out` and `_in` of the rows before; `start` is the
+    bit before the first row of a part."""
+    upto = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    swap, fixed = F.col("_out") & ~F.col("_in"), F.col("_out") == F.col("_in")
+    rows = rows.withColumn("_swaps", F.sum(swap.cast("int")).over(upto))
+    rows = rows.withColumn("_fixed", F.last(F.when(fixed, F.struct(F.col("_out").alias("bit"), F.col("_swaps").alias("swaps"))), True).over(before))
+    seen = F.coalesce(F.lag("_swaps").over(Window.partitionBy(*part).orderBy(*order)), F.lit(0))
+    known = F.coalesce(F.col("_fixed.bit"), start)
+    odd = (seen - F.coalesce(F.col("_fixed.swaps"), F.lit(0))) % 2 == 1
+    return rows.withColumn(name, known != odd).drop("_swaps", "_fixed")
+
+
+def join_lines(lines: DataFrame) -> DataFrame:
+    """(source_path, record, too_long) of files with records of several lines; `lines` has a column `text`.
+
+    Blocks are worked on side by side; a file is only put together by one row per block. A file with a record above
+    LONGEST_RECORD has one row, with `too_long` set.
+    """
+    rows = lines.withColumns({"_out": leaves_open(F.col("text")), "_in": _stays_open(F.col("text"))})
+    part = [PATH, BLOCK]
+    own = _inside_before(rows, part, [LINE], "_if_out", F.lit(False))
+    own = _inside_before(own, part, [LINE], "_if_in", F.lit(True))
+    last = F.max_by(F.struct("_if_out", "_if_in", "_out", "_in"), F.col(LINE))
+    after = lambda bit: F.when(F.col(f"_last.{bit}"), F.col("_last._in")).otherwise(F.col("_last._out"))
+    starts = [F.sum((~F.col(bit)).cast("long")).alias(f"_n{bit}") for bit in ("_if_out", "_if_in")]
+    blocks = own.groupBy(*part).agg(last.alias("_last"), *starts)
+    blocks = blocks.withColumns({"_out": after("_if_out"), "_in": after("_if_in")})
+    blocks = _inside_before(blocks, [PATH], [BLOCK], "_inside", F.lit(False))
+    count = F.when(F.col("_inside"), F.col("_n_if_in")).otherwise(F.col("_n_if_out"))
+    earlier = F.sum(count).over(Window.partitionBy(PATH).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select(*part, "_inside", F.coalesce(earlier, F.lit(0)).alias("_earlier"))
+    placed = own.join(blocks, part)
+    begins = F.when(F.col("_inside"), ~F.col("_if_in")).otherwise(~F.col("_if_out")).cast("long")
+    running = F.sum(begins).over(Window.partitionBy(*part).orderBy(LINE).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = placed.select(*part, LINE, "text", (F.col("_earlier") + running).alias("_record"))
+    long = placed.groupBy(PATH, "_record").agg(F.sum(F.length("text") + 1).alias("n")).where(F.col("n") > LONGEST_RECORD).select(PATH).distinct()
+    good = placed.join(long, PATH, "left_anti").groupBy(PATH, "_record").agg(F.array_sort(F.collect_list(F.struct(BLOCK, LINE, "text"))).alias("_lines"))
+    records = good.select(PATH, F.array_join(F.col("_lines.text"), "\n").alias("record"), F.lit(False).alias("too_long"))
+    return records.unionByName(long.select(PATH, F.lit("").alias("record"), F.lit(True).alias("too_long")))
+
+
+def fields(record: Column) -> Column:
+    """The cells of a record."""
+    plain = F.split(record, ",", -1)
+    quoted = F.transform(F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(FIELD), F.lit(1)), _unquoted)
+    return F.when(F.contains(record, F.lit('"')), quoted).otherwise(plain)
+
+
+def _unquoted(cell: Column) -> Column:
+    body = F.regexp_replace(F.regexp_extract(cell, r'^"((?:[^"]++|"")*+)"', 1), '""', '"')
+    rest = F.regexp_extract(cell, rf'(?s)^{QUOTED}(.*)$', 1)
+    opened = F.regexp_replace(F.substring(cell, 2, 1 << 30), '""', '"')  # the file ended inside the quote
+    return F.when(cell.rlike(rf'^{QUOTED}'), F.concat(body, rest)).when(F.startswith(cell, F.lit('"')), opened).otherwise(cell)

@@ -24,7 +24,10 @@ from candlemill.operators.trades import apply_exit_rules, size_entries
 from candlemill.plans.evaluate import run_dips, run_support_windows, run_trades
 from candlemill.plans.screen import run_screen, run_signals
 from candlemill.sources.csv_files import accepted, read_bar_files
-from candlemill.sources.sinks import display_report, display_signals
+from candlemill.schemas import BAR_SCHEMA
+from candlemill.sources.shared import new_folder
+from candlemill.sources.sinks import display_report, display_signals, write_report, write_signals
+from candlemill.sources.tables import append_statements, read_table, write_bars
 from candlemill.sources.targets import read_targets
 from fixtures.market import SCREEN, TRADE, Market, market
 from fixtures.oracle import sql
@@ -90,11 +93,6 @@ def _(m: Market) -> DataFrame:
     return _ingested(read_bar_files(m.spark, m.bar_files))
 
 
-@register("bar_csv_ingest_by_lines", ORACLES["bar_csv_ingest"])
-def _(m: Market) -> DataFrame:
-    return _ingested(read_bar_files(m.spark, m.bar_files, whole_bytes=0))
-
-
 def _ingested(parsed: DataFrame) -> DataFrame:
     return accepted(parsed).select(
         "stock_code", "stock_name", "trade_date", *rounded(*RAW, "turnover"), "volume", *INDUSTRY.split(", "),
@@ -390,3 +388,59 @@ def _(m: Market) -> DataFrame:
 @register("trade_job", ORACLES["pnl_report"])
 def _(m: Market) -> DataFrame:
     return _shown(run_trades(m.bars, m.targets, SCREEN, TRADE))
+
+
+def _in_file_order(df: DataFrame) -> DataFrame:
+    """Rows with their place in a written result, file after file."""
+    rows = df.withColumns({"_file": F.col("_metadata.file_name"), "_at": F.monotonically_increasing_id()})
+    return rows.withColumn("place", F.row_number().over(Window.orderBy("_file", "_at"))).drop("_file", "_at")
+
+
+@register("bar_table_round_trip", sql(
+    f"select stock_code, stock_name, trade_date, {rounds(*RAW, 'turnover')}, volume, {INDUSTRY}, "
+    "cast(null as double) net_assets, cast(null as integer) gem_component from bars", "bars"))
+def _(m: Market) -> DataFrame:
+    path = new_folder(m.spark, "bar-table")
+    write_bars(m.bars, path)
+    return read_table(m.spark, path, BAR_SCHEMA).select(
+        "stock_code", "stock_name", "trade_date", *rounded(*RAW, "turnover"), "volume", *INDUSTRY.split(", "),
+        "net_assets", "gem_component",
+    )
+
+
+@register("statement_append", sql(
+    "select stock_code, report_date, round(R_np, 2) R_np, count(*) n, cast(null as double) R_extra from "
+    "(select * from fin union all select * from fin) group by 1, 2, 3", "fin"))
+def _(m: Market) -> DataFrame:
+    path = new_folder(m.spark, "statements")
+    append_statements(m.finance.withColumn("R_extra", F.lit(None).cast("double")), path)
+    append_statements(m.finance.withColumn("R_new", F.lit(1.0)), path)
+    back = read_table(m.spark, path)
+    by = back.groupBy("stock_code", "report_date", F.round("R_np", 2).alias("R_np"))
+    return by.agg(F.count("*").alias("n"), F.max("R_extra").alias("R_extra"))
+
+
+@register("signals_export", sql(
+    "select row_number() over (order by stock_code, trade_date) place, stock_code, cast(trade_date as varchar) trade_date, "
+    "adj_close, support_price from sig", "sig"))
+def _(m: Market) -> DataFrame:
+    path = new_folder(m.spark, "signals")
+    write_signals(QUERIES["signals"](m.spark, m.folder), SCREEN, path)
+    back = _in_file_order(m.spark.read.option("header", True).csv(path))
+    return back.select(
+        "place", F.col("股票代码").alias("stock_code"), F.col("交易日期").alias("trade_date"),
+        F.col("前复权_收盘价").cast("double").alias("adj_close"), F.col("前复权_前40天最高收盘价").cast("double").alias("support_price"),
+    )
+
+
+@register("report_export", sql(
+    "select row_number() over (order by no nulls last) place, no, stock_code, round(profit, 2) profit "
+    f"from ({REPORT_SQL})", "rep"))
+def _(m: Market) -> DataFrame:
+    path = new_folder(m.spark, "report")
+    write_report(QUERIES["pnl_report"](m.spark, m.folder), path)
+    back = _in_file_order(m.spark.read.option("header", True).csv(path))
+    return back.select(
+        "place", F.col(REPORT_NAMES["no"]).cast("long").alias("no"), F.col(REPORT_NAMES["stock_code"]).alias("stock_code"),
+        F.round(F.col(REPORT_NAMES["profit"]).cast("double"), 2).alias("profit"),
+    )

@@ -3,11 +3,14 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from candlemill.params import ScreenParams
 from candlemill.plans.load import load_bars, load_statements
 from candlemill.schemas import BAR_HEADERS, BAR_SCHEMA
 from candlemill.sources.csv_files import PATH, REASON, accepted, read_bar_files, read_finance_files, rejected
+from candlemill.sources.records import fields
+from candlemill.sources.shared import keep, scratch, shared_folder
 from candlemill.sources.sinks import write_dips, write_report, write_signals
 from candlemill.sources.tables import fit_bars, read_table
 from candlemill.sources.targets import read_targets
@@ -57,28 +60,55 @@ def test_bar_files(spark, folder):
     assert "09:55收盘价" in found["missing.csv"] and "ten" in found["number.csv"]
 
 
-def test_long_bar_files(spark, folder):
-    """Split into lines, the same files give the same rows."""
-    rows = [{**VALUES, "开盘价": str(i)} for i in range(30_000)]
+QUOTES = [
+    {**VALUES, "股票名称": '"a, ""b"""', "开盘价": "1"}, {**VALUES, "股票名称": 'x 5" y', "开盘价": "2"},
+    {**VALUES, "股票名称": '"line one\r\nline, two\r\n\r\n"', "开盘价": "3"}, {**VALUES, "股票名称": '"z"z', "开盘价": "4"},
+    {**VALUES, "股票名称": '"q"" \r\n"""', "新版申万一级行业名称": '"end"', "开盘价": "5"}, {**VALUES, "股票名称": '""', "开盘价": "6"},
+]
+
+
+def test_blocks_change_nothing(spark, folder):
+    """Files cut into small blocks give the rows and reasons of whole ones, records over several lines included."""
+    rows = [{**VALUES, "开盘价": str(i)} for i in range(300)]
     bar_file(folder, "utf.csv", rows)
-    bar_file(folder, "gb.csv", rows[:9_000], "gb2312", tuple(reversed(BAR_HEADERS)), ",more")
+    bar_file(folder, "gb.csv", rows[:90], "gb2312", tuple(reversed(BAR_HEADERS)), ",more")
     bar_file(folder, "number.csv", [*rows, {**VALUES, "收盘价": "ten"}, *rows])
     bar_file(folder, "missing.csv", rows, headers=tuple(BAR_HEADERS)[:-1])
     (folder / "bytes.csv").write_bytes((folder / "utf.csv").read_bytes() + b"\xff\xff\xff\r\n")
-    bar_file(folder, "quote.csv", [{**VALUES, "股票名称": '"a'}])
+    bar_file(folder, "quote.csv", [*QUOTES, *rows[:40], *QUOTES])
+    bar_file(folder, "quote-gb.csv", [*rows[:7], *QUOTES], "gb2312")
+    bar_file(folder, "open.csv", [{**VALUES, "股票名称": '"a'}])
+    bar_file(folder, "long.csv", [{**VALUES, "股票名称": '"a'}, *rows * 6])
     bar_file(folder, "blank.csv", rows[:2], extra="\r\n\r\n")
+    bar_file(folder, "header.csv", [])
     size = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "300k")
-    try:
-        long = read_bar_files(spark, str(folder), whole_bytes=0)
-        short = read_bar_files(spark, str(folder)).filter(f"{PATH} not like '%quote.csv'")
-        assert accepted(long).count() == 39_002
-        assert accepted(long).exceptAll(accepted(short)).count() == accepted(short).exceptAll(accepted(long)).count() == 0
-        found = reasons(long)
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-    assert found.keys() == {"number.csv", "missing.csv", "bytes.csv", "quote.csv"}
-    assert "ten" in found["number.csv"] and "09:55收盘价" in found["missing.csv"] and "quote" in found["quote.csv"]
+    results = []
+    for limit in ("1k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+        try:
+            parsed = read_bar_files(spark, str(folder))
+            results.append((sorted(map(str, accepted(parsed).collect())), reasons(parsed)))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert results[0] == results[1]
+    found, why = results[0]
+    assert len(found) == 300 + 90 + 40 + 7 + 3 * len(QUOTES) + 2
+    assert why.keys() == {"number.csv", "missing.csv", "bytes.csv", "open.csv", "long.csv", "header.csv"}
+    assert "ten" in why["number.csv"] and "09:55收盘价" in why["missing.csv"] and why["header.csv"] == "no rows" and "too long" in why["long.csv"]
+    names = {(r.stock_name, r.open_price) for r in accepted(parsed).where("stock_name <> '浦发'").collect()}
+    assert names >= {('a, "b"', 1.0), ('x 5" y', 2.0), ("line one\nline, two\n\n", 3.0), ("zz", 4.0), ("", 6.0)}
+
+
+def test_fields_are_those_of_the_csv_module(spark):
+    import csv
+    import io
+    import itertools
+
+    records = ["".join(p) for n in range(1, 7) for p in itertools.product('a",', repeat=n)]
+    found = spark.createDataFrame([(r,) for r in records], "r string").select("r", fields(F.col("r")).alias("f")).collect()
+    for row in found:
+        want = next(csv.reader(io.StringIO(row.r)))
+        assert row.f == want, row.r
 
 
 def test_load_bars_replaces(spark, folder, tmp_path):
@@ -110,8 +140,6 @@ def test_finance_files(spark, tmp_path):
     assert rows == [("sh600001", None, "x", None, 2.0), ("sh600001", "20240331", None, 1.5, None),
                     ("sh600002", None, None, 7.0, None)]
     assert reasons(parsed).keys() == {"sh600000_一般企业.csv"}
-    long = read_finance_files(spark, str(tmp_path), whole_bytes=0)
-    assert sorted(map(str, accepted(long).collect())) == sorted(map(str, accepted(parsed).collect()))
     fitted = accepted(read_finance_files(spark, str(tmp_path), ["stock_code", "new"]))
     assert {tuple(r) for r in fitted.collect()} == {("sh600001", None), ("sh600002", 1.0)}
 
@@ -124,6 +152,33 @@ def test_load_statements_appends(spark, tmp_path):
         assert read_table(spark, table).count() == n
 
 
+def test_statements_keep_every_column(spark, tmp_path):
+    one, two, table = tmp_path / "one", tmp_path / "two", str(tmp_path / "table")
+    for folder, header, row in ((one, "stock_code,report_date,R_np,R_x", "sh600001,20240331,1,2,99"), (two, "R_new,stock_code,R_x", "7,sh600002,3,99")):
+        folder.mkdir()
+        finance_file(folder, row.split(",")[0 if folder == one else 1], header, row)
+        assert load_statements(spark, str(folder), table).count() == 0
+    back = read_table(spark, table).orderBy("stock_code")
+    assert back.columns == ["stock_code", "report_date", "R_np", "R_x"]
+    assert [tuple(r) for r in back.collect()] == [("sh600001", "20240331", 1.0, 2.0), ("sh600002", None, None, 3.0)]
+
+
+def test_scratch_is_emptied(spark, folder, tmp_path):
+    import os
+
+    bar_file(folder, "a.csv")
+    where = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(where))
+    with scratch(spark):
+        load_bars(spark, str(folder), str(tmp_path / "table"))
+        assert set(os.listdir(where)) > before
+        with scratch(spark):
+            inner = keep(spark.range(3), "inner")
+            assert inner.count() == 3
+        assert not [n for n in os.listdir(where) if n.startswith("inner")]
+    assert set(os.listdir(where)) == before and read_table(spark, str(tmp_path / "table")).count() == 1
+
+
 def test_no_readable_statement_file(spark, tmp_path):
     finance_file(tmp_path, "sh600001", "stock_code")
     with pytest.raises(ValueError):
