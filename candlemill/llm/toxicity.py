@@ -5,8 +5,8 @@ averaged and go through a linear softmax; embeddings and softmax are trained tog
 its worst window, so that a few words count in a long text too. In training, a text stands for the window that the
 model so far finds worst. Unseen misspellings share n-grams, and so vectors, with words that were learned.
 
-The model is trained on a sample of the labelled rows, `most_rows` of either label at most (chosen by a hash of doc_id),
-in one task. After training the softmax is folded into the embeddings: a text is scored by sums of one number per n-gram.
+The model is trained on a sample of the labelled rows, `most_rows` with label 1 and twice as many with label 0 at most
+(chosen by a hash of doc_id), in one task. After training the softmax is folded into the embeddings: a text is scored by sums of one number per n-gram.
 
 Null, empty and blank texts get the score of an empty bag. Without rows of both labels every text gets the share of
 label 1 among the rows (0.5 without rows). Repeated labels of a document: toxic if one of them says so; null labels are
@@ -96,42 +96,50 @@ def fit(texts: pa.Array, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     weights, bias = np.zeros((DIMENSIONS, 2), np.float32), np.array([np.log(max(1 - share, 1e-6)), np.log(max(share, 1e-6))], np.float32)
     if share in (0, 1) or not len(labels):
         return np.zeros((size, DIMENSIONS), np.float32), weights, bias
-    windows, grams, limits = [], [], [np.zeros(1, np.int64)]
-    count = 0
-    for _, bounds, parts in _bags(texts):
+    # Texts that have an n-gram, and those of label 1. N-grams in hardly any text say nothing, and are not learned.
+    of_text, of_toxic, limits = np.zeros(size), np.zeros(size), [np.zeros(1, np.int64)]
+    for first, bounds, parts in _bags(texts):
+        text_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         if parts:
-            window, bucket = np.concatenate([w for w, _ in parts]), np.concatenate([b for _, b in parts]).astype(np.int32)
-            order = np.argsort(window, kind="stable")
-            windows.append(np.bincount(window, minlength=bounds[-1]))
-            grams.append(bucket[order])
-        limits.append(bounds[1:] + count)
-        count += int(bounds[-1])
+            pairs = np.unique(np.concatenate([bucket * len(bounds) + text_of[window] for window, bucket in parts]))
+            of_text += np.bincount(pairs // len(bounds), minlength=size)
+            of_toxic += np.bincount(pairs // len(bounds), weights=labels[first + pairs % len(bounds)], minlength=size)
+        limits.append(bounds[1:] + limits[-1][-1])
     limits = np.concatenate(limits)
-    if not count:
+    if not limits[-1]:
         return np.zeros((size, DIMENSIONS), np.float32), weights, bias
-    sizes, grams = np.concatenate(windows), np.concatenate(grams)
-    ends = np.cumsum(sizes)
-    begins = ends - sizes
+    common = of_text >= LEAST_TEXTS
+    grams, sizes, known = [], [], []  # n-grams that are learned, all n-grams and learned ones of each window
+    for _, bounds, parts in _bags(texts):
+        if parts:
+            sizes.append(sum(np.bincount(window, minlength=bounds[-1]) for window, _ in parts))
+            window, bucket = (np.concatenate([p[i][common[p[1]]].astype(np.int32) for p in parts]) for i in (0, 1))
+            known.append(np.bincount(window, minlength=bounds[-1]))
+            grams.append(bucket[np.argsort(window, kind="stable")])
+    grams, sizes, known = np.concatenate(grams), np.concatenate(sizes), np.concatenate(known)
+    ends = np.cumsum(known)
+    begins = ends - known
     has = np.flatnonzero(np.diff(limits) > 0)
     window_label = np.repeat(labels, np.diff(limits))
 
-    # Start from the windows with the n-grams that texts of label 1 have more often than chance explains. Those that
-    # are in hardly any text say nothing yet, and are left out of the bags.
-    text_of = np.repeat(np.repeat(np.arange(len(labels)), np.diff(limits)), sizes)
-    pairs = np.unique(grams.astype(np.int64) * len(labels) + text_of)
-    of_text = np.bincount(pairs // len(labels), minlength=size)
-    of_toxic = np.bincount(pairs // len(labels), weights=labels[pairs % len(labels)], minlength=size)
+    def window_sums(values: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(sizes))
+        for at in range(0, len(sizes), 1 << 16):  # a few million n-grams at a time
+            first, end = begins[at : at + (1 << 16)], ends[at : at + (1 << 16)]
+            total = np.concatenate(([0.0], np.cumsum(values[grams[first[0] : end[-1]]])))
+            found[at : at + (1 << 16)] = total[end - first[0]] - total[first - first[0]]
+        return found / sizes
+
+    # Start from the windows with the n-grams that texts of label 1 have more often than chance explains.
     expected = of_text * share
     values = np.maximum((of_toxic - expected) / np.sqrt(expected + 1) - CHANCE, 0) ** 2
-    del pairs, text_of
-    common = of_text >= LEAST_TEXTS
     embed = draw.uniform(-1, 1, (size, DIMENSIONS)).astype(np.float32) / DIMENSIONS
     embed[~common] = 0
     weights = draw.normal(0, 1, weights.shape).astype(np.float32)
     steps = max(LEAST_STEPS, EPOCHS * len(has) // BATCH)
     step = 0
     while step < steps:
-        score = np.add.reduceat(values[grams], begins) / np.maximum(sizes, 1)
+        score = window_sums(values)
         best = np.maximum.reduceat(score, limits[has])
         is_best = np.flatnonzero(score >= np.repeat(best, np.diff(limits)[has]))
         top = is_best[np.unique(np.searchsorted(limits, is_best, "right"), return_index=True)[1]]
@@ -141,20 +149,21 @@ def fit(texts: pa.Array, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         draw.shuffle(chosen)
         for at in range(0, len(chosen), BATCH):
             batch = chosen[at : at + BATCH]
-            lengths = sizes[batch]
+            lengths = known[batch]
             owner = np.repeat(np.arange(len(batch)), lengths)
             index = grams[np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(begins[batch], lengths)]
-            mean = np.add.reduceat(embed[index], np.cumsum(lengths) - lengths, axis=0) / lengths[:, None]
+            mean = np.zeros((len(batch), DIMENSIONS), np.float32)
+            np.add.at(mean, owner, embed[index])
+            mean /= sizes[batch][:, None]
             odds = mean @ weights + bias
             odds = np.exp(odds - odds.max(1, keepdims=True))
             miss = odds / odds.sum(1, keepdims=True)
             miss[np.arange(len(batch)), window_label[batch]] -= 1
             rate = RATE * max(0.05, 1 - step / steps)
-            to_rows = (miss @ weights.T / lengths[:, None] * rate * GAIN).astype(np.float32)
+            to_rows = (miss @ weights.T / sizes[batch][:, None] * rate * GAIN).astype(np.float32)
             weights -= rate * (mean.T @ miss)
             bias -= rate * 0.1 * miss.sum(0)
-            known = common[index]
-            np.subtract.at(embed, index[known], to_rows[owner[known]])
+            np.subtract.at(embed, index, to_rows[owner])
             step += 1
         values = fold(embed, weights)
     return embed, weights, bias
@@ -165,8 +174,9 @@ def fold(embed: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return (embed @ (weights[:, 1] - weights[:, 0])).astype(np.float64)
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 2500) -> tuple[np.ndarray, float]:
-    """Folded n-gram values and the bias. `labels` has doc_id and toxic; at most `most_rows` of each label are used."""
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 1500) -> tuple[np.ndarray, float]:
+    """Folded n-gram values and the bias. `labels` has doc_id and toxic; at most `most_rows` with label 1 and twice as
+    many with label 0 are used."""
     clean = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(SEED))
     chosen = clean.where("toxic = 1").orderBy(order).limit(most_rows).union(clean.where("toxic = 0").orderBy(order).limit(most_rows * 2))

@@ -33,7 +33,7 @@ def sample():
     rows = [(i, " ".join(["w"] * (i * i % 97)), f"s{i % 4}") for i in range(200)]
     rows += [(500 + i, "tiny source here", "rare") for i in range(3)] + [(600, "a b", None), (601, None, None), (602, "", "blank")]
     rows += [(700 + i, "one of many copies", "s1") for i in range(2000)] + [(700, "one of many copies", "s1")]
-    return rows + [(9999, "long " * 20_000, "s2")]
+    return rows + [(9999, "long " * 300, "s2")]
 
 
 def test_targets_copies_and_reruns(spark):
