@@ -21,6 +21,7 @@ from candlemill.operators.support import support_window_bars
 from candlemill.operators.windows import rolling_stats
 from candlemill.plans.evaluate import run_dips, run_trades
 from candlemill.plans.screen import run_screen
+from candlemill.sources.csv_files import accepted, read_bar_files
 from fixtures.market import SCREEN, TRADE, market
 from fixtures.registry import FIRST_DAY, LAST_DAY
 
@@ -61,7 +62,7 @@ def main() -> None:
     spark = session()
     m = market(spark, FOLDER)
     start = time.perf_counter()
-    bars, finance = m.bars, m.finance
+    bars, finance, files = m.bars, m.finance, m.bar_files
     targets = m.targets
     prepared = round(time.perf_counter() - start, 3)
 
@@ -78,6 +79,7 @@ def main() -> None:
         "support_windows": lambda: support_window_bars(stats(True), SCREEN, TRADE),
         "dip_job": lambda: run_dips(bars, targets, SCREEN, TRADE),
         "trade_job": lambda: run_trades(bars, targets, SCREEN, TRADE),
+        "bar_ingest": lambda: accepted(read_bar_files(spark, files)),
         "bars_between": lambda: bars_between(bars, FIRST_DAY, LAST_DAY),
     }
     found = {name: seconds(make) for name, make in timed.items()}

@@ -78,12 +78,12 @@ def test_blocks_change_nothing(spark, folder):
     bar_file(folder, "quote.csv", [*QUOTES, *rows[:40], *QUOTES])
     bar_file(folder, "quote-gb.csv", [*rows[:7], *QUOTES], "gb2312")
     bar_file(folder, "open.csv", [{**VALUES, "股票名称": '"a'}])
-    bar_file(folder, "long.csv", [{**VALUES, "股票名称": '"a'}, *rows * 6])
+    bar_file(folder, "long.csv", [{**VALUES, "股票名称": '"a'}, *rows * 15])
     bar_file(folder, "blank.csv", rows[:2], extra="\r\n\r\n")
     bar_file(folder, "header.csv", [])
     size = spark.conf.get("spark.sql.files.maxPartitionBytes")
     results = []
-    for limit in ("1k", "128m"):
+    for limit in ("4k", "128m"):
         spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
         try:
             parsed = read_bar_files(spark, str(folder))

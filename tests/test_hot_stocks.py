@@ -9,20 +9,15 @@ from candlemill.operators.screen import breakout_screen, signals
 from candlemill.operators.support import find_dips, number_bars, support_window_bars
 from candlemill.operators.thinning import drop_consecutive_higher
 from candlemill.operators.windows import rolling_stats
+from candlemill.plans.screen import run_screen
 from candlemill.sources.shared import keep
 from fixtures.market import SCREEN, TRADE
 
-PRICES = ("adj_close", "adj_open", "adj_high", "adj_low", "adj_prev_close")
-
 
 def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-def rounded(df, *names):
-    return df.withColumns({n: F.round(n, 6) for n in names})
-
-
 def test_find_hot(market):
     sizes = {r[0]: r[1] for r in market.bars.groupBy("stock_code").count().collect()}
     limit = sorted(sizes.values())[len(sizes) // 2]
@@ -35,8 +30,7 @@ def test_by_size(market):
     sizes = sorted(r[1] for r in market.bars.groupBy("stock_code").count().collect())
     hot = find_hot(market.bars, sizes[4])
     split = by_size(market.bars, hot, lambda rows, split: adjusted_bars(rows, split).withColumn("split", F.lit(split)))
-    assert rows(rounded(split.drop("split"), "factor", *PRICES)) == rows(rounded(adjusted_bars(market.bars).select(
-        *split.drop("split").columns), "factor", *PRICES))
+    assert rows(split.drop("split")) == rows(adjusted_bars(market.bars).select(*split.drop("split").columns))
     codes = {r[0] for r in hot.collect()}
     assert 0 < len(codes) < 10
     assert all((r.stock_code in codes) == r.split for r in split.select("stock_code", "split").distinct().collect())
@@ -52,10 +46,20 @@ def test_number_rows(market):
 def test_prices(market):
     usual, split = adjusted_bars(market.bars), adjusted_bars(market.bars, split=True)
     names = sorted(usual.columns)
-    both = [rows(rounded(d.select(*names), "factor", *PRICES)) for d in (usual, split)]
+    both = [rows(d.select(*names)) for d in (usual, split)]
     assert both[0] == both[1]
 
 
+def test_many_versions_give_equal_values(market):
+    """Unrounded: a signal must not depend on how many rows a stock has."""
+    version = F.col("version_no")
+    bars = market.bars.withColumn("version_no", F.explode(F.array(*map(F.lit, range(3)))))
+    bars = bars.withColumn("close_price", F.col("close_price") * (1 + version * 1e-3)).drop("version_no")
+    usual, split = adjusted_bars(bars), adjusted_bars(bars, split=True)
+    assert rows(usual) == rows(split.select(*usual.columns))
+    assert rows(run_screen(bars, market.finance, SCREEN, 1)) == rows(run_screen(bars, market.finance, SCREEN, 10**9))
+
+
 @pytest.mark.parametrize("segment_rows", [1, 40, 64, 100_000])
 def test_windows(market, segment_rows):
     adjusted = keep(market.adjusted(), "adjusted")
@@ -82,9 +86,8 @@ def test_versions_of_a_date(spark):
     bars = spark.createDataFrame(data * 2, list(BAR_COLUMNS))
     params = replace(SCREEN, earliest=datetime(2024, 1, 5), history_bars=4)
     out = [
-        rows(rounded(rolling_stats(adjusted_bars(bars, split), params, split, True, segment_rows=5).select(
-            "stock_name", "trade_date", "rn", "max_close_date", "has_gain", "max_close", "min_low", "factor"),
-            "max_close", "min_low", "factor"))
+        rows(rolling_stats(adjusted_bars(bars, split), params, split, True, segment_rows=5).select(
+            "stock_name", "trade_date", "rn", "max_close_date", "has_gain", "max_close", "min_low", "factor"))
         for split in (False, True)
     ]
     assert len(out[0]) == 26 * 3

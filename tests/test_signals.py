@@ -97,3 +97,9 @@ def test_rule_choice(spark):
     signals = spark.createDataFrame([("a", MONDAY, 10.0), ("a", MONDAY + timedelta(days=1), 9.0)], SIGNAL)
     assert apply_thinning(signals, ScreenParams(thinning="1.1")).count() == 2
     assert apply_thinning(signals, ScreenParams(thinning="1.2")).count() == 1
+
+
+@pytest.mark.parametrize("text", ["2025-06-30", "1", ""])
+def test_a_report_date_that_is_no_date_raises(spark, text):
+    with pytest.raises(Exception, match="CANNOT_PARSE|DateTime|could not be parsed|CAST_INVALID"):
+        growth(spark, [(text, 1.0, 1.0)], [date(2025, 7, 1)])
