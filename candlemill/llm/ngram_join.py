@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlemill.llm.graph import components
-from candlemill.llm.scratch import Scratch
+from candlemill.llm.scratch import Scratch, small_batches
 from candlemill.llm.words import U, mix, shingles, split_words
 
 CHUNK = 1 << 14
@@ -191,12 +191,21 @@ def _filtered(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     return left.join(right, (left["pb"] == right["pb"]) & allowed).select("pa", right["pb"]).select(F.col("pa").alias("a"), F.col("pb").alias("b"))
 
 
+#: Documents that go to Python at a time.
+BATCH_ROWS = 1000
+
+
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bits: int = 20, star_rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of documents whose shingle sets have a Jaccard similarity of
     `percent` / 100 or more.
 
     class_id is the smallest doc_id with the same set, component_id the smallest doc_id that links lead to.
     """
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        return _joined(docs, k, percent, sketch_bits, star_rounds)
+
+
+def _joined(docs: DataFrame, k: int, percent: int, sketch_bits: int, star_rounds: int) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     counts = shingle_counts(docs, k, sketch_bits)
