@@ -5,8 +5,9 @@ averaged and go through a linear softmax; embeddings and softmax are trained tog
 its worst window, so that a few words count in a long text too. In training, a text stands for the window that the
 model so far finds worst. Unseen misspellings share n-grams, and so vectors, with words that were learned.
 
-The model is trained on a sample of the labelled rows, `most_rows` with label 1 and twice as many with label 0 at most
-(chosen by a hash of doc_id), in one task. After training the softmax is folded into the embeddings: a text is scored by sums of one number per n-gram.
+The model is trained on a sample of the labelled documents with a text, `most_rows` with label 1 and twice as many with
+label 0 at most (chosen by a hash of doc_id) and no more than 64 MiB of text of each label, in one task; documents above
+1 MiB are not learned from. After training the softmax is folded into the embeddings: a text is scored by sums of one number per n-gram.
 
 Null, empty and blank texts get the score of an empty bag. Without rows of both labels every text gets the share of
 label 1 among the rows (0.5 without rows). Repeated labels of a document: toxic if one of them says so; null labels are
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlemill.llm.words import LOWER, U, Words, mix, split_words
@@ -36,6 +37,9 @@ GAIN = 100.0
 LEAST_TEXTS = 3
 CHANCE = 3.0
 SEED = 7
+#: Bytes of text of a label, and of one document, that training takes.
+MOST_BYTES = 1 << 26
+MOST_TEXT_BYTES = 1 << 20
 OPEN, CLOSE = 0x02, 0x03  # marks around a word; they are no characters of texts
 
 
@@ -175,12 +179,20 @@ def fold(embed: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 1500) -> tuple[np.ndarray, float]:
-    """Folded n-gram values and the bias. `labels` has doc_id and toxic; at most `most_rows` with label 1 and twice as
-    many with label 0 are used."""
+    """Folded n-gram values and the bias. `labels` has doc_id and toxic; of the documents with a label and a text at most
+    `most_rows` with label 1 and twice as many with label 0 are used, in the order of a hash, and of each label no more
+    than MOST_BYTES of text. All texts of a doc_id count together; with more than MOST_TEXT_BYTES it is not used."""
     clean = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(SEED))
-    chosen = clean.where("toxic = 1").orderBy(order).limit(most_rows).union(clean.where("toxic = 0").orderBy(order).limit(most_rows * 2))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("long").alias("toxic"), order.alias("place"))
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    sizes = texts.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    usable = sizes.where(F.col("bytes") <= MOST_TEXT_BYTES).join(clean, "doc_id")
+    first = usable.where("toxic = 1").orderBy(order).limit(most_rows).union(usable.where("toxic = 0").orderBy(order).limit(most_rows * 2))
+    # At most three times most_rows rows without their texts.
+    so_far = Window.partitionBy("toxic").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    summed = first.withColumns({"rows": F.sum("n").over(so_far), "all_bytes": F.sum("bytes").over(so_far)})
+    chosen = summed.where((F.col("all_bytes") <= MOST_BYTES) & (F.col("rows") <= F.when(F.col("toxic") == 1, most_rows).otherwise(most_rows * 2))).select("doc_id", "toxic")
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("long").alias("toxic"), order.alias("place"))
 
     def learn(batches):
         table = pa.Table.from_batches(list(batches))

@@ -49,3 +49,16 @@ def test_windows():
     window, limits = toxicity._windows(np.array([0, 0, 3, 13, 14]))
     assert limits.tolist() == [0, 0, 1, 4, 5] and np.bincount(window).tolist() == [3, 4, 4, 2, 1]
     assert [len(p[1]) for p in toxicity._bags(pa.array(["a b c d e f", None]))] == [3]
+
+
+def test_labels_without_a_usable_document_take_no_place_in_the_sample(spark, monkeypatch):
+    rows = corpus(300, 2)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(400 + i, None) for i in range(300)], "doc_id long, text string")
+    own = [(i, y) for i, _, y in rows]
+    foreign = [(400 + i, i % 2) for i in range(3000)]
+    of = lambda labels: toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), most_rows=40)
+    one, two = of(own), of(own + foreign)
+    assert np.array_equal(one[0], two[0]) and one[1] == two[1] and one[0].any()
+    # Bytes bound the sample besides rows.
+    monkeypatch.setattr(toxicity, "MOST_BYTES", 10)
+    assert not of(own)[0].any()
