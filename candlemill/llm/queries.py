@@ -14,6 +14,7 @@ from candlemill.llm.mixing import mix_sources
 from candlemill.llm.ngram_join import ngram_join
 from candlemill.llm.passages import repeated_passages
 from candlemill.llm.url_filter import Rule, judge_urls
+from candlemill.llm.whitening import whiten
 
 URL_RULES = [
     Rule("allow", "org", "/"),
@@ -81,6 +82,11 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whiten(_table(spark, sf_dir, "embeddings"), components=4)
+    return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 OP6_SQL = """
 WITH parts AS (
   SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -111,5 +117,6 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_decontaminate": op9_decontaminate,
     "op10_langid": op10_langid,
+    "op11_whitening": op11_whitening,
 }
 ORACLES = {"op6_url_filter": OP6_SQL}
