@@ -34,8 +34,9 @@ from candlemill.llm.scratch import Scratch
 BLOCK_ROWS = 1024
 #: Partial sums are added in this many groups before the driver adds the groups.
 GROUPS = 32
-GUARD = 2
-MOST_STEPS = 12
+GUARD = 4
+#: MINRES steps of a correction. On flat spectra a few steps and a wider search space take the fewest passes.
+MOST_STEPS = 4
 MOST_ROUNDS = 60
 EPS = np.finfo(float).eps
 
@@ -184,7 +185,7 @@ def jacobi_davidson(product: Callable[[np.ndarray], np.ndarray], dim: int, want:
     """
     draw = np.random.default_rng(dim)
     width = min(dim, want + GUARD)
-    most = min(dim, 4 * width + 8)
+    most = min(dim, 8 * width + 8)
     basis = np.linalg.qr(draw.normal(size=(dim, width)))[0]
     image = product(basis)
     fresh = True
