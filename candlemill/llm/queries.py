@@ -13,8 +13,11 @@ from candlemill.llm.html_template import extract
 from candlemill.llm.mixing import mix_sources
 from candlemill.llm.ngram_join import ngram_join
 from candlemill.llm.passages import repeated_passages
+from candlemill.llm.token_align import align_tokens
+from candlemill.llm.token_files import read_token_files, write_token_files
 from candlemill.llm.url_filter import Rule, judge_urls
 from candlemill.llm.whitening import whiten
+from candlemill.sources.shared import new_folder
 
 URL_RULES = [
     Rule("allow", "org", "/"),
@@ -87,6 +90,23 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
 
 
+def vocabulary(name: str) -> str:
+    """Where a vocabulary file of a public tokenizer is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "token_files")
+    write_token_files(_table(spark, sf_dir, "documents"), folder, vocabulary("byte_bpe_50k.json"), end_id=0)
+    return read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 OP6_SQL = """
 WITH parts AS (
   SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -118,5 +138,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_langid": op10_langid,
     "op11_whitening": op11_whitening,
+    "op12_token_align": op12_token_align,
+    "op13_token_files": op13_token_files,
 }
 ORACLES = {"op6_url_filter": OP6_SQL}

@@ -37,7 +37,7 @@ GROUPS = 32
 GUARD = 4
 #: MINRES steps of a correction. On flat spectra a few steps and a wider search space take the fewest passes.
 MOST_STEPS = 4
-MOST_ROUNDS = 60
+MOST_ROUNDS = 300
 EPS = np.finfo(float).eps
 
 
