@@ -23,14 +23,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlemill.llm.scratch import Scratch, small_batches
-from candlemill.llm.units import Units, pieces_keep_spaces_first, pieces_of, segments, splits_before_spaces
+from candlemill.llm.units import MOST_UNITS, Store, Units, encode_units, in_segments, load_tokenizer, pieces_keep_spaces_first, pieces_of, ranges, splits_before_spaces
 
 #: Pairs whose counts are sent to all tasks: 17 bytes each, 4.5 MB at most.
 HOT_PAIRS = 1 << 18
@@ -59,9 +61,8 @@ class Pair:
 
     def __init__(self, path_a: str, path_b: str) -> None:
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
+        self.a = load_tokenizer(path_a)
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=path_b)
         letters = byte_letters()
@@ -71,21 +72,42 @@ class Pair:
         names_b = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [piece_bytes(p) for p in names_b]
         self.size_b = len(names_b)
+        self.leads = np.array([t.startswith(b" ") for t in self.bytes_a])
         self.cut = splits_before_spaces(self.a) and pieces_keep_spaces_first(names_b)
         self.len_a, self.len_b = (np.array([len(t) for t in names], np.int64) for names in (self.bytes_a, self.bytes_b))
         # What a token adds to a digest, followed by another token of its side or by the end of it.
         self.text_a, self.text_b = (tuple(np.array([f"{i}{end}" for i in range(len(t))], object) for end in ends) for t, ends in ((self.bytes_a, ",|"), (self.bytes_b, ",;")))
 
-    def encode(self, units: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of a space and the unit by A and of the unit by B; None where their bytes are not those of the unit."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
-        b = self.b.encode(units, num_threads=1)
-        out: list[tuple[list[int], list[int]] | None] = []
-        for unit, x, y in zip(units, a, b, strict=True):
-            want = b" " + unit.encode()
-            same = b"".join(map(self.bytes_a.__getitem__, x)) == want == b"".join(map(self.bytes_b.__getitem__, y))
-            out.append((x, y) if same else None)
-        return out
+    def encode(self, units: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids by A of all units, each with a space before it, and how many each has; the same by B; which units count.
+
+        Those whose tokens do not give back their bytes have no tokens and do not count.
+        """
+        ids_a, n_a = encode_units(self.a, units, self.leads, plain)
+        found = self.b.encode(units, num_threads=1)
+        ids_b, n_b = np.array(list(chain.from_iterable(found)), np.int64), np.array([len(f) for f in found], np.int64)
+        texts = [b" " + u.encode() for u in units]
+        whole = b"".join(texts)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        if self._give_back(whole, sizes, self.bytes_a, self.len_a, ids_a, n_a) and self._give_back(whole, sizes, self.bytes_b, self.len_b, ids_b, n_b):
+            return ids_a, n_a, ids_b, n_b, np.ones(len(units), bool)
+        good = np.array([self._same(t, self.bytes_a, x) and self._same(t, self.bytes_b, y) for t, x, y in zip(texts, self._cut(ids_a, n_a), found, strict=True)], bool)
+        return ids_a[np.repeat(good, n_a)], n_a * good, ids_b[np.repeat(good, n_b)], n_b * good, good
+
+    @staticmethod
+    def _give_back(whole: bytes, sizes: np.ndarray, names: list[bytes], lengths: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> bool:
+        ends = np.r_[0, np.cumsum(lengths[ids])][np.cumsum(counts)] if len(counts) else sizes
+        return bool((ends == np.cumsum(sizes)).all()) and b"".join(map(names.__getitem__, ids.tolist())) == whole
+
+    @staticmethod
+    def _cut(ids: np.ndarray, counts: np.ndarray) -> list[list[int]]:
+        ends = np.r_[0, np.cumsum(counts)].tolist()
+        every = ids.tolist()
+        return [every[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    @staticmethod
+    def _same(text: bytes, names: list[bytes], ids: list[int]) -> bool:
+        return b"".join(map(names.__getitem__, ids)) == text
 
 
 def coalesce(start_a: np.ndarray, end_a: np.ndarray, start_b: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -100,11 +122,6 @@ def coalesce(start_a: np.ndarray, end_a: np.ndarray, start_b: np.ndarray, end_b:
     return group[: len(start_a)], group[len(start_a) :], int(opens.sum())
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of every range, one after the other."""
-    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-
-
 def add_up(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different keys, rising, and the sum of the values of each."""
     order = np.argsort(keys, kind="stable")
@@ -128,7 +145,7 @@ def linked_pairs(group_a: np.ndarray, ids_a: np.ndarray, group_b: np.ndarray, id
     while at < len(sizes):
         to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + LINKS_AT_ONCE, "right")))
         k = sizes[at:to]
-        b = _ranges(first_b[group_a[at:to]], k)
+        b = ranges(first_b[group_a[at:to]], k)
         pair = np.repeat(ids_a[at:to], k) * size_b + ids_b[b]
         who = np.repeat(owner[group_a[at:to]], k)
         weight = np.repeat(weight_a[at:to], k) * weight_b[b]
@@ -149,6 +166,8 @@ def _by_different_ids(group: np.ndarray, ids: np.ndarray, large: np.ndarray) ->
 
 
 def _by_owner(who: np.ndarray, pair: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not len(who):
+        return who, pair, weight
     span = int(pair.max(initial=0)) + 1
     if (int(who.max(initial=0)) + 1) * span < 2**63:
         keys, weight = add_up(who * span + pair, weight)
@@ -163,22 +182,19 @@ class Aligner:
     """Aligned units of a task, by number."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
-        self.pair = Pair(path_a, path_b)
-        self.units = Units(self._align, self.pair.cut)
-        self._clear()
+        self.pair, self.most = Pair(path_a, path_b), MOST_UNITS
+        self._start()
 
-    def _clear(self) -> None:
-        self.digests: list[str] = []
+    def _start(self) -> None:
+        self.units, self.pairs = Units(self._align, self.pair.cut), Store(2)
         self.facts = [np.zeros((0, 5), np.int64)]  # tokens of A and B, groups, links, 1 if the bytes differ
-        self.bounds, self.keys, self.links = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        self.digests = [pa.array([], pa.string())]
 
-    def _align(self, units: list[str]) -> list[int]:
-        first = len(self.digests)
+    def _align(self, units: list[str], plain: bool) -> list[int]:
         if not units:
             return []
-        pair, found = self.pair, self.pair.encode(units)
-        ids_a, ids_b = (np.array([i for f in found if f for i in f[side]], np.int64) for side in (0, 1))
-        n_a, n_b = (np.array([len(f[side]) if f else 0 for f in found], np.int64) for side in (0, 1))
+        pair = self.pair
+        ids_a, n_a, ids_b, n_b, good = pair.encode(units, plain)
         # Tokens follow each other without gaps, so ends are running sums, over all units alike.
         end_a, end_b = np.cumsum(pair.len_a[ids_a]), np.cumsum(pair.len_b[ids_b])
         group_a, group_b, groups = coalesce(end_a - pair.len_a[ids_a], end_a, end_b - pair.len_b[ids_b], end_b)
@@ -186,7 +202,7 @@ class Aligner:
         owner[group_a] = np.repeat(np.arange(len(units)), n_a)
         in_a, in_b = np.bincount(group_a, minlength=groups), np.bincount(group_b, minlength=groups)
         facts = np.zeros((len(units), 5), np.int64)
-        facts[:, 0], facts[:, 1], facts[:, 4] = n_a, n_b, [f is None for f in found]
+        facts[:, 0], facts[:, 1], facts[:, 4] = n_a, n_b, ~good
         facts[:, 2] = np.bincount(owner, minlength=len(units))
         np.add.at(facts[:, 3], owner, in_a * in_b)
         who, keys, links = linked_pairs(group_a, ids_a, group_b, ids_b, groups, owner, pair.size_b)
@@ -196,52 +212,44 @@ class Aligner:
         before_a, before_b = np.cumsum(in_a), np.cumsum(in_b) - in_b
         digest[np.arange(len(ids_a)) + before_b[group_a]] = np.where(last_a, pair.text_a[1][ids_a], pair.text_a[0][ids_a])
         digest[np.arange(len(ids_b)) + before_a[group_b]] = np.where(last_b, pair.text_b[1][ids_b], pair.text_b[0][ids_b])
-        digest, ends = digest.tolist(), np.r_[0, np.cumsum(n_a + n_b)].tolist()
-        self.digests += ["".join(digest[x:y]) for x, y in zip(ends, ends[1:], strict=False)]
+        ends = np.r_[0, np.cumsum(n_a + n_b)]
+        digest = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(digest.tolist(), pa.string()))
+        self.digests.append(pc.binary_join(digest, ""))
         self.facts.append(facts)
-        self.bounds.append(self.bounds[-1][-1] + np.cumsum(np.bincount(who, minlength=len(units))))
-        self.keys.append(keys)
-        self.links.append(links)
-        return list(range(first, first + len(units)))
-
-    def _together(self, name: str) -> np.ndarray:
-        parts = getattr(self, name)
-        if len(parts) > 1:
-            setattr(self, name, [np.concatenate(parts)])
-        return getattr(self, name)[0]
-
-    def documents(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Facts and digest of each text; bounds of texts among id pairs, the pairs and how often each is linked."""
-        if len(self.units.known) > self.units.most:
-            self.units.known.clear()
-            self._clear()
-        parts = [(i, s) for i, t in enumerate(texts) if t for s in (segments(t) if self.pair.cut else [t])]
-        found = [values for _, values in self.units.of([s for _, s in parts])]
-        facts, bounds, keys, links = (self._together(n) for n in ("facts", "bounds", "keys", "links"))
-        doc = np.repeat(np.array([i for i, _ in parts], np.int64), [len(f) for f in found])
-        unit = np.array([u for f in found for u in f], np.int64)
+        return self.pairs.add(np.bincount(who, minlength=len(units)), keys, links)
+
+    def documents(self, texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Facts and digest of each text; bounds of texts among id pairs, the pairs and how often each is linked.
+
+        `texts` are large strings without nulls.
+        """
+        if self.pairs.rows > self.most:
+            self._start()
+        size = pc.binary_length(texts).to_numpy()
+        has = np.flatnonzero(size)
+        parts, owner = in_segments(texts.take(pa.array(has))) if self.pair.cut else (texts.take(pa.array(has)), np.arange(len(has)))
+        owner = has[owner]
+        unit, bounds, _ = self.units.of(parts)
+        self.facts, self.digests = [np.concatenate(self.facts)], [pa.concat_arrays(self.digests)]
+        doc = np.repeat(owner, np.diff(bounds))
         total = np.zeros((len(texts), 5), np.int64)
         for c in range(5):
-            total[:, c] = np.bincount(doc, facts[unit, c], len(texts)) if len(doc) else 0
+            total[:, c] = np.bincount(doc, self.facts[0][unit, c], len(texts))
         none = total[:, 4] > 0
         total[none] = 0
-        hashes = [hashlib.sha256() if t and not n else None for t, n in zip(texts, none.tolist(), strict=True)]
-        waiting: list[str | None] = [None] * len(texts)
-        for (i, _), values in zip(parts, found, strict=True):
+        hashes = [hashlib.sha256() if s and not n else None for s, n in zip(size.tolist(), none.tolist(), strict=True)]
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), self.digests[0].take(pa.array(unit))), "")
+        own = owner.tolist()
+        for j, i in enumerate(own):
             if hashes[i]:
-                if waiting[i] is not None:
-                    hashes[i].update(waiting[i].encode())
-                waiting[i] = "".join(map(self.digests.__getitem__, values))
-        for h, rest in zip(hashes, waiting, strict=True):
-            if h:
-                h.update(rest[:-1].encode())  # without the mark behind the last group
+                last = own[j + 1 : j + 2] != [i]
+                piece = memoryview(joined[j].as_buffer())
+                hashes[i].update(piece[: len(piece) - last])  # without the mark behind the last group
         some = ~none[doc]
-        doc, unit = doc[some], unit[some]
-        codes, times = np.unique(doc * len(self.digests) + unit, return_counts=True) if len(doc) else (doc, doc)
-        doc, unit = codes // max(1, len(self.digests)), codes % max(1, len(self.digests))
-        sizes = bounds[unit + 1] - bounds[unit]
-        at = _ranges(bounds[unit], sizes)
-        doc, keys, links = _by_owner(np.repeat(doc, sizes), keys[at], links[at] * np.repeat(times, sizes)) if len(at) else (doc[:0], keys[:0], links[:0])
+        codes, times = np.unique(doc[some] * max(1, self.pairs.rows) + unit[some], return_counts=True)
+        doc, unit = codes // max(1, self.pairs.rows), codes % max(1, self.pairs.rows)
+        sizes, keys, links = self.pairs.take(unit)
+        doc, keys, links = _by_owner(np.repeat(doc, sizes), keys, links * np.repeat(times, sizes))
         return total[:, :4], [h.hexdigest() if h else "" for h in hashes], np.searchsorted(doc, np.arange(len(texts) + 1)), keys, links
 
 
@@ -258,7 +266,7 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches):
         aligner = Aligner(path_a, path_b)
         for batch in batches:
-            for first, texts in pieces_of(batch.column(2).to_pylist()):
+            for first, texts in pieces_of(batch.column(2)):
                 facts, digests, bounds, keys, links = aligner.documents(texts)
                 own = batch.slice(first, len(texts))
                 cut = [[x[s:e].astype("<i8").tobytes() for s, e in zip(bounds, bounds[1:], strict=False)] for x in (keys, links)]

@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlemill.llm.scratch import small_batches
-from candlemill.llm.units import Units, pieces_of, segments, splits_before_spaces
+from candlemill.llm.units import MOST_UNITS, Store, Units, encode_units, in_segments, load_tokenizer, pieces_of, splits_before_spaces
 
 MAGIC, END = b"IDFRAMES", b"IDFRMEND"
 HEAD, TAIL = "<8s32sI", "<QQQQ8s"
@@ -52,30 +53,43 @@ class Encoder:
     """Ids of whole texts by a tokenizer of the tokenizers library, without special tokens around them."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        cut = splits_before_spaces(self.tokenizer)
-        self.units = Units(lambda units: self._ids([" " + u for u in units] if cut else units), cut)
-        self.firsts: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        parts = [(i, k, s) for i, t in enumerate(texts) for k, s in enumerate(segments(t) if self.units.cut else [t])]
-        found = self.units.of([s for _, _, s in parts])
-        if self.units.cut:
+        self.tokenizer = load_tokenizer(path)
+        self.cut = splits_before_spaces(self.tokenizer)
+        self.leads = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(self.tokenizer.get_vocab_size())])
+        self._start()
+
+    def _start(self) -> None:
+        self.units, self.store = Units(self._units, self.cut), Store()
+        self.firsts: dict[str, int] = {}
+
+    def _units(self, units: list[str], plain: bool) -> list[int]:
+        if not self.cut:
+            return self._whole(units)
+        ids, counts = encode_units(self.tokenizer, units, self.leads, plain)
+        return self.store.add(counts, ids)
+
+    def _whole(self, texts: list[str]) -> list[int]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return self.store.add(np.array([len(f) for f in found], np.int64), np.array(list(chain.from_iterable(found)), np.int64))
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers; `texts` are large strings without nulls."""
+        if self.store.rows > MOST_UNITS:
+            self._start()
+        parts, owner = in_segments(texts) if self.cut else (texts, np.arange(len(texts)))
+        found, bounds, firsts = self.units.of(parts)
+        if self.cut:
             # The first unit of a text has no space in front of it.
-            if len(self.firsts) > 1 << 16:
-                self.firsts.clear()
-            new = list({u for (_, k, _), (u, _) in zip(parts, found, strict=True) if not k} - self.firsts.keys())
-            self.firsts.update(zip(new, self._ids(new), strict=True))
-        out: list[list[bytes]] = [[] for _ in texts]
-        for (i, k, _), (unit, values) in zip(parts, found, strict=True):
-            out[i].append(self.firsts[unit] + b"".join(values[1:]) if self.units.cut and not k else b"".join(values))
-        return [b"".join(o) for o in out]
+            begins = np.flatnonzero(np.diff(owner, prepend=-1))
+            heads = [firsts[j] for j in begins.tolist()]
+            new = list(set(heads) - self.firsts.keys())
+            self.firsts.update(zip(new, self._whole(new), strict=True))
+            found[bounds[begins]] = [self.firsts[u] for u in heads]
+        sizes, ids = self.store.take(found)
+        last = np.searchsorted(owner, np.arange(len(texts)), "right")
+        ends = (4 * np.r_[0, np.r_[0, np.cumsum(sizes)][bounds[last]]]).tolist()
+        data = ids.astype("<u4").tobytes()
+        return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def _dictionary(content: bytes) -> zstandard.ZstdCompressionDict | None:
@@ -90,7 +104,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
 
     def train(batches):
         encode = Encoder(tokenizer_path)
-        samples = [ids for batch in batches for ids in encode(batch.column(0).to_pylist())]
+        samples = [ids for batch in batches for _, texts in pieces_of(batch.column(0)) for ids in encode(texts)]
         raw = b"".join(samples)[-DICTIONARY_BYTES:]
         try:
             content = zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -119,7 +133,7 @@ def _pieces(tokenizer_path: str, dictionary: bytes, end_id: int):
         place, index, offset = 0, [], 0
         for batch in batches:
             ids_of_docs = batch.column(0).to_pylist()
-            for first, texts in pieces_of(batch.column(1).to_pylist()):
+            for first, texts in pieces_of(batch.column(1)):
                 out = []
                 if not offset:
                     out.append(struct.pack(HEAD, MAGIC, digest, TaskContext.get().partitionId()))

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
@@ -77,11 +78,11 @@ def test_against_plain(spark, plain_groups, hot_pairs):
 def test_segments_and_forgetting_change_nothing(plain_groups, monkeypatch):
     monkeypatch.setattr(units, "SEGMENT", 25)
     aligner = Aligner(A, B)
-    aligner.units.most = 10
+    aligner.most = 10
     texts = [t for _, t in cases() if t]
     for first in range(0, len(texts), 20):
         some = texts[first : first + 20]
-        facts, digests, bounds, keys, links = aligner.documents(some)
+        facts, digests, bounds, keys, links = aligner.documents(pa.array(some, pa.large_string()))
         for k, text in enumerate(some):
             g = plain_groups(text)
             want = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in g)
