@@ -133,6 +133,8 @@ class Store:
     def add(self, sizes: np.ndarray, *columns: np.ndarray) -> list[int]:
         """Numbers of new rows of these sizes, whose values follow each other."""
         first = self.rows
+        if not len(sizes):
+            return []
         self.rows += len(sizes)
         self._bounds.append(self._bounds[-1][-1] + np.cumsum(sizes))
         for column, values in zip(self._columns, columns, strict=True):
