@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlemill.functions import safe_div
@@ -14,7 +14,12 @@ REPORT_FORMAT = "yyyyMMdd"
 
 
 def distinct_statements(finance: DataFrame, params: ScreenParams) -> DataFrame:
-    """The queried statement columns without exact copies, from the earliest date on.
+    """The queried statement columns without exact copies, from the earliest date on."""
+    return _known_statements(finance, params).distinct()
+
+
+def _known_statements(finance: DataFrame, params: ScreenParams) -> DataFrame:
+    """The queried statement columns from the earliest date on.
 
     A report date that is no date raises, whatever the bound: only text of eight digits is compared as text first.
     """
@@ -24,7 +29,6 @@ def distinct_statements(finance: DataFrame, params: ScreenParams) -> DataFrame:
         .filter(~F.col(KEY).startswith(EXCLUDED_PREFIX))
         .filter((F.col("report_date") >= first.strftime("%Y%m%d")) | ~F.col("report_date").rlike("^[0-9]{8}$"))
         .filter(F.to_date("report_date", REPORT_FORMAT) >= F.lit(first))
-        .distinct()
     )
 
 
@@ -36,47 +40,46 @@ def finance_asof(screened: DataFrame, statements: DataFrame) -> DataFrame:
     return _with_text(nearest(screened, _report_days(statements), ("trade_date", "report_day"), "report_day"))
 
 
-def with_report_date(screened: DataFrame, statements: DataFrame, split: bool = False) -> DataFrame:
-    """All screened rows with their latest report date."""
-    return _with_text(with_nearest(screened, _report_days(statements), ("trade_date", "report_day"), "report_day", split))
-
+def dated_statements(finance: DataFrame, params: ScreenParams) -> DataFrame:
+    """A row per stock and report date, on one exchange by stock: `statement` holds the date and every distinct version
+    next to each version of a year ago, with the growth in percent.
 
-def statement_growth(statements: DataFrame) -> DataFrame:
-    """Each statement next to the one of a year ago, with the growth in percent.
-
-    Comparing statements with each other, before any signal comes in, keeps this join at the size of the statements.
-    Several versions of one statement give several rows.
+    Copies merge into versions before the exchange and after it. The statement of a year ago is the row whose date, as
+    a number, is smaller by 10,000: a window frame of that one value, no join.
     """
-    year_ago = statements.select(
-        KEY,
-        F.col("report_date").alias("last_year_report_date"),
-        F.col("R_np").alias("last_year_net_profit"),
-        F.col("R_operating_total_revenue").alias("last_year_revenue"),
-    )
-    return (
-        statements.withColumn("last_year_report_date", _year_before(F.col("report_date")))
-        .join(year_ago, [KEY, "last_year_report_date"], "left")
-        .select(
-            KEY,
-            F.col("report_date").alias("latest_report_date"),
-            F.col("R_np").alias("latest_net_profit"),
-            F.col("R_operating_total_revenue").alias("latest_revenue"),
-            "last_year_report_date", "last_year_net_profit", "last_year_revenue",
-            _growth(F.col("R_np"), F.col("last_year_net_profit")).alias("net_profit_yoy"),
-            _growth(F.col("R_operating_total_revenue"), F.col("last_year_revenue")).alias("revenue_yoy"),
-        )
-    )
+    rows = _known_statements(finance, params).distinct().repartition(KEY)
+    version = F.struct(F.col("R_np").alias("net_profit"), F.col("R_operating_total_revenue").alias("revenue"))
+    dated = rows.groupBy(KEY, "report_date").agg(F.collect_set(version).alias("versions"))
+    year_ago = Window.partitionBy(KEY).orderBy("_number").rangeBetween(-10_000, -10_000)
+    before = F.first("versions").over(year_ago)
+    dated = dated.withColumn("_number", F.col("report_date").cast("int")).withColumn("before", before)
+    none = F.array(F.lit(None).cast("struct<net_profit:double,revenue:double>"))
+    grown = F.flatten(F.transform("versions", lambda now: F.transform(F.coalesce("before", none), lambda then: F.struct(
+        now["net_profit"].alias("latest_net_profit"), now["revenue"].alias("latest_revenue"),
+        then["net_profit"].alias("last_year_net_profit"), then["revenue"].alias("last_year_revenue"),
+        _growth(now["net_profit"], then["net_profit"]).alias("net_profit_yoy"),
+        _growth(now["revenue"], then["revenue"]).alias("revenue_yoy"),
+    ))))
+    day = F.to_date("report_date", REPORT_FORMAT)
+    return dated.select(KEY, day.alias("report_day"), F.struct(day.alias("report_day"), "report_date", grown.alias("versions")).alias("statement"))
+
+
+def with_statement(screened: DataFrame, finance: DataFrame, params: ScreenParams, split: bool = False) -> DataFrame:
+    """All screened rows with the growth of their latest statement, once per version of it; NULL where there is none."""
+    found = with_nearest(screened, dated_statements(finance, params), ("trade_date", "report_day"), "statement", split)
+    return _unfolded(found)
 
 
 def finance_yoy(screened: DataFrame, finance: DataFrame, params: ScreenParams) -> DataFrame:
     """Latest and year-ago profit and revenue of each distinct (stock, trade date), with their growth."""
-    statements = distinct_statements(finance, params)
-    growth = statement_growth(statements)
-    return (
-        finance_asof(screened, statements)
-        .join(growth, [KEY, "latest_report_date"], "left")
-        .select(KEY, "trade_date", *(c for c in growth.columns if c != KEY))
-    )
+    found = _unfolded(nearest(screened, dated_statements(finance, params), ("trade_date", "report_day"), "statement"))
+    return found.select(KEY, "trade_date", "latest_report_date", "latest_net_profit", "latest_revenue", "last_year_report_date", "last_year_net_profit", "last_year_revenue", "net_profit_yoy", "revenue_yoy")
+
+
+def _unfolded(found: DataFrame) -> DataFrame:
+    named = found.withColumn("latest_report_date", F.col("statement.report_date")).withColumn("last_year_report_date", _year_before(F.col("latest_report_date")))
+    each = named.withColumn("_version", F.explode_outer("statement.versions"))
+    return each.select("*", "_version.*").drop("statement", "_version")
 
 
 def _report_days(statements: DataFrame) -> DataFrame:

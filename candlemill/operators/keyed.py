@@ -9,6 +9,7 @@ with copies of the rows they look back to. `by_size` parts the bars once and joi
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -44,17 +45,22 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str, key: str | None
     """Number the rows 1..n in `order`, per `key` when given, with no task holding more than one range of them.
 
     `order` must start with the key. A range partition is a run of consecutive rows, so a row's number is its number
-    within the part plus the sizes of the earlier parts. There is one size per key and part, so the window over the
-    sizes stays as short as the number of parts. The ranged rows are written, because the parts must not move between
+    within the part plus the sizes of the earlier parts, of which there is one per key and part. The ranged rows are written, because the parts must not move between
     the two readings.
     """
     by = [key] if key else []
     parts = keep(df.repartitionByRange(*order).withColumn(_PART, F.spark_partition_id()), "ranges")
-    earlier = Window.partitionBy(*by).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     sizes = parts.groupBy(*by, _PART).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select(*by, _PART, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    if key:
+        earlier = Window.partitionBy(key).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sizes.select(key, _PART, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    else:
+        # One row per task of the job, which the driver holds anyway.
+        counted = sorted(tuple(r) for r in sizes.collect())
+        before = accumulate((n for _, n in counted), initial=0)
+        offsets = df.sparkSession.createDataFrame([(part, b) for (part, _), b in zip(counted, before, strict=False)], f"{_PART} int, _before long")
     inside = F.row_number().over(Window.partitionBy(*by, _PART).orderBy(*order))
-    numbered = parts.join(offsets, [*by, _PART]).withColumn(name, inside + F.col("_before"))
+    numbered = parts.join(offsets, [*by, _PART]).withColumn(name, (inside + F.col("_before")).cast("long"))
     return numbered.drop(_PART, "_before")
 
 
@@ -62,19 +68,20 @@ def windowed(
     df: DataFrame,
     order: Sequence[str],
     back: int,
-    build: Callable[[DataFrame, WindowSpec], DataFrame],
+    build: Callable[[DataFrame, WindowSpec, WindowSpec], DataFrame],
     number: str,
     split: bool = False,
     segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Number each stock's rows in `order` and add the window columns of `build`, which look at most `back` rows back.
 
-    `build` gets the numbered rows and the window of a stock or of a segment.
+    `build` gets the numbered rows, the window of a stock or of a segment, and the same window backwards.
     """
 
     if not split:
         window = Window.partitionBy(KEY).orderBy(*order)
-        return build(df.withColumn(number, F.row_number().over(window).cast("long")), window)
+        numbered = df.withColumn(number, F.row_number().over(window).cast("long"))
+        return build(numbered, window, Window.partitionBy(KEY).orderBy(F.desc(number)))
     size = max(segment_rows, back)
     numbered = number_rows(df, [KEY, *order], number, KEY)
     first = F.floor((F.col(number) - 1) / size)
@@ -82,8 +89,23 @@ def windowed(
     copies = numbered.withColumn(_SEGMENT, F.explode(F.sequence(first, last))).withColumn(
         _COPY, F.col(_SEGMENT) != first
     )
-    window = Window.partitionBy(KEY, _SEGMENT).orderBy(number)
-    return build(copies, window).filter(~F.col(_COPY)).drop(_SEGMENT, _COPY)
+    window, backwards = (Window.partitionBy(KEY, _SEGMENT).orderBy(order) for order in (F.asc(number), F.desc(number)))
+    return build(copies, window, backwards).filter(~F.col(_COPY)).drop(_SEGMENT, _COPY)
+
+
+def highest_before(value: Column, number: str, bars: int, window: WindowSpec, backwards: WindowSpec) -> Column:
+    """The largest non-null `value` of the `bars` rows before each row, at the same cost per row whatever their number.
+
+    Cut the rows into blocks of `bars`. Those before a row then make up the end of one block and the beginning of the
+    next. Frames that only grow hold both: among pairs (block, value) the largest has the latest block, so the largest
+    pair so far is the maximum from the beginning of the current block on, and backwards that to the end of a block.
+    A frame that slides would be looked through anew for every row.
+    """
+    block = F.floor((F.col(number) - 1) / bars).cast("int")
+    begun = F.max(F.struct(block.alias("block"), value.alias("value"))).over(window.rowsBetween(Window.unboundedPreceding, -1))
+    ended = F.max(F.struct((-block).alias("block"), value.alias("value"))).over(backwards.rowsBetween(Window.unboundedPreceding, bars))
+    # Null counts as the smallest, but greatest() passes over it.
+    return F.when(F.col(number) > bars, F.greatest(begun["value"], ended["value"])).otherwise(begun["value"])
 
 
 def nearest(left: DataFrame, right: DataFrame, on: tuple[str, str], value: str, forward: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlemill.functions import amplitude, amplitude_limit
-from candlemill.operators.finance import distinct_statements, statement_growth, with_report_date
+from candlemill.operators.finance import with_statement
 from candlemill.operators.keyed import KEY
 from candlemill.operators.windows import CAP_UNIT
 from candlemill.params import ScreenParams
@@ -45,14 +45,11 @@ def signals(
     screened: DataFrame, finance: DataFrame, params: ScreenParams, split: bool = False
 ) -> DataFrame:
     """Screened bars with the growth of the latest statements, rounded; optionally only those that grew enough."""
-    statements = distinct_statements(finance, params)
     bars = screened.select(
         KEY, "stock_name", "trade_date", "adj_close", "max_close", "float_cap", "total_cap",
         "industry_level1", "industry_level2", "industry_level3",
     )
-    joined = with_report_date(bars, statements, split).join(
-        statement_growth(statements), [KEY, "latest_report_date"], "left"
-    )
+    joined = with_statement(bars, finance, params, split)
     if params.require_growth:
         joined = joined.filter(
             (F.col("net_profit_yoy") >= params.profit_growth) & (F.col("revenue_yoy") >= params.revenue_growth)

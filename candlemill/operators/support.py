@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from candlemill.functions import day_number
 from candlemill.operators.keyed import KEY, SEGMENT_ROWS, windowed
-from candlemill.operators.prices import BAR_ORDER
 from candlemill.operators.screen import breakout_screen, is_breakout
 from candlemill.params import ScreenParams, TradeParams
 from candlemill.sources.shared import keep
@@ -38,20 +37,18 @@ def support_window_bars(
 
 
 def _covered_by_scan(stats: DataFrame, params: ScreenParams, trade: TradeParams) -> DataFrame:
-    """On the exchange and sort the statistics already have: no join and no second reading.
+    """On the exchange the statistics already have: no join and no second reading.
 
-    A signal lies at most `history_bars` bars after its support date. So a bar starts a window when one of that many
-    next bars is a signal that names its date, and a bar is covered when the last start up to its date is near enough.
+    A signal gives a second row, dated at the support date it names, where a window starts. Going through a stock's rows
+    by date, a bar is covered when the last start up to its date is near enough.
     """
-    next_bars = Window.partitionBy(KEY).orderBy(*BAR_ORDER).rowsBetween(1, params.history_bars)
-    to_date = Window.partitionBy(KEY).orderBy("trade_date")
-    named = F.collect_set(F.when(is_breakout(params), F.col("max_close_date"))).over(next_bars)
-    day = F.col("trade_date")
-    return (
-        stats.withColumn("_named", named)
-        .withColumn("_start", F.max(F.when(F.array_contains("_named", day), day)).over(to_date))
-        .filter(F.datediff(day, F.col("_start")) <= trade.days_limit)
-    )
+    both, own = F.array(F.lit(False), F.lit(True)), F.array(F.lit(False))
+    rows = stats.withColumn("_starts", F.explode(F.when(is_breakout(params), both).otherwise(own)))
+    rows = rows.withColumn("_day", F.when(F.col("_starts"), F.col("max_close_date")).otherwise(F.col("trade_date")))
+    to_date = Window.partitionBy(KEY).orderBy("_day")
+    start = F.max(F.when(F.col("_starts"), F.col("_day"))).over(to_date)
+    covered = rows.withColumn("_start", start).filter(~F.col("_starts"))
+    return covered.filter(F.datediff("trade_date", "_start") <= trade.days_limit)
 
 
 def _covered_by_stretch(stats: DataFrame, params: ScreenParams, trade: TradeParams) -> DataFrame:
@@ -75,7 +72,7 @@ def _covered_by_stretch(stats: DataFrame, params: ScreenParams, trade: TradePara
 
 def number_bars(limited: DataFrame, split: bool = False, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Add `pos`, the position of each bar among its stock's limited bars, from 1."""
-    return windowed(limited, ["rn"], 0, lambda rows, _: rows, "pos", split, segment_rows)
+    return windowed(limited, ["rn"], 0, lambda rows, *_: rows, "pos", split, segment_rows)
 
 
 def find_dips(numbered: DataFrame, targets: DataFrame, trade: TradeParams) -> DataFrame:

@@ -18,7 +18,7 @@ def drop_consecutive_higher(
     The previous signal counts even if it is dropped itself.
     """
 
-    def build(rows: DataFrame, window: WindowSpec) -> DataFrame:
+    def build(rows: DataFrame, window: WindowSpec, _: WindowSpec) -> DataFrame:
         gap = business_day_gap(F.lag("trade_date").over(window), F.col("trade_date"))
         higher = F.col("adj_close") > F.lag("adj_close").over(window)
         return rows.withColumn("_dropped", F.coalesce((gap == 1) & higher, F.lit(False)))

@@ -62,6 +62,9 @@ def holding_bars(entries: DataFrame, numbered: DataFrame, trade: TradeParams) ->
     """
     size = trade.max_holding_days + 1
     block = F.floor((F.col("pos") - 1) / size)
+    entered = entries.withColumn("block", F.floor((F.col("entry_pos") - 1) / size))
+    # Of the bars only those of blocks some entry reads are gathered.
+    read = entered.select(KEY, "block").distinct()
     blocks = (
         numbered.select(
             KEY,
@@ -71,13 +74,13 @@ def holding_bars(entries: DataFrame, numbered: DataFrame, trade: TradeParams) ->
                 F.col("adj_low").alias("low"), F.col("adj_close").alias("close"),
             ).alias("bar"),
         )
+        .join(read, [KEY, "block"], "left_semi")
         .groupBy(KEY, "block")
         .agg(F.array_sort(F.collect_list("bar")).alias("bars"))
     )
     held = F.filter("bars", lambda b: b["pos"].between(F.col("entry_pos"), F.col("entry_pos") + size - 1))
     return (
-        entries.withColumn("block", F.floor((F.col("entry_pos") - 1) / size))
-        .join(blocks, [KEY, "block"])
+        entered.join(blocks, [KEY, "block"])
         .withColumn("bars", held)
         .drop("block")
     )

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from candlemill.functions import safe_div
-from candlemill.operators.keyed import KEY, SEGMENT_ROWS, windowed
+from candlemill.operators.keyed import KEY, SEGMENT_ROWS, highest_before, windowed
 from candlemill.operators.prices import BAR_ORDER
 from candlemill.params import ScreenParams
 
@@ -34,19 +34,21 @@ def rolling_stats(
     gain = safe_div(F.col("adj_close") - F.col("adj_prev_close"), F.col("adj_prev_close"))
     far_day = F.to_date(F.lit(FAR_DAY))
 
-    def build(rows: DataFrame, window: WindowSpec) -> DataFrame:
-        previous = window.rowsBetween(-n, -1)
+    def build(rows: DataFrame, window: WindowSpec, backwards: WindowSpec) -> DataFrame:
+        highest = lambda value: highest_before(value, "rn", n, window, backwards)
+        # Backwards, the row that ends the frame is the n-th before this one, or the stock's first.
+        first = F.last("adj_open").over(backwards.rowsBetween(Window.unboundedPreceding, n))
         stats = {
-            "max_close": F.max("adj_close").over(previous),
-            "max_high": F.max("adj_high").over(previous),
-            "min_low": F.min("adj_low").over(previous),
-            "first_open": F.first("adj_open").over(previous),
-            "has_gain": F.max(F.when(gain >= params.gain, 1).otherwise(0)).over(previous),
+            "max_close": highest(F.col("adj_close")),
+            "max_high": highest(F.col("adj_high")),
+            "min_low": -highest(-F.col("adj_low")),
+            "first_open": F.when(F.col("rn") > 1, first),
+            "has_gain": highest(F.when(gain >= params.gain, 1).otherwise(0)),
         }
         if with_support_date:
             # Of equal closes the earlier one is the larger struct.
             dated = F.struct("adj_close", F.datediff(far_day, F.col("trade_date")).alias("to_far"))
-            stats["_highest"] = F.max(F.when(F.col("adj_close").isNotNull(), dated)).over(previous)
+            stats["_highest"] = highest(F.when(F.col("adj_close").isNotNull(), dated))
         return rows.withColumns(stats)
 
     stats = windowed(listed, BAR_ORDER, n, build, "rn", split, segment_rows).withColumns({

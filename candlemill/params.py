@@ -38,7 +38,10 @@ class ScreenParams:
 
     @classmethod
     def from_settings(cls, settings: dict[str, str]) -> ScreenParams:
-        """Build from the text settings, rejecting switches other than yes and no."""
+        """Build from the text settings, rejecting switches other than yes and no.
+
+        Fixed values: the names of the settings, their defaults and the form of `cond1_and_cond3`.
+        """
         defaults = cls()
         bars, main, growth = settings.get("cond1_and_cond3", "40_25_35").split("_")
         return cls(

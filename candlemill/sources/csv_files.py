@@ -1,66 +1,93 @@
 """Vendor CSV files: a banner line, a header line, then rows; one file per stock in one of two encodings.
 
-Files of every size take one path. Spark reads and splits them as lines; one aggregation tells which encoding all bytes
-of a file suit, another whether all its values convert, because one bad value or byte turns down the whole file. Cells
-are split and converted by column functions. Only lines in GB2312 that are not plain ASCII go through Python, for decoding.
+Spark's CSV reader reads and converts. One reading of the raw lines gives the facts of each file: whether its bytes suit
+UTF-8, whether it has quotes, and its first two lines. Files that may be GB2312 are read once more as lines in it. Files
+that agree on encoding, on having quotes and on their header form a group, and a group is one `spark.read.csv`: columns
+stand in the same places, so cells are plain columns and only those in use are parsed. Files without a quote are split
+into blocks however large they are; those with quotes may have records of several lines and are read whole, a task each.
+
+One bad value or byte turns down a whole file, so the converted rows are written once, the verdict on each file is an
+aggregation over them, and the table is the rows of the files that passed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from functools import reduce
+from urllib.parse import unquote
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candlemill.schemas import BAR_HEADERS, BAR_SCHEMA, FINANCE_HEADER_SUFFIX, FINANCE_TEXT, finance_schema
-from candlemill.sources.records import BLOCK, LINE, PATH, RAW, fields, join_lines, leaves_open, read_lines
 from candlemill.sources.shared import keep
 
 # Encodings in the order they are tried, and the ending of the statement files in use.
 BAR_ENCODINGS = ("utf-8", "gb2312")
 FINANCE_ENCODINGS = ("gb2312", "utf-8")
 FINANCE_ENDING = "_一般企业.csv"
-REASON = "reject_reason"
+PATH, REASON = "source_path", "reject_reason"
+_ERROR, _HEADER = "_error", "_is_header"
+#: What a decoder puts in the place of bytes that suit no character; GB2312 itself has no such character.
+REPLACEMENT = "�"
 
 
 def read_bar_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of all bar files of a folder, and one row with a reason for each file turned down."""
-    lines = read_lines(spark, folder, pathGlobFilter="*.csv")
-    heads = _heads(lines, BAR_ENCODINGS, fields)
+    """Rows of all bar files of a folder, and one row with a reason for each file turned down.
+
+    Cells of text columns that are empty, or that a short row lacks, are empty text.
+    """
+    files = _facts(spark, folder, BAR_ENCODINGS, pathGlobFilter="*.csv")
+    heads = _parsed_headers(files)
     missing = F.array_except(F.array(*map(F.lit, BAR_HEADERS)), "header")
     heads = keep(_turn_down(heads, F.size(missing) > 0, F.concat(F.lit("missing headers "), F.array_join(missing, ", "))), "files")
-    places = F.transform(F.array(*map(F.lit, BAR_HEADERS)), lambda name: _place(F.col("header"), name))
-    rows = _rows(lines, heads.withColumn("places", places))
-    cells = [F.get("cells", F.get("places", F.lit(i))) for i in range(len(BAR_HEADERS))]
-    made = [_bar_value(f.dataType, cell) for f, cell in zip(BAR_SCHEMA.fields, cells, strict=True)]
-    bad = F.coalesce(*(F.when(wrong, F.concat(F.lit(f"{f.name}: cannot read "), F.coalesce(cell, F.lit("nothing")))) for f, cell, (_, wrong) in zip(BAR_SCHEMA.fields, cells, made, strict=True) if wrong is not None))
-    rows = rows.withColumns({"error": F.when(F.col("too_long"), F.lit("a record is too long")).otherwise(bad)})
-    verdicts = keep(_verdicts(heads, rows.groupBy(PATH).agg(F.count("*").alias("n"), F.min("error").alias("error"))), "verdicts")
-    good = rows.join(verdicts.where(F.col(REASON).isNull()).select(PATH), PATH, "left_semi")
-    return _tagged(good.select(*(value.alias(f.name) for f, (value, _) in zip(BAR_SCHEMA.fields, made, strict=True)), PATH), verdicts)
+
+    def convert(rows: DataFrame, header: list[str]) -> DataFrame:
+        cells = [F.col(f"c{_last_place(header, name)}") for name in BAR_HEADERS]
+        made = [_bar_value(f.dataType, cell) for f, cell in zip(BAR_SCHEMA.fields, cells, strict=True)]
+        bad = F.coalesce(*(F.when(wrong, F.concat(F.lit(f"{f.name}: cannot read "), F.coalesce(cell, F.lit("nothing")))) for f, cell, (_, wrong) in zip(BAR_SCHEMA.fields, cells, made, strict=True) if wrong is not None))
+        is_header = reduce(Column.__and__, (cell == name for cell, name in zip(cells, BAR_HEADERS, strict=True)))
+        return rows.select(PATH, is_header.alias(_HEADER), bad.alias(_ERROR), *(value.alias(f.name) for f, (value, _) in zip(BAR_SCHEMA.fields, made, strict=True)))
+
+    rows = _rows(spark, heads, convert, BAR_SCHEMA)
+    # The header comes once, and not at all where the reader skipped it in place of an empty banner.
+    counts = rows.groupBy(PATH).agg(
+        F.count_if(~F.col(_HEADER)).alias("n"), F.count_if(_HEADER).alias("headers"), F.min(F.when(~F.col(_HEADER), F.col(_ERROR))).alias("error")
+    )
+    verdicts = heads.select(PATH, REASON, "banner_empty").join(counts, PATH, "left")
+    again = F.coalesce("headers", F.lit(0)) > F.when(F.col("banner_empty"), 0).otherwise(1)
+    verdicts = _turn_down(verdicts, again, F.lit("the header comes again as a row"))
+    return _used(rows, verdicts)
 
 
 def read_finance_files(spark: SparkSession, folder: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows of all statement files `{folder}/{code}/{code}_一般企业.csv`, and a row for each file turned down.
 
     The table has the given columns, or those of the first readable file. Other files are fitted to it: missing
-    columns are NULL however long a row is, further ones are left out.
+    columns are NULL however long a row is, further ones are left out. Rows that repeat the header are left out.
     """
     name, code = F.substring_index(PATH, "/", -1), F.substring_index(F.substring_index(PATH, "/", -2), "/", 1)
-    lines = read_lines(spark, f"{folder}/*/*{FINANCE_ENDING}").where(name == F.concat(code, F.lit(FINANCE_ENDING)))
-    clean = lambda head: F.transform(F.split(F.trim(head), ",", -1), lambda h: F.replace(h, F.lit(FINANCE_HEADER_SUFFIX), F.lit("")))
-    heads = keep(_heads(lines, FINANCE_ENCODINGS, clean), "files")
-    counts = _rows(lines, heads.withColumn("places", F.array().cast("array<int>"))).groupBy(PATH)
-    verdicts = keep(_verdicts(heads, counts.agg(F.count("*").alias("n"), F.max(F.when(F.col("too_long"), "a record is too long")).alias("error"))), "verdicts")
-    names = list(columns) if columns else _first_header(heads, verdicts)
+    files = _facts(spark, f"{folder}/*/*{FINANCE_ENDING}", FINANCE_ENCODINGS).where(name == F.concat(code, F.lit(FINANCE_ENDING)))
+    heads = keep(files.withColumn("header", F.split(F.trim("header_line"), ",", -1)), "files")
+    clean = lambda header: [h.replace(FINANCE_HEADER_SUFFIX, "") for h in header]
+
+    def convert(rows: DataFrame, header: list[str]) -> DataFrame:
+        is_header = reduce(Column.__and__, (F.col(f"c{i}") == h for i, h in enumerate(header) if h), F.lit(True))
+        own = clean(header)
+        cells = [F.col(f"c{_last_place(own, f.name)}") if f.name in own else F.lit(None).cast("string") for f in schema.fields]
+        return rows.select(PATH, is_header.alias(_HEADER), F.lit(None).cast("string").alias(_ERROR), *(_finance_value(f, cell).alias(f.name) for f, cell in zip(schema.fields, cells, strict=True)))
+
+    if columns:
+        names = list(columns)
+    else:
+        names = clean(_first_with_rows(spark, heads))
     schema = finance_schema(names)
-    places = F.transform(F.array(*map(F.lit, names)), lambda name: _place(F.col("header"), name))
-    good = heads.join(verdicts.where(F.col(REASON).isNull()).select(PATH), PATH, "left_semi")
-    rows = _rows(lines, good.withColumn("places", places))
-    cells = [F.get("cells", F.get("places", F.lit(i))) for i in range(len(names))]
-    return _tagged(rows.select(*(_finance_value(f, cell).alias(f.name) for f, cell in zip(schema.fields, cells, strict=True)), PATH), verdicts)
+    rows = _rows(spark, heads, convert, schema)
+    counts = rows.where(~F.col(_HEADER)).groupBy(PATH).agg(F.count("*").alias("n"), F.min(_ERROR).alias("error"))
+    return _used(rows, heads.select(PATH, REASON).join(counts, PATH, "left"))
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
@@ -73,84 +100,131 @@ def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col(REASON).isNotNull()).select(PATH, REASON)
 
 
-@F.pandas_udf(T.StringType())
-def _from_gb2312(raw: pd.Series) -> pd.Series:
-    def decode(value):
-        try:
-            return None if value is None else value.decode("gb2312")
-        except UnicodeDecodeError:
-            return None
+@contextmanager
+def _all_charsets(spark: SparkSession) -> Iterator[None]:
+    """Let the CSV reader take GB2312, for what runs inside."""
+    name = "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _literally(path: str) -> str:
+    """A path from file metadata, which is an encoded address, so that its characters stand for themselves in a glob."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(path))
+
 
-    return raw.map(decode)
+def _two_lines(line: Column) -> list[Column]:
+    """Aggregates that hold a file's first two lines: numbers of lines in a row are even and odd in turn."""
+    at = F.struct("_line", line.alias("text"))
+    return [F.min(F.when((F.col("_block") == 0) & (F.col("_line") % 2 == i), at)).alias(f"_{i}") for i in (0, 1)]
 
 
-def _text(encoding: Column) -> Column:
-    """A line's text in its file's encoding, NULL where it does not suit the line."""
-    plain = F.col(RAW).cast("string")
-    ascii_only = F.octet_length(RAW) == F.length(plain)
-    other = F.when((encoding == "gb2312") & ~ascii_only, F.col(RAW))
-    return F.when(ascii_only | ((encoding == "utf-8") & F.is_valid_utf8(plain)), plain).otherwise(_from_gb2312(other))
+def _nth(n: int) -> Column:
+    first_even = F.coalesce(F.col("_0._line") < F.col("_1._line"), F.col("_0").isNotNull())
+    return F.when(first_even == (n == 0), F.col("_0.text")).otherwise(F.col("_1.text"))
 
 
-def _heads(lines: DataFrame, encodings: Sequence[str], split) -> DataFrame:
-    """A row per file: encoding, first line, whether records span lines, header fields, and why it is turned down."""
-    facts = lines
-    for i, encoding in enumerate(encodings):
-        facts = facts.withColumn(f"_t{i}", _text(F.lit(encoding)))
-    facts = facts.groupBy(PATH).agg(
-        *(F.min(F.col(f"_t{i}").isNotNull()).alias(f"_ok{i}") for i in range(2)),
-        # Which bytes are quotes and commas is the same in both encodings.
-        F.max(leaves_open(F.decode(RAW, "ISO-8859-1"))).alias("spans"),
-        F.min(F.when(F.col(BLOCK) == 0, F.col(LINE))).alias("first"),
+def _numbered(lines: DataFrame) -> DataFrame:
+    return lines.withColumns({PATH: F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_line": F.monotonically_increasing_id()})
+
+
+def _facts(spark: SparkSession, where: str, encodings: Sequence[str], **options: str) -> DataFrame:
+    """A row per file: encoding, whether it has quotes, whether its banner is empty, header line, and why it is turned down."""
+    raw = F.col("value")
+    facts = _numbered(spark.read.options(**options).text(where)).groupBy(PATH).agg(
+        F.min(F.is_valid_utf8(raw)).alias("utf8"),
+        F.min(F.is_valid_utf8(raw) & (F.octet_length(raw) == F.length(raw))).alias("ascii"),
+        F.max(F.contains(raw, F.lit('"'))).alias("quoted"),
+        F.max(F.octet_length(raw)).alias("longest"),
+        *_two_lines(raw),
     )
-    encoding = F.when(F.col("_ok0"), encodings[0]).when(F.col("_ok1"), encodings[1])
-    facts = facts.select(PATH, encoding.alias("encoding"), "spans", "first")
-    seconds = lines.join(facts, PATH).where((F.col(BLOCK) == 0) & (F.col(LINE) == F.col("first") + 1))
-    heads = facts.join(seconds.select(PATH, split(_text(F.col("encoding"))).alias("header")), PATH, "left").withColumn(REASON, F.lit(None).cast("string"))
-    heads = _turn_down(heads, F.col("encoding").isNull(), F.lit(f"neither {encodings[0]} nor {encodings[1]}"))
-    return _turn_down(heads, F.col("header").isNull(), F.lit("no header line"))
+    facts = facts.select(PATH, "utf8", "ascii", "quoted", "longest", (F.trim(_nth(0)) == "").alias("banner_empty"), _nth(1).alias("raw_header"))
+    facts = keep(facts, "facts")
+    # As many names as there are files, which the driver lists for a reading anyway.
+    doubtful = facts.where(~F.col("ascii") if encodings[0] == "gb2312" else ~F.col("utf8")).select(PATH).collect()
+    suits = facts.select(PATH, F.lit(None).cast("boolean").alias("gb2312"), F.lit(None).cast("string").alias("_a"), F.lit(None).cast("string").alias("_b")).limit(0)
+    if doubtful:
+        with _all_charsets(spark):
+            lines = spark.read.schema("text string").options(encoding="GB2312", sep="\u0001", quote="").csv([_literally(r[PATH]) for r in doubtful])
+            found = _numbered(lines).groupBy(PATH).agg((~F.max(F.contains("text", F.lit(REPLACEMENT)))).alias("gb2312"), *_two_lines(F.col("text")))
+            suits = keep(found.select(PATH, "gb2312", _nth(0).alias("_a"), _nth(1).alias("_b")), "facts")
+    facts = facts.join(suits, PATH, "left")
+    suits_it = {"utf-8": F.col("utf8"), "gb2312": F.col("ascii") | F.coalesce("gb2312", F.lit(False))}
+    encoding = F.when(suits_it[encodings[0]], encodings[0]).when(suits_it[encodings[1]], encodings[1])
+    # Lines read by the CSV reader leave out empty ones.
+    decoded = F.when(F.col("banner_empty"), F.col("_a")).otherwise(F.col("_b"))
+    header = F.when((encoding == "gb2312") & ~F.col("ascii") & (F.trim("raw_header") != ""), decoded).otherwise(F.col("raw_header"))
+    facts = facts.select(PATH, encoding.alias("encoding"), "quoted", "longest", F.coalesce("banner_empty", F.lit(True)).alias("banner_empty"), header.alias("header_line"))
+    facts = facts.withColumn(REASON, F.lit(None).cast("string"))
+    facts = _turn_down(facts, F.col("encoding").isNull(), F.lit(f"neither {encodings[0]} nor {encodings[1]}"))
+    return _turn_down(facts, F.col("header_line").isNull(), F.lit("no header line"))
 
 
 def _turn_down(files: DataFrame, when: Column, why: Column) -> DataFrame:
     return files.withColumn(REASON, F.coalesce(REASON, F.when(when, why)))
 
 
-def _place(header: Column, name: Column) -> Column:
-    """Where a column stands, the last time if twice; NULL if it does not."""
-    from_end = F.array_position(F.reverse(header), name)
-    return F.when(from_end > 0, F.size(header) - from_end).cast("int")
+def _parsed_headers(files: DataFrame) -> DataFrame:
+    """`header`: the cells of the header line."""
+    files = keep(files, "files")
+    most = files.agg(F.max(F.size(F.split("header_line", ",", -1)))).first()[0] or 1
+    cells = F.from_csv("header_line", ", ".join(f"c{i} string" for i in range(most)), {"escape": '"', "maxColumns": str(max(20480, most + 1))})
+    named = files.withColumn("_cells", cells).withColumn("header", F.array(*(F.coalesce(F.col(f"_cells.c{i}"), F.lit("")) for i in range(most))))
+    return named.drop("_cells")
+
+
+def _last_place(header: Sequence[str], name: str) -> int:
+    """Where a column stands, the last time if twice."""
+    return len(header) - 1 - list(reversed(header)).index(name)
+
+
+def _groups(heads: DataFrame) -> list[Row]:
+    good = heads.where(F.col(REASON).isNull()).groupBy("encoding", "quoted", "header")
+    return good.agg(F.collect_list(PATH).alias("paths"), F.max("longest").alias("longest")).orderBy("encoding", "quoted", "header").collect()
 
 
-def _rows(lines: DataFrame, heads: DataFrame) -> DataFrame:
-    """(source_path, places, cells, too_long) of the records below the header of files that are not turned down."""
-    good = heads.where(F.col(REASON).isNull()).select(PATH, "encoding", "spans", "first", "places")
-    below = lines.join(good, PATH).where((F.col(BLOCK) > 0) | (F.col(LINE) > F.col("first") + 1))
-    below = below.withColumn("text", _text(F.col("encoding")))
-    single = below.where("not spans").select(PATH, "places", F.col("text").alias("record"), F.lit(False).alias("too_long"))
-    several = join_lines(below.where("spans").select(PATH, BLOCK, LINE, "text")).join(good.select(PATH, "places"), PATH)
-    records = single.unionByName(several.select(PATH, "places", "record", "too_long"))
-    return records.where("record <> '' or too_long").select(PATH, "places", fields(F.col("record")).alias("cells"), "too_long")
+def _read_group(spark: SparkSession, group: Row) -> DataFrame:
+    """Columns c0, c1 and on, and source_path, of all records below the first non-empty line of each file."""
+    schema = ", ".join(f"c{i} string" for i in range(len(group.header)))
+    options = {
+        "encoding": group.encoding, "multiLine": group.quoted, "header": True, "enforceSchema": True, "escape": '"',
+        "maxColumns": max(20480, group.longest + 1),
+    }
+    return spark.read.schema(schema).options(**options).csv([_literally(p) for p in group.paths]).withColumn(PATH, F.col("_metadata.file_path"))
 
 
-def _verdicts(heads: DataFrame, found: DataFrame) -> DataFrame:
-    """(source_path, reject_reason) of every file, NULL for those to use."""
-    files = heads.select(PATH, REASON).join(found, PATH, "left")
-    files = _turn_down(files, F.col("error").isNotNull(), F.col("error"))
-    return _turn_down(files, F.coalesce("n", F.lit(0)) == 0, F.lit("no rows")).select(PATH, REASON)
+def _rows(spark: SparkSession, heads: DataFrame, convert: Callable[[DataFrame, list[str]], DataFrame], schema: T.StructType) -> DataFrame:
+    """(source_path, whether it is the header, error, the columns of `schema`) of all records, written once."""
+    with _all_charsets(spark):
+        parts = [convert(_read_group(spark, group), group.header) for group in _groups(heads)]
+        if not parts:
+            own = T.StructType([T.StructField(PATH, T.StringType()), T.StructField(_HEADER, T.BooleanType()), T.StructField(_ERROR, T.StringType()), *schema.fields])
+            return spark.createDataFrame([], own)
+        whole = reduce(DataFrame.unionByName, parts)
+        return keep(whole.withColumn(_HEADER, F.coalesce(_HEADER, F.lit(False))), "vendor_rows")
 
 
-def _tagged(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
-    turned_down = verdicts.where(F.col(REASON).isNotNull())
-    return rows.withColumn(REASON, F.lit(None).cast("string")).unionByName(turned_down, allowMissingColumns=True)
+def _first_with_rows(spark: SparkSession, heads: DataFrame) -> list[str]:
+    """The header of the first file by path that is used: one with a record below its header."""
+    with _all_charsets(spark):
+        for head in heads.where(F.col(REASON).isNull()).orderBy(PATH).toLocalIterator():
+            group = Row("encoding", "quoted", "header", "longest", "paths")(head.encoding, head.quoted, head.header, head.longest, [head[PATH]])
+            if len(_read_group(spark, group).limit(2).take(2)) > (0 if head.banner_empty else 1):
+                return head.header
+    raise ValueError("no readable statement file")
 
 
-def _first_header(heads: DataFrame, verdicts: DataFrame) -> list[str]:
-    """Columns of the first file by path that is used."""
-    used = heads.join(verdicts.where(F.col(REASON).isNull()).select(PATH), PATH, "left_semi")
-    first = used.agg(F.min_by("header", PATH).alias("header")).first().header
-    if first is None:
-        raise ValueError("no readable statement file")
-    return first
+def _used(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of the files that pass, and a row with the reason for each that does not."""
+    files = _turn_down(verdicts, F.col("error").isNotNull(), F.col("error"))
+    files = keep(_turn_down(files, F.coalesce("n", F.lit(0)) == 0, F.lit("no rows")).select(PATH, REASON), "verdicts")
+    good = rows.where(~F.col(_HEADER)).drop(_HEADER, _ERROR).join(files.where(F.col(REASON).isNull()).select(PATH), PATH, "left_semi")
+    turned_down = files.where(F.col(REASON).isNotNull())
+    return good.withColumn(REASON, F.lit(None).cast("string")).unionByName(turned_down, allowMissingColumns=True)
 
 
 def _number(cell: Column) -> Column:
@@ -169,7 +243,7 @@ def _bar_value(kind: T.DataType, cell: Column) -> tuple[Column, Column | None]:
         text = F.replace(F.trim(cell), F.lit("/"), F.lit("-"))
         day = F.when(text.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), text.try_cast("date"))
         return day, day.isNull()
-    return cell, None
+    return F.coalesce(cell, F.lit("")), None
 
 
 def _finance_value(field: T.StructField, cell: Column) -> Column:

@@ -1,44 +1,121 @@
-"""Derived bars as vendor CSV files, one per stock, to be read back by the import job."""
+"""Derived bars and statements as vendor CSV files, one per stock, to be read back by the import jobs.
+
+Spark writes a folder of lines per stock; its files are then renamed to the vendor's layout.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlemill.schemas import BAR_HEADERS, BAR_SCHEMA
+from candlemill.schemas import BAR_HEADERS, BAR_SCHEMA, FINANCE_HEADER_SUFFIX, FINANCE_TEXT
+from candlemill.sources.csv_files import FINANCE_ENDING
 from candlemill.sources.shared import new_folder
 
-BANNER = "daily bars"
+BANNER = "每日行情, daily bars"
+#: A stock's number within its code decides about its file; the same expression runs on both engines.
+STOCK_NUMBER = "cast(substr(stock_code, 6, 5) as integer)"
+#: Of every nine stocks, which has a file in GB2312, one with records of several lines, and one with its columns reversed.
+IN_GB2312, IN_LINES, REVERSED = 4, 5, 6
+CHINESE = "浦发・"
+#: Of every six stocks, what is wrong with its file; the others' files are right.
+DAMAGES = {1: "missing headers", 2: "cannot read", 3: "neither", 4: "no rows"}
 
 
-def write_bar_files(bars: DataFrame) -> str:
-    """Write each stock's bars as banner, header and rows; returns the folder.
+def _lines(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """(stock_code, line, at, text) of heads and rows together."""
+    return heads.select("stock_code", "line", F.lit(None).cast("string").alias("at"), "text").unionByName(rows)
+
+
+def _heads(table: DataFrame, header: Column, banner: str = BANNER) -> DataFrame:
+    stocks = table.select("stock_code").distinct()
+    lines = F.array(F.struct(F.lit(0).alias("line"), F.lit(banner).alias("text")), F.struct(F.lit(1).alias("line"), header.alias("text")))
+    return stocks.select("stock_code", F.explode(lines).alias("head")).select("stock_code", "head.line", "head.text")
+
+
+def _write(lines: DataFrame, in_gb2312: Column, name: str, target: str) -> str:
+    """One file per stock; `target` is its path with {code} for the stock. Returns the folder."""
+    spark = lines.sparkSession
+    folder, rough = new_folder(spark, name), new_folder(spark, f"{name}-rough")
+    charsets = "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(charsets)
+    spark.conf.set(charsets, "true")
+    try:
+        text = F.when(in_gb2312, F.encode("text", "GB2312").cast("string")).otherwise(F.col("text"))
+        dealt = lines.repartition("stock_code").sortWithinPartitions("stock_code", "line", "at")
+        dealt.select("stock_code", text.alias("value")).write.partitionBy("stock_code").text(rough)
+    finally:
+        spark.conf.set(charsets, before)
+    _rename(spark, rough, folder, target)
+    return folder
+
+
+def _rename(spark: SparkSession, rough: str, folder: str, target: str) -> None:
+    """The only file of each stock_code=... folder becomes the stock's vendor file."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = path(rough).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in store.globStatus(path(f"{rough}/stock_code=*/part-*")):
+        code = found.getPath().getParent().getName().split("=", 1)[1]
+        new = path(f"{folder}/{target.format(code=code)}")
+        store.mkdirs(new.getParent())
+        store.rename(found.getPath(), new)
+    store.delete(path(rough), True)
 
-    Columns the derived bars lack are empty; membership flags follow the volume.
-    """
+
+def _cells(bars: DataFrame) -> list[Column]:
+    """Cells in the order of the headers. Columns the derived bars lack are empty; membership flags follow the volume."""
+    number = F.expr(STOCK_NUMBER)
     cells = []
     for field in BAR_SCHEMA.fields:
         if field.name in bars.columns:
-            cells.append(F.coalesce(F.col(field.name).cast("string"), F.lit("")))
+            cell = F.coalesce(F.col(field.name).cast("string"), F.lit(""))
+            if field.name == "stock_name":
+                cell = F.when(number % 9 == IN_GB2312, F.concat(F.lit(CHINESE), cell)).otherwise(cell)
+            if field.name == "industry_level2":
+                quoted = F.concat(F.lit('"'), F.replace(cell, F.lit(" "), F.lit("\n")), F.lit('"'))
+                cell = F.when(number % 9 == IN_LINES, quoted).otherwise(cell)
+            cells.append(cell)
         elif field.name.endswith("_component"):
             cells.append(F.when(F.pmod("volume", F.lit(2.0)) == 0, "True").otherwise("False"))
         else:
             cells.append(F.lit(""))
-    rows = bars.select("stock_code", F.lit(2).alias("line"), "trade_date", F.concat_ws(",", *cells).alias("text"))
-    heads = bars.select("stock_code").distinct().select(
-        "stock_code",
-        F.explode(F.array(
-            F.struct(F.lit(0).alias("line"), F.lit(BANNER).alias("text")),
-            F.struct(F.lit(1).alias("line"), F.lit(",".join(BAR_HEADERS)).alias("text")),
-        )).alias("head"),
-    ).select("stock_code", "head.line", F.lit(None).cast("date").alias("trade_date"), "head.text")
-    folder = new_folder(bars.sparkSession, "bar-files")
-    (
-        heads.unionByName(rows)
-        .repartition("stock_code")
-        .sortWithinPartitions("stock_code", "line", "trade_date")
-        .select("stock_code", "text")
-        # A separator no line contains, so that lines are written as they are.
-        .write.partitionBy("stock_code").option("sep", "\u0001").option("emptyValue", "").csv(folder)
-    )
-    return folder
+    return cells
+
+
+def write_bar_files(bars: DataFrame) -> str:
+    """Each stock's bars as banner, header and rows, in both encodings, with records of several lines and other orders."""
+    number = F.expr(STOCK_NUMBER)
+    cells = _cells(bars)
+    text = F.when(number % 9 == REVERSED, F.concat_ws(",", *reversed(cells))).otherwise(F.concat_ws(",", *cells))
+    rows = bars.select("stock_code", F.lit(2).alias("line"), F.col("trade_date").cast("string").alias("at"), text.alias("text"))
+    names = list(BAR_HEADERS)
+    header = F.when(number % 9 == REVERSED, F.lit(",".join(reversed(names)))).otherwise(F.lit(",".join(names)))
+    return _write(_lines(rows, _heads(bars, header)), number % 9 == IN_GB2312, "bar-files", "{code}.csv")
+
+
+def write_damaged_bar_files(bars: DataFrame) -> str:
+    """As above in UTF-8, but for `DAMAGES`: a header without its last name, a row with a word for a price, a row with
+    bytes of neither encoding, no rows at all."""
+    number = F.expr(STOCK_NUMBER) % 6
+    names = list(BAR_HEADERS)
+    header = F.when(number == 1, F.lit(",".join(names[:-1]))).otherwise(F.lit(",".join(names)))
+    rows = bars.select("stock_code", F.lit(2).alias("line"), F.col("trade_date").cast("string").alias("at"), F.concat_ws(",", *_cells(bars)).alias("text"))
+    rows = rows.where(number != 4)
+    price = [("ten" if h == "收盘价" else "2020-01-02" if h == "交易日期" else "") for h in names]
+    more = F.when(number == 2, F.lit(",".join(price))).when(number == 3, F.unhex(F.lit("41FF2C42FF")).cast("string"))
+    last = bars.select("stock_code").distinct().select("stock_code", F.lit(3).alias("line"), F.lit(None).cast("string").alias("at"), more.alias("text"))
+    return _write(_lines(rows.unionByName(last.where("text is not null")), _heads(bars, header)), F.lit(False), "damaged-files", "{code}.csv")
+
+
+def write_statement_files(finance: DataFrame) -> str:
+    """Each stock's statements as `{code}/{code}_一般企业.csv`, every third file in UTF-8, every fifth with another order
+    of columns and one column more, which holds a word."""
+    number = F.expr(STOCK_NUMBER)
+    names = finance.columns
+    cell = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
+    headed = lambda order: ",".join(n if n in FINANCE_TEXT[:1] else f"{n}{FINANCE_HEADER_SUFFIX}" for n in order)
+    other = [*reversed(names)]
+    text = F.when(number % 5 == 0, F.concat_ws(",", *map(cell, other), F.lit("无"))).otherwise(F.concat_ws(",", *map(cell, names), F.lit("")))
+    rows = finance.select("stock_code", F.lit(2).alias("line"), F.col("report_date").alias("at"), text.alias("text"))
+    header = F.when(number % 5 == 0, F.lit(headed(other) + ",R_note@xbx")).otherwise(F.lit(headed(names) + ",抓取时间"))
+    return _write(_lines(rows, _heads(finance, header)), number % 3 != 0, "statement-files", "{code}/{code}" + FINANCE_ENDING)

@@ -19,7 +19,7 @@ from candlemill.plans.screen import run_stats
 from candlemill.schemas import TARGET_HEADERS
 from candlemill.sources.shared import keep
 from candlemill.sources.targets import read_targets
-from fixtures.files import write_bar_files
+from fixtures.files import write_bar_files, write_damaged_bar_files, write_statement_files
 
 SCREEN = ScreenParams(earliest=datetime(1996, 1, 1))
 TRADE = TradeParams()
@@ -112,6 +112,14 @@ class Market:
     def bar_files(self) -> str:
         return self._once("bar_files", lambda: write_bar_files(self.bars))
 
+    @property
+    def damaged_files(self) -> str:
+        return self._once("damaged_files", lambda: write_damaged_bar_files(self.bars))
+
+    @property
+    def statement_files(self) -> str:
+        return self._once("statement_files", lambda: write_statement_files(self.finance))
+
     def adjusted(self) -> DataFrame:
         return by_size(self.bars, find_hot(self.bars), adjusted_bars)
 

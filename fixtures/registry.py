@@ -15,20 +15,23 @@ from pyspark.sql import functions as F
 from candlemill.functions import amplitude, amplitude_limit, business_day_gap
 from candlemill.operators import finance as fin
 from candlemill.operators import lookups
+from candlemill.operators.keyed import number_rows
 from candlemill.operators.prices import distinct_bars, drilldown
 from candlemill.operators.report import REPORT_NAMES, pnl_report, position_ledger
 from candlemill.operators.screen import SIGNAL_COLUMNS, amplitude_ok, breakout_screen
 from candlemill.operators.support import find_dips
 from candlemill.operators.thinning import thin_signals
 from candlemill.operators.trades import apply_exit_rules, size_entries
+from candlemill.params import ScreenParams
 from candlemill.plans.evaluate import run_dips, run_support_windows, run_trades
 from candlemill.plans.screen import run_screen, run_signals
-from candlemill.sources.csv_files import accepted, read_bar_files
+from candlemill.sources.csv_files import PATH, REASON, accepted, read_bar_files, read_finance_files, rejected
 from candlemill.schemas import BAR_SCHEMA
 from candlemill.sources.shared import new_folder
-from candlemill.sources.sinks import display_report, display_signals, write_report, write_signals
+from candlemill.sources.sinks import display_report, display_signals, write_dips, write_report, write_signals
 from candlemill.sources.tables import append_statements, read_table, write_bars
 from candlemill.sources.targets import read_targets
+from fixtures.files import CHINESE, DAMAGES, IN_GB2312, IN_LINES, STOCK_NUMBER
 from fixtures.market import SCREEN, TRADE, Market, market
 from fixtures.oracle import sql
 
@@ -86,13 +89,34 @@ FLAGS = ("hs300_component", "gem_component")
 
 
 @register("bar_csv_ingest", sql(
-    f"select stock_code, stock_name, trade_date, {rounds(*RAW, 'turnover')}, volume, {INDUSTRY}, "
-    f"{', '.join(f'cast(cast(volume as bigint) % 2 = 0 as integer) {c}' for c in FLAGS)}, "
-    "cast(null as double) net_assets from bars", "bars"))
+    f"""select stock_code, case when {STOCK_NUMBER} % 9 = {IN_GB2312} then '{CHINESE}' || stock_name else stock_name end stock_name,
+               trade_date, {rounds(*RAW, 'turnover')}, volume, industry_level1,
+               case when {STOCK_NUMBER} % 9 = {IN_LINES} then replace(industry_level2, ' ', chr(10)) else industry_level2 end industry_level2,
+               industry_level3, {', '.join(f'cast(cast(volume as bigint) % 2 = 0 as integer) {c}' for c in FLAGS)},
+               cast(null as double) net_assets from bars""", "bars"))
 def _(m: Market) -> DataFrame:
     return _ingested(read_bar_files(m.spark, m.bar_files))
 
 
+@register("bar_csv_rejects", sql(
+    f"""select distinct stock_code, case {STOCK_NUMBER} % 6 {' '.join(f"when {k} then '{why}'" for k, why in DAMAGES.items())} end reason
+        from bars where {STOCK_NUMBER} % 6 in ({', '.join(map(str, DAMAGES))})
+        union all select 'rows of other files', cast(count(*) as varchar) from bars where {STOCK_NUMBER} % 6 not in ({', '.join(map(str, DAMAGES))})""", "bars"))
+def _(m: Market) -> DataFrame:
+    parsed = read_bar_files(m.spark, m.damaged_files)
+    kind = F.coalesce(*(F.when(F.contains(REASON, F.lit(why)), why) for why in DAMAGES.values()), F.col(REASON))
+    name = F.regexp_extract(PATH, r"([^/]+)\.csv$", 1)
+    kept = accepted(parsed).agg(F.lit("rows of other files").alias("stock_code"), F.count("*").cast("string").alias("reason"))
+    return rejected(parsed).select(name.alias("stock_code"), kind.alias("reason")).unionByName(kept)
+
+
+@register("finance_csv_ingest", sql(
+    "select stock_code, report_date, R_np, R_operating_total_revenue, B_total_assets, B_total_liab, B_total_owner_equity, "
+    "cast(null as varchar) 抓取时间 from fin", "fin"))
+def _(m: Market) -> DataFrame:
+    return accepted(read_finance_files(m.spark, m.statement_files))
+
+
 def _ingested(parsed: DataFrame) -> DataFrame:
     return accepted(parsed).select(
         "stock_code", "stock_name", "trade_date", *rounded(*RAW, "turnover"), "volume", *INDUSTRY.split(", "),
@@ -391,9 +415,9 @@ def _(m: Market) -> DataFrame:
 
 
 def _in_file_order(df: DataFrame) -> DataFrame:
-    """Rows with their place in a written result, file after file."""
+    """Rows with their place in a written result, file after file; ranges of rows are numbered side by side."""
     rows = df.withColumns({"_file": F.col("_metadata.file_name"), "_at": F.monotonically_increasing_id()})
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("_file", "_at"))).drop("_file", "_at")
+    return number_rows(rows, ["_file", "_at"], "place").drop("_file", "_at")
 
 
 @register("bar_table_round_trip", sql(
@@ -409,14 +433,15 @@ def _(m: Market) -> DataFrame:
 
 
 @register("statement_append", sql(
-    "select stock_code, report_date, round(R_np, 2) R_np, count(*) n, cast(null as double) R_extra from "
+    "select stock_code, report_date, cast(round(R_np * 10000) as bigint) np_units, count(*) n, cast(null as double) R_extra from "
     "(select * from fin union all select * from fin) group by 1, 2, 3", "fin"))
 def _(m: Market) -> DataFrame:
     path = new_folder(m.spark, "statements")
     append_statements(m.finance.withColumn("R_extra", F.lit(None).cast("double")), path)
     append_statements(m.finance.withColumn("R_new", F.lit(1.0)), path)
     back = read_table(m.spark, path)
-    by = back.groupBy("stock_code", "report_date", F.round("R_np", 2).alias("R_np"))
+    # Profits are whole ten-thousandths, of which a rounded hundredth may go either way.
+    by = back.groupBy("stock_code", "report_date", F.round(F.col("R_np") * 10000).cast("long").alias("np_units"))
     return by.agg(F.count("*").alias("n"), F.max("R_extra").alias("R_extra"))
 
 
@@ -444,3 +469,29 @@ def _(m: Market) -> DataFrame:
         "place", F.col(REPORT_NAMES["no"]).cast("long").alias("no"), F.col(REPORT_NAMES["stock_code"]).alias("stock_code"),
         F.round(F.col(REPORT_NAMES["profit"]).cast("double"), 2).alias("profit"),
     )
+
+
+DIP_TEXT = ("breakthrough_date", "dip_date", "support_date")
+
+
+@register("dips_export", f"select stock_code, stock_name, {', '.join(f'cast({c} as varchar) {c}' for c in DIP_TEXT)}, support_price "
+          f"from ({ORACLES['find_dips']})")
+def _(m: Market) -> DataFrame:
+    path = new_folder(m.spark, "dips")
+    write_dips(QUERIES["find_dips"](m.spark, m.folder), path)
+    return m.spark.read.option("header", True).csv(path).withColumn("support_price", F.col("support_price").cast("double"))
+
+
+SETTINGS = {
+    "earliest_time_limit": "1996-01-01 00:00:00", "cond1_and_cond3": "40_25_35", "cond2": "0.05", "apply_cond2_or_not": "yes",
+    "max_market_capitalization": "400", "min_market_capitalization": "40", "apply_cond5_or_not": "no", "use_cond_1_1_or_cond_1_2": "1.1",
+}
+BY_SETTINGS = """from (select sig.* from sig semi join (select * from scr where has_gain = 1 and float_cap between 40 and 400)
+                 using (stock_code, trade_date))"""
+
+
+@register("screen_from_settings", sql(
+    f"{PREVIOUS.replace('from sig', BY_SETTINGS)} select {', '.join(SIGNAL_COLUMNS)} from g "
+    "where not coalesce(gap = 1 and adj_close > close_before, false)", "sig"))
+def _(m: Market) -> DataFrame:
+    return run_screen(m.bars, m.finance, ScreenParams.from_settings(SETTINGS))

@@ -1,5 +1,6 @@
 """Shapes of the physical plans, and the complete jobs with every stock taken for a hot one."""
 
+import re
 from dataclasses import replace
 
 import pytest
@@ -14,7 +15,6 @@ from fixtures.market import SCREEN, TRADE
 from fixtures.registry import DRILL_CODE, DRILL_DAY, QUERIES
 
 PYTHON_QUERIES = {"apply_exit_rules", "position_ledger"}
-DECODING_QUERIES = {"bar_csv_ingest"}
 
 
 def plan(df):
@@ -25,13 +25,29 @@ def count(df, node):
     return plan(df).count(f"{node} ")
 
 
-def test_prices_take_one_exchange_and_one_sort(market):
+def test_prices_take_one_exchange(market):
     adjusted = adjusted_bars(market.bars)
     assert count(adjusted, "Exchange") == 1 and count(adjusted, "+- Sort") == 1
     stats = rolling_stats(adjusted, SCREEN, with_support_date=True)
-    assert count(stats, "Exchange") == 1 and count(stats, "+- Sort") == 1
+    assert count(stats, "Exchange") == 1 and count(stats, "FileScan") == 1
+    # One order forward, one backward.
+    assert count(stats, "+- Sort") == 2
     limited = support_window_bars(stats, SCREEN, TRADE)
-    assert count(limited, "Exchange") == 1 and count(limited, "FileScan") == 1
+    assert count(limited, "Exchange") == 1 and count(limited, "FileScan") == 1 and "collect_set" not in plan(limited)
+
+
+def test_rolling_frames_only_grow(market):
+    """A frame that slides over n rows is looked through anew for every row."""
+    text = plan(rolling_stats(adjusted_bars(market.bars), SCREEN, with_support_date=True))
+    frames = re.findall(r"specifiedwindowframe\(RowFrame, ([^,]+),", text)
+    assert frames and set(frames) == {"unboundedpreceding$()"}
+
+
+def test_screen_scans_statements_once(market):
+    text = plan(signals(breakout_screen(rolling_stats(adjusted_bars(market.bars), SCREEN), SCREEN), market.finance, SCREEN))
+    scans = [line for line in text.splitlines() if "FileScan" in line]
+    assert sum("R_np" in line for line in scans) == 1 and len(scans) == 2
+    assert text.count("Exchange hashpartitioning") <= 5 and "Join" not in text
 
 
 def test_only_used_columns_are_read(market):
@@ -57,7 +73,7 @@ def test_signals_read_bars_once(market):
 def test_no_all_pairs_and_no_needless_python(market, name):
     text = plan(QUERIES[name](market.spark, market.folder))
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
-    assert "BatchEvalPython" not in text and ("ArrowEvalPython" in text) == (name in DECODING_QUERIES)
+    assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
     assert ("MapInArrow" in text) == (name in PYTHON_QUERIES)
 
 
