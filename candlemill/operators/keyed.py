@@ -19,6 +19,8 @@ from candlemill.sources.shared import keep
 KEY = "stock_code"
 HOT_ROWS = 4_000_000
 SEGMENT_ROWS = 500_000
+#: Rows up to which a window function looks through a sliding frame.
+SLIDING_ROWS = 64
 _PART, _SEGMENT, _COPY = "_part", "_segment", "_copy"
 
 
@@ -94,13 +96,16 @@ def windowed(
 
 
 def highest_before(value: Column, number: str, bars: int, window: WindowSpec, backwards: WindowSpec) -> Column:
-    """The largest non-null `value` of the `bars` rows before each row, at the same cost per row whatever their number.
+    """The largest non-null `value` of the `bars` rows before each row.
 
-    Cut the rows into blocks of `bars`. Those before a row then make up the end of one block and the beginning of the
-    next. Frames that only grow hold both: among pairs (block, value) the largest has the latest block, so the largest
-    pair so far is the maximum from the beginning of the current block on, and backwards that to the end of a block.
-    A frame that slides would be looked through anew for every row.
+    A frame that slides is looked through anew for every row, which is the cheapest way for few rows. For more than
+    SLIDING_ROWS the cost per row is the same whatever their number: cut the rows into blocks of `bars`; those before a
+    row then make up the end of one block and the beginning of the next, and frames that only grow hold both. Among
+    pairs (block, value) the largest has the latest block, so the largest pair so far is the maximum from the beginning
+    of the current block on, and backwards, which takes a second sort, that to the end of a block.
     """
+    if bars <= SLIDING_ROWS:
+        return F.max(value).over(window.rowsBetween(-bars, -1))
     block = F.floor((F.col(number) - 1) / bars).cast("int")
     begun = F.max(F.struct(block.alias("block"), value.alias("value"))).over(window.rowsBetween(Window.unboundedPreceding, -1))
     ended = F.max(F.struct((-block).alias("block"), value.alias("value"))).over(backwards.rowsBetween(Window.unboundedPreceding, bars))

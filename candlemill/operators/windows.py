@@ -36,8 +36,8 @@ def rolling_stats(
 
     def build(rows: DataFrame, window: WindowSpec, backwards: WindowSpec) -> DataFrame:
         highest = lambda value: highest_before(value, "rn", n, window, backwards)
-        # Backwards, the row that ends the frame is the n-th before this one, or the stock's first.
-        first = F.last("adj_open").over(backwards.rowsBetween(Window.unboundedPreceding, n))
+        earliest = F.first("adj_open").over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        first = F.when(F.col("rn") > n, F.lag("adj_open", n).over(window)).otherwise(earliest)
         stats = {
             "max_close": highest(F.col("adj_close")),
             "max_high": highest(F.col("adj_high")),

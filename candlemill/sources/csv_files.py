@@ -45,14 +45,13 @@ def read_bar_files(spark: SparkSession, folder: str) -> DataFrame:
     missing = F.array_except(F.array(*map(F.lit, BAR_HEADERS)), "header")
     heads = keep(_turn_down(heads, F.size(missing) > 0, F.concat(F.lit("missing headers "), F.array_join(missing, ", "))), "files")
 
-    def convert(rows: DataFrame, header: list[str]) -> DataFrame:
-        cells = [F.col(f"c{_last_place(header, name)}") for name in BAR_HEADERS]
-        made = [_bar_value(f.dataType, cell) for f, cell in zip(BAR_SCHEMA.fields, cells, strict=True)]
-        bad = F.coalesce(*(F.when(wrong, F.concat(F.lit(f"{f.name}: cannot read "), F.coalesce(cell, F.lit("nothing")))) for f, cell, (_, wrong) in zip(BAR_SCHEMA.fields, cells, made, strict=True) if wrong is not None))
-        is_header = reduce(Column.__and__, (cell == name for cell, name in zip(cells, BAR_HEADERS, strict=True)))
-        return rows.select(PATH, is_header.alias(_HEADER), bad.alias(_ERROR), *(value.alias(f.name) for f, (value, _) in zip(BAR_SCHEMA.fields, made, strict=True)))
-
-    rows = _rows(spark, heads, convert, BAR_SCHEMA)
+    places = lambda header: [_last_place(header, name) for name in BAR_HEADERS]
+    raw = _records(spark, heads, BAR_SCHEMA.names, places, lambda header: ("股票代码", "交易日期"))
+    # Cells are converted in one projection and judged in the next, from what became of them.
+    values = raw.selectExpr("*", *(f"{_bar_value(f)} _{f.name}" for f in BAR_SCHEMA.fields))
+    judged = [_bar_fault(f) for f in BAR_SCHEMA.fields if isinstance(f.dataType, (T.DoubleType, T.DateType))]
+    made = values.selectExpr(PATH, _HEADER, f"coalesce({', '.join(judged)}) {_ERROR}", *(f"_{f.name} {f.name}" for f in BAR_SCHEMA.fields))
+    rows = _kept(made)
     # The header comes once, and not at all where the reader skipped it in place of an empty banner.
     counts = rows.groupBy(PATH).agg(
         F.count_if(~F.col(_HEADER)).alias("n"), F.count_if(_HEADER).alias("headers"), F.min(F.when(~F.col(_HEADER), F.col(_ERROR))).alias("error")
@@ -74,18 +73,18 @@ def read_finance_files(spark: SparkSession, folder: str, columns: Sequence[str]
     heads = keep(files.withColumn("header", F.split(F.trim("header_line"), ",", -1)), "files")
     clean = lambda header: [h.replace(FINANCE_HEADER_SUFFIX, "") for h in header]
 
-    def convert(rows: DataFrame, header: list[str]) -> DataFrame:
-        is_header = reduce(Column.__and__, (F.col(f"c{i}") == h for i, h in enumerate(header) if h), F.lit(True))
-        own = clean(header)
-        cells = [F.col(f"c{_last_place(own, f.name)}") if f.name in own else F.lit(None).cast("string") for f in schema.fields]
-        return rows.select(PATH, is_header.alias(_HEADER), F.lit(None).cast("string").alias(_ERROR), *(_finance_value(f, cell).alias(f.name) for f, cell in zip(schema.fields, cells, strict=True)))
-
     if columns:
         names = list(columns)
     else:
         names = clean(_first_with_rows(spark, heads))
     schema = finance_schema(names)
-    rows = _rows(spark, heads, convert, schema)
+
+    def places(header: list[str]) -> list[int | None]:
+        own = clean(header)
+        return [_last_place(own, name) if name in own else None for name in names]
+
+    raw = _records(spark, heads, names, places, lambda header: header)
+    rows = _kept(raw.selectExpr(PATH, _HEADER, f"cast(null as string) {_ERROR}", *(f"{_finance_value(f)} {_quoted(f.name)}" for f in schema.fields)))
     counts = rows.where(~F.col(_HEADER)).groupBy(PATH).agg(F.count("*").alias("n"), F.min(_ERROR).alias("error"))
     return _used(rows, heads.select(PATH, REASON).join(counts, PATH, "left"))
 
@@ -100,16 +99,22 @@ def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col(REASON).isNotNull()).select(PATH, REASON)
 
 
+#: What reading and converting needs: decoders of the JVM for GB2312, and plans of many columns that fall into parts the
+#: JVM compiles; it interprets methods of more than 8,000 bytes.
+_SETTINGS = {"spark.sql.legacy.javaCharsets": "true", "spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
 @contextmanager
-def _all_charsets(spark: SparkSession) -> Iterator[None]:
-    """Let the CSV reader take GB2312, for what runs inside."""
-    name = "spark.sql.legacy.javaCharsets"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
+def _reading(spark: SparkSession) -> Iterator[None]:
+    """Set what reading needs, for what runs inside."""
+    before = {name: spark.conf.get(name) for name in _SETTINGS}
+    for name, value in _SETTINGS.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def _literally(path: str) -> str:
@@ -148,7 +153,7 @@ def _facts(spark: SparkSession, where: str, encodings: Sequence[str], **options:
     doubtful = facts.where(~F.col("ascii") if encodings[0] == "gb2312" else ~F.col("utf8")).select(PATH).collect()
     suits = facts.select(PATH, F.lit(None).cast("boolean").alias("gb2312"), F.lit(None).cast("string").alias("_a"), F.lit(None).cast("string").alias("_b")).limit(0)
     if doubtful:
-        with _all_charsets(spark):
+        with _reading(spark):
             lines = spark.read.schema("text string").options(encoding="GB2312", sep="\u0001", quote="").csv([_literally(r[PATH]) for r in doubtful])
             found = _numbered(lines).groupBy(PATH).agg((~F.max(F.contains("text", F.lit(REPLACEMENT)))).alias("gb2312"), *_two_lines(F.col("text")))
             suits = keep(found.select(PATH, "gb2312", _nth(0).alias("_a"), _nth(1).alias("_b")), "facts")
@@ -197,20 +202,34 @@ def _read_group(spark: SparkSession, group: Row) -> DataFrame:
     return spark.read.schema(schema).options(**options).csv([_literally(p) for p in group.paths]).withColumn(PATH, F.col("_metadata.file_path"))
 
 
-def _rows(spark: SparkSession, heads: DataFrame, convert: Callable[[DataFrame, list[str]], DataFrame], schema: T.StructType) -> DataFrame:
-    """(source_path, whether it is the header, error, the columns of `schema`) of all records, written once."""
-    with _all_charsets(spark):
-        parts = [convert(_read_group(spark, group), group.header) for group in _groups(heads)]
-        if not parts:
-            own = T.StructType([T.StructField(PATH, T.StringType()), T.StructField(_HEADER, T.BooleanType()), T.StructField(_ERROR, T.StringType()), *schema.fields])
-            return spark.createDataFrame([], own)
-        whole = reduce(DataFrame.unionByName, parts)
-        return keep(whole.withColumn(_HEADER, F.coalesce(_HEADER, F.lit(False))), "vendor_rows")
+def _records(
+    spark: SparkSession, heads: DataFrame, names: Sequence[str],
+    places: Callable[[list[str]], list[int | None]], told_by: Callable[[list[str]], Sequence[str]],
+) -> DataFrame:
+    """(source_path, whether it is the header, the named columns as text) of the records of all good files.
+
+    `places` tells where a header has each of the columns; the header's own record has the names `told_by` in their places.
+    """
+    parts = []
+    with _reading(spark):
+        for group in _groups(heads):
+            own = [F.col(f"c{group.header.index(name)}") == name for name in told_by(group.header) if name]
+            told = F.coalesce(reduce(Column.__and__, own, F.lit(True)), F.lit(False))
+            cells = [f"{'cast(null as string)' if at is None else f'c{at}'} {_quoted(name)}" for name, at in zip(names, places(group.header), strict=True)]
+            parts.append(_read_group(spark, group).withColumn(_HEADER, told).selectExpr(PATH, _HEADER, *cells))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([T.StructField(PATH, T.StringType()), T.StructField(_HEADER, T.BooleanType()), *(T.StructField(n, T.StringType()) for n in names)]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    with _reading(rows.sparkSession):
+        return keep(rows, "vendor_rows")
 
 
 def _first_with_rows(spark: SparkSession, heads: DataFrame) -> list[str]:
     """The header of the first file by path that is used: one with a record below its header."""
-    with _all_charsets(spark):
+    with _reading(spark):
         for head in heads.where(F.col(REASON).isNull()).orderBy(PATH).toLocalIterator():
             group = Row("encoding", "quoted", "header", "longest", "paths")(head.encoding, head.quoted, head.header, head.longest, [head[PATH]])
             if len(_read_group(spark, group).limit(2).take(2)) > (0 if head.banner_empty else 1):
@@ -227,25 +246,37 @@ def _used(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
     return good.withColumn(REASON, F.lit(None).cast("string")).unionByName(turned_down, allowMissingColumns=True)
 
 
-def _number(cell: Column) -> Column:
-    """NULL where the cell is no number. A trailing d or f is no part of one."""
-    return F.when(~cell.rlike(r"[0-9.]\s*[dDfF]\s*$"), cell.try_cast("double"))
+# Expressions for hundreds of columns are SQL text: building them call by call takes the driver seconds.
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _number(cell: str) -> str:
+    """NULL where the cell is no number. A trailing d or f is no part of one, nor is an x inside."""
+    ends = rf"lower(right(rtrim({cell}), 1)) in ('d', 'f') and {cell} rlike r'[0-9.]\s*[dDfF]\s*$'"
+    return f"case when not ({ends}) and not contains(lower({cell}), 'x') then try_cast({cell} as double) end"
+
+
+def _bar_value(field: T.StructField) -> str:
+    cell = field.name
+    if isinstance(field.dataType, T.DoubleType):
+        return _number(cell)
+    if isinstance(field.dataType, T.IntegerType):
+        return f"cast(coalesce(lower({cell}) = 'true', false) as int)"
+    if isinstance(field.dataType, T.DateType):
+        text = f"replace(trim({cell}), '/', '-')"
+        return f"case when {text} rlike '^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}$' then try_cast({text} as date) end"
+    return f"coalesce({cell}, '')"
 
 
-def _bar_value(kind: T.DataType, cell: Column) -> tuple[Column, Column | None]:
-    """The value of a cell, and when it is wrong."""
-    if isinstance(kind, T.DoubleType):
-        number = _number(cell)
-        return number, (F.coalesce(cell, F.lit("")) != "") & number.isNull()
-    if isinstance(kind, T.IntegerType):
-        return F.coalesce(F.lower(cell) == "true", F.lit(False)).cast("int"), None
-    if isinstance(kind, T.DateType):
-        text = F.replace(F.trim(cell), F.lit("/"), F.lit("-"))
-        day = F.when(text.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), text.try_cast("date"))
-        return day, day.isNull()
-    return F.coalesce(cell, F.lit("")), None
+def _bar_fault(field: T.StructField) -> str:
+    """What is wrong with a number or date, from the cell and the value `_name` made of it; empty numbers are NULL."""
+    filled = f" and {field.name} <> ''" if isinstance(field.dataType, T.DoubleType) else ""
+    return f"case when _{field.name} is null{filled} then concat('{field.name}: cannot read ', coalesce({field.name}, 'nothing')) end"
 
 
-def _finance_value(field: T.StructField, cell: Column) -> Column:
-    filled = F.when(cell != "", cell)
+def _finance_value(field: T.StructField) -> str:
+    filled = f"nullif({_quoted(field.name)}, '')"
     return filled if field.name in FINANCE_TEXT else _number(filled)
