@@ -6,6 +6,9 @@ width in the first three coordinates, and only cells that touch are compared. A
 size, which are compared pair by pair: the products of the leading coordinates come first, and a pair of vectors goes on
 only while they and the norms of what is left can reach t. Tile pairs with boxes too far apart are left out.
 
+Turning and scaling rounds, so a pair within NEAR of t is not decided there: its given vectors are fetched by a join, and
+exact arithmetic compares their cosine with t.
+
 Equal vectors form a class first and are compared once. A tile pair returns how many links each vector has and a
 spanning forest of them, never the links themselves, so a group of thousands of copies gives thousands of rows.
 
@@ -15,6 +18,8 @@ neither, nor do those with a null vec_id, which are kept. vec_id is otherwise ta
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +31,8 @@ from candlemill.llm.scratch import Scratch, small_batches
 TILE_ROWS = 2048
 CELL_AXES = 3
 LEADING = (8, 24)
+#: How near to the threshold a rounded cosine leaves the decision to exact arithmetic.
+NEAR = 1e-9
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -33,21 +40,23 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, dim, unit): little-endian doubles of length 1; no unit for vectors that link with nothing."""
+    """(vec_id, dim, unit, given): little-endian doubles, scaled to length 1 and as they are; both null for vectors that
+    link with nothing."""
 
     def scale(batches):
         for batch in batches:
-            dims, units = [], []
+            dims, units, given = [], [], []
             for vec_id, value in zip(batch.column(0), batch.column(1), strict=True):
                 x = np.array([v if v is not None else np.nan for v in value.as_py()], "<f8") if value.is_valid else np.zeros(0)
                 top = np.abs(x).max() if len(x) else 0.0
                 good = bool(np.isfinite(top) and top > 0) and vec_id.is_valid
+                given.append(x.tobytes() if good else None)
                 x = x / top if good else x
                 units.append((x / np.sqrt((x * x).sum())).astype("<f8").tobytes() if good else None)
                 dims.append(len(x))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims, pa.int32()), pa.array(units, pa.binary())], ["vec_id", "dim", "unit"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims, pa.int32()), pa.array(units, pa.binary()), pa.array(given, pa.binary())], ["vec_id", "dim", "unit", "given"])
 
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(scale, "vec_id long, dim int, unit binary")
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(scale, "vec_id long, dim int, unit binary, given binary")
 
 
 def principal_axes(classes: DataFrame, dim: int) -> np.ndarray:
@@ -99,11 +108,11 @@ def _pack(key, table):
     )
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a and b, turned unit vectors, with a product of `least` or more."""
+def candidates(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a and b, turned unit vectors, whose product may be `least` or more, and the product as it was rounded."""
     dim = a.shape[1]
     steps = [d for d in LEADING if d < dim] + [dim]
-    slack = 1e-12
+    least = least - NEAR
     i = j = None
     done = 0
     value = np.zeros(0)
@@ -111,17 +120,44 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.
         rest_a, rest_b = np.sqrt(np.maximum(0, (a[:, d:] ** 2).sum(1))), np.sqrt(np.maximum(0, (b[:, d:] ** 2).sum(1)))
         if i is None:
             value = a[:, :d] @ b[:, :d].T
-            i, j = np.nonzero(value >= least - slack - rest_a[:, None] * rest_b[None, :])
+            i, j = np.nonzero(value >= least - rest_a[:, None] * rest_b[None, :])
             value = value[i, j]
         else:
             value = value + np.concatenate([np.einsum("ij,ij->i", a[i[s : s + 65536], done:d], b[j[s : s + 65536], done:d]) for s in range(0, len(i), 65536)] or [np.zeros(0)])
-            keep = value >= least - rest_a[i] * rest_b[j] - (slack if d < dim else 0)
+            keep = value >= least - rest_a[i] * rest_b[j]
             i, j, value = i[keep], j[keep], value[keep]
         done = d
-    if steps[0] == dim:
-        keep = value >= least
-        i, j = i[keep], j[keep]
-    return i, j
+    return i, j, value
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a and b, turned unit vectors, with a product of `least` or more, as it was rounded."""
+    i, j, value = candidates(a, b, least)
+    keep = value >= least
+    return i[keep], j[keep]
+
+
+def reaches(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether the cosine of two vectors is `least` or more, in exact arithmetic."""
+    x, y = ([Fraction(v) for v in vector.tolist()] for vector in (a, b))
+    dot = sum(p * q for p, q in zip(x, y, strict=True))
+    square = dot * dot - Fraction(least) ** 2 * sum(p * p for p in x) * sum(q * q for q in y)
+    return dot >= 0 and square >= 0 if least > 0 else dot >= 0 or square <= 0
+
+
+def _decide(least: float):
+    """(a, n_a, given_a, b, n_b, given_b) to the links of both, for pairs that reach `least`."""
+
+    def decide(batches):
+        for batch in batches:
+            out = []
+            for a, n_a, x, b, n_b, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if reaches(np.frombuffer(x, "<f8"), np.frombuffer(y, "<f8"), least):
+                    out += [(a, n_b, min(a, b)), (b, n_a, min(a, b))]
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "links", "root"])
+
+    return decide
 
 
 def forest(i: np.ndarray, j: np.ndarray, rows: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,10 +179,13 @@ def _compare(least: float):
                 ids, ns, xs = ([np.frombuffer(batch.column(c)[row].as_py(), kind) for c in (k, k + 3)] for k, kind in ((0, "<i8"), (1, "<i8"), (2, "<f8")))
                 a, b = (x.reshape(len(s), -1) for x, s in zip(xs, ids, strict=True))
                 same = batch.column(6)[row].as_py()
-                i, j = similar(a, b, least)
-                if same:
-                    apart = i != j
-                    i, j = i[apart], j[apart]
+                i, j, value = candidates(a, b, least)
+                apart = i != j if same else np.ones(len(i), bool)
+                near = apart & (value < least + NEAR)
+                first = near & (i < j) if same else near  # a pair within a tile comes twice
+                if first.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[0][i[first]]), pa.array(np.full(int(first.sum()), -1)), pa.array(ids[1][j[first]])], ["id", "links", "root"])
+                i, j = i[apart & ~near], j[apart & ~near]
                 if not len(i):
                     continue
                 left, right = forest(i, j, len(a), len(b))
@@ -168,8 +207,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     units = scratch.keep(unit_vectors(vectors), "units")
-    classes = scratch.keep(units.where("unit is not null").groupBy("dim", "unit").agg(F.min("vec_id").alias("cls"), F.count("*").alias("n")), "classes")
-    width = float(np.sqrt(2 - 2 * least)) + 1e-9
+    classes = scratch.keep(units.where("unit is not null").groupBy("dim", "unit").agg(F.min("vec_id").alias("cls"), F.count("*").alias("n"), F.min_by("given", "vec_id").alias("given")), "classes")
+    width = float(np.sqrt(2 - 2 * (least - NEAR))) + 1e-9
     found = None
     for (dim,) in sorted(classes.select("dim").distinct().collect()):
         own = classes.where(F.col("dim") == dim)
@@ -199,6 +238,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
         found = links if found is None else found.union(links)
     if found is None:
         return units.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    # Pairs next to the threshold have no links yet; they are few but for vectors made so.
+    own = [classes.select(F.col("cls").alias(k), F.col("n").alias(f"n_{k}"), F.col("given").alias(f"given_{k}")) for k in ("a", "b")]
+    near = found.where("links < 0").select(F.col("id").alias("a"), F.col("root").alias("b")).join(own[0], "a").join(own[1], "b")
+    decided = near.select("a", "n_a", "given_a", "b", "n_b", "given_b").repartition("a", "b").mapInArrow(_decide(least), "id long, links long, root long")
+    found = found.where("links > 0").unionByName(scratch.keep(decided, "links"))
     joined = components(scratch, found.select("id", "root"))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     facts = classes.join(counts, F.col("id") == F.col("cls"), "left").select("dim", "unit", "cls", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))

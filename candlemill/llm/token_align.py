@@ -182,7 +182,7 @@ class Aligner:
     """Aligned units of a task, by number."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
-        self.pair, self.most = Pair(path_a, path_b), MOST_UNITS
+        self.pair, self.most = Pair(path_a, path_b), MOST_UNITS // 2
         self._start()
 
     def _start(self) -> None:

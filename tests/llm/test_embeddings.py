@@ -1,6 +1,6 @@
 import numpy as np
 
-from candlemill.llm.embeddings import forest, near_duplicates, similar
+from candlemill.llm.embeddings import forest, near_duplicates, reaches, similar
 from tests.llm.brute import components
 
 SCHEMA = "vec_id long, embedding array<float>, label int, unit string, cls string"
@@ -48,3 +48,23 @@ def test_null_ids_link_with_nothing(spark):
     found = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.95).collect()
     assert sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in found if r.vec_id) == [(big, 1, big, True), (big + 2, 1, big, False)]
     assert [(r.n_links, r.component_id, r.kept) for r in found if r.vec_id is None] == [(0, None, True)] * 3
+
+
+def test_cosines_at_the_threshold(spark):
+    """Pairs of whole-number vectors whose cosine is 19/20 exactly, each pair in dimensions of its own."""
+    draw = np.random.default_rng(7)
+    a = np.array([5, 2, 3, 1, 0, 0])  # its square is 39, so that 19 k a + 39 c has the cosine, for c across a of length k
+    placed = []
+    for at in range(60):
+        p, q, k = ((3, 4, 5), (5, 12, 13), (8, 15, 17), (20, 21, 29), (0, 7, 7))[at % 5]
+        b = 19 * k * a + 39 * np.array([0, 0, 0, 0, p, q])
+        assert 400 * int(a @ b) ** 2 == 361 * 39 * int(b @ b)
+        for i, v in enumerate((a * int(draw.integers(1, 50)), b, 3 * b)):
+            x = np.zeros(360)
+            x[6 * at : 6 * at + 6] = v
+            placed.append((10 * at + i, x.tolist()))
+    found = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(spark.createDataFrame(placed, "vec_id long, embedding array<double>")).collect()}
+    assert found == {i: (2, i // 10 * 10) for i, _ in placed}
+    assert not reaches(np.array([1.0, 0.0]), np.array([0.95, np.sqrt(1 - 0.95**2) + 1e-12]), 0.95)
+    assert reaches(np.array([1.0, 0.0]), np.array([0.95, np.sqrt(1 - 0.95**2) - 1e-12]), 0.95)
+    assert not reaches(np.array([1.0, 0.0]), np.array([-1.0, 0.0]), 0.95)
