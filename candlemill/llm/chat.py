@@ -171,12 +171,14 @@ def repair_chats(turns: DataFrame) -> DataFrame:
     order = [F.col("conv_id"), F.col("turn").asc_nulls_last(), F.col("role"), F.xxhash64("text"), F.col("text")]
     rows = rows.repartitionByRange(*order[:4]).sortWithinPartitions(*order)
     rows = scratch.keep(rows.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("pos"), "conv_id", "turn", "role", code.alias("code"), "text"), "turns")
-    narrow = rows.select("part", "pos", "conv_id", "code").repartition("part").sortWithinPartitions("part", "pos")
+    # A number of partitions that is asked for stays, however little is in each.
+    tasks = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    narrow = rows.select("part", "pos", "conv_id", "code").repartition(tasks, "part").sortWithinPartitions("part", "pos")
     tables = narrow.mapInArrow(_tables, "part int, conv_id long, n long, ways array<long>")
     states = tables.groupBy("conv_id").agg(F.collect_list(F.struct("part", "n", "ways")).alias("tables"))
     states = scratch.keep(states.mapInArrow(_fix_states, "part int, conv_id long, enters int, leaves int, start long, last boolean"), "states")
     narrow = rows.select("part", "pos", "conv_id", "code").alias("r").join(states.alias("s"), (F.col("r.part") == F.col("s.part")) & F.col("r.conv_id").eqNullSafe(F.col("s.conv_id")))
-    narrow = narrow.select("r.part", "r.pos", "r.conv_id", "r.code", "s.enters", "s.leaves", "s.start", "s.last").repartition("part").sortWithinPartitions("part", "pos")
+    narrow = narrow.select("r.part", "r.pos", "r.conv_id", "r.code", "s.enters", "s.leaves", "s.start", "s.last").repartition(tasks, "part").sortWithinPartitions("part", "pos")
     decided = scratch.keep(narrow.mapInArrow(_decide, DECISION), "decided").drop("conv_id")
     shown = F.concat("head", F.replace(F.col("text"), F.lit("<|"), F.lit("< |")), "tail")
     return rows.join(decided, "pos").select("conv_id", "seq", "turn", "role", "new_role", "action", "inserted", "cost", shown.alias("rendered"))

@@ -14,7 +14,8 @@ Steps, each a Spark job over written tables:
 6. Components of the verified links.
 
 Null and empty texts have an empty set and no link. Texts of less than k words have one shingle. Repeated doc_ids count
-as one document with the first of their sets; a null doc_id is kept as a row that links with nothing.
+as one document with one of their sets; a row with a null doc_id takes the class and component of an equal set with a
+doc_id, and has none otherwise.
 """
 
 from __future__ import annotations
