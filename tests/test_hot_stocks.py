@@ -1,8 +1,12 @@
 """The split path must give what the usual one gives."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
+from candlemill.operators import keyed
+
 from candlemill.operators.keyed import by_size, find_hot, nearest, number_rows, with_nearest
 from candlemill.operators.prices import adjusted_bars
 from candlemill.operators.screen import breakout_screen, signals
@@ -70,6 +74,19 @@ def test_windows(market, segment_rows):
     assert rows(usual.select(*picked)) == rows(split.select(*picked))
 
 
+@pytest.mark.parametrize("bars", [1, 2, 7, 40, 400])
+def test_rolling_blocks_are_sliding_frames(market, monkeypatch, bars):
+    """Statistics from growing frames over blocks are those of a sliding frame, however many bars it looks back."""
+    adjusted = keep(market.adjusted(), "adjusted").withColumn("adj_low", F.when(F.hash("trade_date") % 3 != 0, F.col("adj_low")))
+    params = replace(SCREEN, history_bars=bars)
+    found = {}
+    for limit in (0, 10**6):
+        monkeypatch.setattr(keyed, "SLIDING_ROWS", limit)
+        names = ("stock_code", "trade_date", "rn", "has_gain", "max_close_date", "max_close", "max_high", "min_low", "first_open")
+        found[limit] = [rows(rolling_stats(adjusted, params, split, True, segment_rows=64).select(*names)) for split in (False, True)]
+    assert found[0][0] == found[0][1] == found[10**6][0] == found[10**6][1]
+
+
 def test_versions_of_a_date(spark):
     """Several versions of one date share their factor and are numbered in a fixed order on both paths."""
     from datetime import date, timedelta
