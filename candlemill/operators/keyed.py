@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from itertools import accumulate
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from candlemill.sources.shared import keep
 KEY = "stock_code"
 HOT_ROWS = 4_000_000
 SEGMENT_ROWS = 500_000
+#: Rows of an exchange by stock that a task gets on average, whatever the table's size.
+TASK_ROWS = 100_000
 #: Rows up to which a window function looks through a sliding frame.
 SLIDING_ROWS = 64
 _PART, _SEGMENT, _COPY = "_part", "_segment", "_copy"
@@ -30,6 +33,14 @@ def find_hot(df: DataFrame, limit: int = HOT_ROWS) -> DataFrame | None:
     return None if hot.isEmpty() else keep(hot, "hot_stocks")
 
 
+def tasks_for(df: DataFrame) -> int:
+    """Into how many parts an exchange deals the rows, so that what a task holds does not grow with the table.
+
+    Spark's own choice goes by compressed bytes, up to 64 MB of them a task: over half a gigabyte of sorted bars.
+    """
+    return max(df.sparkSession.sparkContext.defaultParallelism, ceil(df.count() / TASK_ROWS))
+
+
 def row_hash(df: DataFrame, *leaving_out: str) -> Column:
     """Hash of a row's other columns. Hashes pass over NULL, so which columns are NULL goes in as well."""
     names = [c for c in df.columns if c not in leaving_out]

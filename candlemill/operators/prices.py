@@ -35,13 +35,16 @@ def distinct_bars(bars: DataFrame, columns: Sequence[str] = BAR_COLUMNS) -> Data
     return dated_bars(bars, columns).distinct()
 
 
-def adjusted_bars(bars: DataFrame, split: bool = False, columns: Sequence[str] = BAR_COLUMNS) -> DataFrame:
+def adjusted_bars(
+    bars: DataFrame, split: bool = False, columns: Sequence[str] = BAR_COLUMNS, tasks: int | None = None
+) -> DataFrame:
     """Distinct bars with `version`, `factor`, the running product of close to previous close, and the adjusted prices.
 
-    Factors need a stock's whole history, so date filters belong after this operator.
+    Factors need a stock's whole history, so date filters belong after this operator. `tasks` is the number of parts the
+    bars are dealt into, Spark's own choice when not given.
     """
     rows = dated_bars(bars, columns)
-    factored = _factor_by_day(rows) if split else _factor_by_bar(rows)
+    factored = _factor_by_day(rows) if split else _factor_by_bar(rows, tasks)
     return _with_adjusted(factored)
 
 
@@ -65,12 +68,13 @@ def _as_factor(units: Column) -> Column:
     return F.exp(units / LOG_UNITS)
 
 
-def _factor_by_bar(bars: DataFrame) -> DataFrame:
+def _factor_by_bar(bars: DataFrame, tasks: int | None) -> DataFrame:
     """Copies and all windows of a stock on one exchange and one sort."""
+    dealt = bars.repartition(tasks, KEY) if tasks else bars.repartition(KEY)
     to_date = Window.partitionBy(KEY).orderBy("trade_date")
     last = F.max(F.struct(*BAR_ORDER, "close_price", "factor")).over(Window.partitionBy(KEY))
     factored = (
-        _versioned(bars.repartition(KEY).distinct())
+        _versioned(dealt.distinct())
         .sortWithinPartitions(KEY, *BAR_ORDER)
         .withColumn("factor", _as_factor(F.sum(_log_rise()).over(to_date)))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from candlemill.operators.keyed import HOT_ROWS, KEY, by_size, find_hot
+from candlemill.operators.keyed import HOT_ROWS, KEY, by_size, find_hot, tasks_for
 from candlemill.operators.prices import adjusted_bars
 from candlemill.operators.report import pnl_report, position_ledger
 from candlemill.operators.support import find_dips, number_bars, support_window_bars
@@ -19,9 +19,10 @@ def limited_bars(
 ) -> DataFrame:
     """Numbered support-window bars of the target stocks, written because both jobs look into them several times."""
     chosen = bars.join(targets.select(KEY).distinct(), KEY, "left_semi")
+    tasks = tasks_for(bars)
 
     def chain(rows: DataFrame, split: bool) -> DataFrame:
-        stats = rolling_stats(adjusted_bars(rows, split), params, split, with_support_date=True)
+        stats = rolling_stats(adjusted_bars(rows, split, tasks=tasks), params, split, with_support_date=True)
         return number_bars(support_window_bars(stats, params, trade, split), split)
 
     return keep(by_size(chosen, find_hot(chosen, hot_rows), chain), "limited")
@@ -31,9 +32,10 @@ def run_support_windows(
     bars: DataFrame, params: ScreenParams, trade: TradeParams, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Bars in the support windows of all signals."""
+    tasks = tasks_for(bars)
 
     def chain(rows: DataFrame, split: bool) -> DataFrame:
-        stats = rolling_stats(adjusted_bars(rows, split), params, split, with_support_date=True)
+        stats = rolling_stats(adjusted_bars(rows, split, tasks=tasks), params, split, with_support_date=True)
         return support_window_bars(stats, params, trade, split)
 
     return by_size(bars, find_hot(bars, hot_rows), chain)

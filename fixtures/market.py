@@ -10,14 +10,14 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlemill.operators.keyed import by_size, find_hot
+from candlemill.operators.keyed import by_size, find_hot, tasks_for
 from candlemill.operators.prices import adjusted_bars
 from candlemill.operators.screen import breakout_screen
 from candlemill.params import ScreenParams, TradeParams
 from candlemill.plans.evaluate import limited_bars
 from candlemill.plans.screen import run_stats
 from candlemill.schemas import TARGET_HEADERS
-from candlemill.sources.shared import keep
+from candlemill.sources.shared import dealt_into, keep
 from candlemill.sources.targets import read_targets
 from fixtures.files import write_bar_files, write_damaged_bar_files, write_statement_files
 
@@ -102,7 +102,13 @@ class Market:
 
     @property
     def bars(self) -> DataFrame:
-        return self._once("bars", lambda: keep(self._derive(BARS_SQL), "bars"))
+        return self._once("bars", self._bars)
+
+    def _bars(self) -> DataFrame:
+        # A stock's dates are sorted in the task that has them: parts of so many order lines.
+        lines = self.spark.read.parquet(f"{self.folder}/lineitem.parquet")
+        with dealt_into(self.spark, tasks_for(lines)):
+            return keep(self._derive(BARS_SQL), "bars")
 
     @property
     def finance(self) -> DataFrame:
@@ -121,7 +127,8 @@ class Market:
         return self._once("statement_files", lambda: write_statement_files(self.finance))
 
     def adjusted(self) -> DataFrame:
-        return by_size(self.bars, find_hot(self.bars), adjusted_bars)
+        tasks = tasks_for(self.bars)
+        return by_size(self.bars, find_hot(self.bars), lambda rows, split: adjusted_bars(rows, split, tasks=tasks))
 
     def stats(self, with_support_date: bool = False) -> DataFrame:
         return run_stats(self.bars, SCREEN, with_support_date)

@@ -5,13 +5,14 @@ from dataclasses import replace
 
 import pytest
 
+from candlemill.operators import keyed
 from candlemill.operators.prices import adjusted_bars, drilldown
 from candlemill.operators.screen import breakout_screen, signals
 from candlemill.operators.support import support_window_bars
 from candlemill.operators.windows import rolling_stats
-from candlemill.plans.evaluate import run_dips, run_trades
-from candlemill.plans.screen import run_screen
-from fixtures.market import SCREEN, TRADE
+from candlemill.plans.evaluate import run_dips, run_support_windows, run_trades
+from candlemill.plans.screen import run_screen, run_signals, run_stats
+from fixtures.market import SCREEN, TRADE, Market
 from fixtures.registry import DRILL_CODE, DRILL_DAY, QUERIES
 
 PYTHON_QUERIES = {"apply_exit_rules", "position_ledger"}
@@ -89,3 +90,18 @@ def test_jobs_with_hot_stocks_only(market):
     for job in (run_dips, run_trades):
         usual, split = (job(market.bars, market.targets, SCREEN, TRADE, n) for n in (10**9, 1))
         assert rows(usual) == rows(split)
+
+
+def test_what_a_task_holds_does_not_grow(market, monkeypatch):
+    """Tasks are counted by rows: more of them for more rows, and not put together again because the rows are narrow."""
+    plain = sorted(map(tuple, run_stats(market.bars, SCREEN).collect()), key=repr)
+    monkeypatch.setattr(keyed, "TASK_ROWS", 200)
+    tasks = keyed.tasks_for(market.bars)
+    assert tasks == -(-market.bars.count() // 200) > 8
+    for df in (run_stats(market.bars, SCREEN), run_signals(market.bars, market.finance, SCREEN), run_support_windows(market.bars, SCREEN, TRADE), market.adjusted()):
+        assert re.search(rf"hashpartitioning\(stock_code#\d+, {tasks}\)", plan(df))
+    assert sorted(map(tuple, run_stats(market.bars, SCREEN).collect()), key=repr) == plain
+    before = market.spark.conf.get("spark.sql.shuffle.partitions")
+    anew = Market(market.spark, market.folder).bars
+    assert len(anew.inputFiles()) > 8 and sorted(map(tuple, anew.collect()), key=repr) == sorted(map(tuple, market.bars.collect()), key=repr)
+    assert market.spark.conf.get("spark.sql.shuffle.partitions") == before
