@@ -6,6 +6,10 @@ width in the first three coordinates, and only cells that touch are compared. A
 size, which are compared pair by pair: the products of the leading coordinates come first, and a pair of vectors goes on
 only while they and the norms of what is left can reach t. Tile pairs with boxes too far apart are left out.
 
+Tiles do not travel once for every tile they are compared with. They are dealt into blocks, a task compares a pair of
+blocks, and a tile is copied to the block pairs that have a near one of it. Block pairs are taken in rounds, and a
+round's copies are removed before the next, so that the disk they take is a few times the vectors however many there are.
+
 Turning and scaling rounds, so a pair within NEAR of t is not decided there: its given vectors are fetched by a join, and
 exact arithmetic compares their cosine with t.
 
@@ -19,6 +23,7 @@ neither, nor do those with a null vec_id, which are kept. vec_id is otherwise ta
 from __future__ import annotations
 
 from fractions import Fraction
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlemill.llm.graph import components
-from candlemill.llm.scratch import Scratch, small_batches
+from candlemill.llm.scratch import Scratch, shuffles_removed, small_batches
 
 TILE_ROWS = 2048
 CELL_AXES = 3
 LEADING = (8, 24)
+#: Bytes of vectors in a block of tiles on average, and how many copies of all vectors a round may make.
+BLOCK_BYTES = 16 << 20
+ROUND_COPIES = 4
 #: How near to the threshold a rounded cosine leaves the decision to exact arithmetic.
 NEAR = 1e-9
 
@@ -172,32 +180,62 @@ def forest(i: np.ndarray, j: np.ndarray, rows: int, columns: int) -> tuple[np.nd
             return left, right
 
 
-def _compare(least: float):
-    def compare(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                ids, ns, xs = ([np.frombuffer(batch.column(c)[row].as_py(), kind) for c in (k, k + 3)] for k, kind in ((0, "<i8"), (1, "<i8"), (2, "<f8")))
-                a, b = (x.reshape(len(s), -1) for x, s in zip(xs, ids, strict=True))
-                same = batch.column(6)[row].as_py()
-                i, j, value = candidates(a, b, least)
-                apart = i != j if same else np.ones(len(i), bool)
-                near = apart & (value < least + NEAR)
-                first = near & (i < j) if same else near  # a pair within a tile comes twice
-                if first.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[0][i[first]]), pa.array(np.full(int(first.sum()), -1)), pa.array(ids[1][j[first]])], ["id", "links", "root"])
-                i, j = i[apart & ~near], j[apart & ~near]
-                if not len(i):
-                    continue
-                left, right = forest(i, j, len(a), len(b))
-                root = np.append(ids[0], -1)
-                links = np.bincount(i, weights=ns[1][j], minlength=len(a)).astype(np.int64)
-                has = np.flatnonzero(links)
-                out = [(ids[0][has], links[has], root[left[has]])]
-                if not same:
-                    links = np.bincount(j, weights=ns[0][i], minlength=len(b)).astype(np.int64)
-                    has = np.flatnonzero(links)
-                    out.append((ids[1][has], links[has], root[right[has]]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["id", "links", "root"])
+def blocks_and_rounds(size: int, cores: int) -> tuple[int, int]:
+    """Into how many blocks tiles of `size` bytes are dealt, with a few block pairs for every core at least, and in how
+    many rounds they are compared: of k blocks each goes to k block pairs, in a round to ROUND_COPIES of them."""
+    blocks = max(ceil(size / BLOCK_BYTES), ceil(sqrt(4 * cores)))
+    return blocks, ceil(blocks / ROUND_COPIES)
+
+
+def _tile_links(ids: list, ns: list, a: np.ndarray, b: np.ndarray, same: bool, least: float) -> tuple[list, list]:
+    """(id, links, root) columns of two tiles: pairs left to exact arithmetic, with -1 links, and links with their forest."""
+    i, j, value = candidates(a, b, least)
+    apart = i != j if same else np.ones(len(i), bool)
+    near = apart & (value < least + NEAR)
+    first = near & (i < j) if same else near  # a pair within a tile comes twice
+    undecided = [(ids[0][i[first]], np.full(int(first.sum()), -1), ids[1][j[first]])]
+    i, j = i[apart & ~near], j[apart & ~near]
+    if not len(i):
+        return undecided, []
+    # A tile with itself: without a link to itself a vector's row and its column may lie in two trees.
+    every = np.arange(len(a) if same else 0)
+    left, right = forest(np.append(i, every), np.append(j, every), len(a), len(b))
+    root = np.append(ids[0], -1)
+    links = np.bincount(i, weights=ns[1][j], minlength=len(a)).astype(np.int64)
+    has = np.flatnonzero(links)
+    out = [(ids[0][has], links[has], root[left[has]])]
+    if not same:
+        links = np.bincount(j, weights=ns[0][i], minlength=len(b)).astype(np.int64)
+        has = np.flatnonzero(links)
+        out.append((ids[1][has], links[has], root[right[has]]))
+    return undecided, out
+
+
+def _compare(least: float, width: float):
+    """All near tiles of a pair of blocks; a row per vector and root of its links."""
+    names = ["id", "links", "root"]
+
+    def table_of(parts):
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)] or [np.zeros(0, np.int64)] * 3
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names)
+
+    def compare(key, table):
+        one, two = (k.as_py() for k in key)
+        block = table.column("block").to_numpy()
+        ids, ns = ([np.frombuffer(v.as_py(), "<i8") for v in table.column(c)] for c in ("ids", "ns"))
+        xs = [np.frombuffer(v.as_py(), "<f8").reshape(len(i), -1) for v, i in zip(table.column("xs"), ids, strict=True)]
+        low, high = np.array([x.min(0) for x in xs]), np.array([x.max(0) for x in xs])
+        undecided, links = [], []
+        for a in np.flatnonzero(block == one):
+            others = np.flatnonzero(block == two)
+            others = others[others >= a] if one == two else others
+            gap = np.maximum(0, np.maximum(low[a] - high[others], low[others] - high[a]))
+            for b in others[(gap * gap).sum(1) <= width * width]:
+                more = _tile_links([ids[a], ids[b]], [ns[a], ns[b]], xs[a], xs[b], a == b, least)
+                undecided += more[0]
+                links += more[1]
+        added = table_of(links).group_by(["id", "root"]).aggregate([("links", "sum")]).rename_columns(["id", "root", "links"])
+        return pa.concat_tables([table_of(undecided), added.select(names)])
 
     return compare
 
@@ -218,6 +256,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
         dealt = turned.join(cells, "cell").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
         packed = dealt.groupBy("cell", "tile").applyInArrow(_pack, "cell array<int>, tile long, ids binary, ns binary, xs binary, low array<double>, high array<double>")
         tiles = scratch.keep(packed, "tiles")
+        scratch.drop(turned)
         # Neighbours of a cell, itself included; of a pair of tiles the smaller one looks for the other.
         boxes = tiles.select("cell", "tile", "low", "high")
         shifts = F.array(*[F.array(*[F.lit(v) for v in (x, y, z)]) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)])
@@ -227,15 +266,21 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
         gaps = F.zip_with(F.zip_with("a.low", "b.high", lambda x, y: x - y), F.zip_with("b.low", "a.high", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
         far = F.aggregate(gaps, F.lit(0.0), lambda total, g: total + g * g)
         pairs = one.join(two, (F.col("a.next") == F.col("b.cell")) & (name_a <= name_b)).where(far <= width * width)
-        pairs = pairs.select(name_a.alias("one"), name_b.alias("two"))
-        data = tiles.select(F.struct("cell", "tile").alias("name"), "ids", "ns", "xs")
-        first = pairs.join(data.select(F.col("name").alias("one"), F.col("ids").alias("ids_a"), F.col("ns").alias("ns_a"), F.col("xs").alias("xs_a")), "one")
-        both = first.join(data.select(F.col("name").alias("two"), F.col("ids").alias("ids_b"), F.col("ns").alias("ns_b"), F.col("xs").alias("xs_b")), "two")
-        work = both.select("ids_a", "ns_a", "xs_a", "ids_b", "ns_b", "xs_b", (F.col("one") == F.col("two")).alias("same"))
-        with small_batches(spark, 2):
-            links = scratch.keep(work.mapInArrow(_compare(least), "id long, links long, root long"), "links")
-        scratch.drop(turned, tiles)
-        found = links if found is None else found.union(links)
+        # A tile goes to the block pairs in which it has a near one, once to each.
+        blocks, rounds = blocks_and_rounds(own.count() * dim * 8, spark.sparkContext.defaultParallelism)
+        block_of = lambda side: F.pmod(F.xxhash64(f"{side}.cell", f"{side}.tile"), F.lit(blocks))
+        met = pairs.select(name_a.alias("a"), name_b.alias("b"), F.least(block_of("a"), block_of("b")).alias("one"), F.greatest(block_of("a"), block_of("b")).alias("two"))
+        ends = met.select(F.explode(F.array("a", "b")).alias("name"), "one", "two").distinct()
+        needed = scratch.keep(ends.withColumn("round", F.pmod(F.xxhash64("one", "two"), F.lit(rounds))), "needed")
+        data = tiles.select(F.struct("cell", "tile").alias("name"), F.pmod(F.xxhash64("cell", "tile"), F.lit(blocks)).alias("block"), "ids", "ns", "xs")
+        tasks = max(spark.sparkContext.defaultParallelism, ceil(blocks * (blocks + 1) / 2 / rounds))
+        for turn in range(rounds):
+            copies = needed.where(F.col("round") == turn).join(data, "name").select("one", "two", "block", "ids", "ns", "xs").repartition(tasks, "one", "two")
+            work = copies.groupBy("one", "two").applyInArrow(_compare(least, width), "id long, links long, root long")
+            with small_batches(spark, 8), shuffles_removed(spark):
+                links = scratch.keep(work, "links")
+            found = links if found is None else found.union(links)
+        scratch.drop(tiles, needed)
     if found is None:
         return units.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     # Pairs next to the threshold have no links yet; they are few but for vectors made so.

@@ -1,6 +1,7 @@
 import numpy as np
 
-from candlemill.llm.embeddings import forest, near_duplicates, reaches, similar
+from candlemill.llm import embeddings
+from candlemill.llm.embeddings import blocks_and_rounds, forest, near_duplicates, reaches, similar
 from tests.llm.brute import components
 
 SCHEMA = "vec_id long, embedding array<float>, label int, unit string, cls string"
@@ -68,3 +69,28 @@ def test_cosines_at_the_threshold(spark):
     assert not reaches(np.array([1.0, 0.0]), np.array([0.95, np.sqrt(1 - 0.95**2) + 1e-12]), 0.95)
     assert reaches(np.array([1.0, 0.0]), np.array([0.95, np.sqrt(1 - 0.95**2) - 1e-12]), 0.95)
     assert not reaches(np.array([1.0, 0.0]), np.array([-1.0, 0.0]), 0.95)
+
+
+def test_blocks_in_rounds(spark, monkeypatch):
+    """Many tiles in many blocks: every near pair of tiles meets in one round, as all pairs of vectors show."""
+    monkeypatch.setattr(embeddings, "TILE_ROWS", 8)
+    monkeypatch.setattr(embeddings, "BLOCK_BYTES", 2048)
+    monkeypatch.setattr(embeddings, "ROUND_COPIES", 5)
+    draw = np.random.default_rng(11)
+    centres = draw.normal(size=(5, 6))
+    rows = [(int(i), (centres[i % 5] + draw.normal(size=6) * draw.choice([0.1, 0.4])).tolist()) for i in draw.permutation(300)]
+    unit = {i: np.array(np.float32(v), float) / np.linalg.norm(np.float32(v).astype(float)) for i, v in rows}
+    linked = lambda a, b: float(unit[a] @ unit[b]) >= 0.95
+    low = components(unit, linked)
+    assert run(spark, rows) == {a: (sum(linked(a, b) for b in unit if b != a), low[a], low[a] == a) for a in unit}
+
+
+def test_copies_of_a_round_do_not_grow():
+    few, many = (blocks_and_rounds(n * 512, 12) for n in (50_000, 50_000_000))
+    assert few == (7, 2) and many[0] == 1526
+    assert all(blocks / rounds <= embeddings.ROUND_COPIES for blocks, rounds in (few, many))
+
+
+def test_a_pair_alone_in_its_tile(spark):
+    chain = [[1.0, 0.0, 0.0], [1.0, 0.3, 0.0], [1.0, 0.6, 0.0], [0.0, 0.0, 1.0], [0.0, 0.1, 1.0]]
+    assert run(spark, list(enumerate(chain))) == {0: (1, 0, True), 1: (2, 0, False), 2: (1, 0, False), 3: (1, 3, True), 4: (1, 3, False)}
