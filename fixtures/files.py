@@ -1,10 +1,17 @@
 """Derived bars and statements as vendor CSV files, one per stock, to be read back by the import jobs.
 
-Spark writes a folder of lines per stock; its files are then renamed to the vendor's layout.
+Tasks write the files of their stocks where Arrow knows the store. Elsewhere Spark writes a folder of lines per stock, and
+the driver renames its files to the vendor's layout, one after the other.
 """
 
 from __future__ import annotations
 
+from uuid import uuid4
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,20 +43,77 @@ def _heads(table: DataFrame, header: Column, banner: str = BANNER) -> DataFrame:
 def _write(lines: DataFrame, in_gb2312: Column, name: str, target: str) -> str:
     """One file per stock; `target` is its path with {code} for the stock. Returns the folder."""
     spark = lines.sparkSession
-    folder, rough = new_folder(spark, name), new_folder(spark, f"{name}-rough")
+    folder = new_folder(spark, name)
     charsets = "spark.sql.legacy.javaCharsets"
     before = spark.conf.get(charsets)
     spark.conf.set(charsets, "true")
     try:
-        text = F.when(in_gb2312, F.encode("text", "GB2312").cast("string")).otherwise(F.col("text"))
+        text = F.when(in_gb2312, F.encode("text", "GB2312")).otherwise(F.col("text").cast("binary"))
         dealt = lines.repartition("stock_code").sortWithinPartitions("stock_code", "line", "at")
-        dealt.select("stock_code", text.alias("value")).write.partitionBy("stock_code").text(rough)
+        dealt = dealt.select("stock_code", F.coalesce(text, F.lit(b"")).alias("text"))
+        where = _address(spark, folder)
+        if where:
+            _by_tasks(dealt, where, target)
+        else:
+            rough = new_folder(spark, f"{name}-rough")
+            dealt.select("stock_code", F.col("text").cast("string").alias("value")).write.partitionBy("stock_code").text(rough)
+            _rename(spark, rough, folder, target)
     finally:
         spark.conf.set(charsets, before)
-    _rename(spark, rough, folder, target)
     return folder
 
 
+def _address(spark: SparkSession, folder: str) -> str | None:
+    """The folder's full address where Arrow, and so a task, can write to its store."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    full = store.makeQualified(path).toUri()
+    if full.getScheme() == "file":
+        return f"file://{full.getPath()}"
+    try:
+        fs.FileSystem.from_uri(full.toString())
+    except (pa.ArrowException, OSError):
+        return None
+    return full.toString()
+
+
+def _by_tasks(lines: DataFrame, folder: str, target: str) -> None:
+    """Each task writes the files of its stocks, whose lines come in a row; a file has its name once it is whole."""
+
+    def write(batches):
+        store, root = (fs.LocalFileSystem(), folder.removeprefix("file://")) if folder.startswith("file://") else fs.FileSystem.from_uri(folder)
+        code = out = rough = None
+
+        def close() -> None:
+            out.close()
+            path = f"{root}/{target.format(code=code)}"
+            store.create_dir(path.rsplit("/", 1)[0])
+            store.move(rough, path)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes, text = batch.column(0), batch.column(1).cast(pa.large_binary())
+            ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+            data = text.buffers()[2]
+            first = np.flatnonzero(np.concatenate(([True], pc.not_equal(codes[1:], codes[:-1]).to_numpy(zero_copy_only=False))))
+            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(codes)], strict=True):
+                if codes[i].as_py() != code:
+                    if out:
+                        close()
+                    code, rough = codes[i].as_py(), f"{root}/_{uuid4().hex}"
+                    out = store.open_output_stream(rough)
+                out.write(data[ends[i] : ends[j]])
+        if out:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["done"])
+
+    # The folder of rows without a stock has the name that Spark's writers give it.
+    code = F.coalesce("stock_code", F.lit("__HIVE_DEFAULT_PARTITION__"))
+    lines.select(code.alias("code"), F.concat("text", F.lit(b"\n")).alias("text")).mapInArrow(write, "done string").collect()
+
+
 def _rename(spark: SparkSession, rough: str, folder: str, target: str) -> None:
     """The only file of each stock_code=... folder becomes the stock's vendor file."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path

@@ -243,3 +243,39 @@ def test_result_files(spark, market, tmp_path):
     write_report(queries()["pnl_report"](spark, folder), str(tmp_path / "report"))
     back = spark.read.option("header", True).csv(str(tmp_path / "report")).collect()
     assert len(back[0]) == 13 and [r["编号"] for r in back] == [str(i) for i in range(1, len(back))] + [None]
+
+
+def test_tasks_write_vendor_files(spark, monkeypatch):
+    """The driver renames nothing where tasks can write; the files are those of Spark's writer, byte for byte."""
+    from pathlib import Path
+
+    from fixtures import files
+
+    rows = [(f"sh{i % 7}" if i % 7 else None, 2, f"{i:04}", f"浦,{i}" if i % 3 else None) for i in range(500)] + [("sz1", 2, "1", '"two\nlines"')]
+    lines = spark.createDataFrame(rows, "stock_code string, line int, at string, text string").repartition(5)
+    written = []
+    for tasks in (True, False):
+        with monkeypatch.context() as patch:
+            if tasks:
+                patch.setattr(files, "_rename", lambda *_: pytest.fail("the driver renames files"))
+            else:
+                patch.setattr(files, "_address", lambda *_: None)
+            root = Path(files._write(lines, F.col("stock_code") == "sh3", "trial", "{code}/{code}.csv").removeprefix("file://"))
+        written.append({str(p.relative_to(root)): p.read_bytes() for p in root.rglob("*") if p.is_file() and not p.name.endswith(".crc")})
+    assert written[0] == written[1] and len(written[0]) == 8 and "浦,3".encode() not in written[0]["sh3/sh3.csv"]
+
+
+def test_statement_folders_are_no_pattern(spark, tmp_path, monkeypatch):
+    """Folders are listed by tasks, not as a pattern by the driver; only files one folder down are statements."""
+    for folder in (tmp_path, tmp_path / "deep"):
+        folder.mkdir(exist_ok=True)
+        finance_file(folder, "sh600001", "stock_code,R_np", "sh600001,1")
+    (tmp_path / f"{tmp_path.name}_一般企业.csv").write_bytes(b"banner\nstock_code,R_np\nsh9,2\n")
+    asked, text = [], type(spark.read).text
+    with monkeypatch.context() as patch:
+        patch.setattr(type(spark.read), "text", lambda self, path, *a, **k: asked.append(path) or text(self, path, *a, **k))
+        found = accepted(read_finance_files(spark, str(tmp_path))).collect()
+    assert [tuple(r) for r in found] == [("sh600001", 1.0)] and not any("*" in path for path in asked)
+    (tmp_path / "none").mkdir()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read_finance_files(spark, str(tmp_path / "none"), ["stock_code"])
