@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from candlemill.params import ScreenParams
 from candlemill.plans.load import load_bars, load_statements
 from candlemill.schemas import BAR_HEADERS, BAR_SCHEMA
-from candlemill.sources.csv_files import PATH, REASON, accepted, read_bar_files, read_finance_files, rejected
+from candlemill.sources.csv_files import PATH, REASON, _number, accepted, read_bar_files, read_finance_files, rejected
 from candlemill.sources.shared import keep, scratch, shared_folder
 from candlemill.sources.sinks import write_dips, write_report, write_signals
 from candlemill.sources.tables import fit_bars, read_table
@@ -279,3 +279,10 @@ def test_statement_folders_are_no_pattern(spark, tmp_path, monkeypatch):
     (tmp_path / "none").mkdir()
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         read_finance_files(spark, str(tmp_path / "none"), ["stock_code"])
+
+
+def test_numbers(spark):
+    """Letters that make a double of what is none, and words and signs that are one."""
+    cells = ["1.5", " 2 ", "1e3", "1d", "1.D ", "7F", "0x1p3", "0X1p3", "-3", "+4.", "Infinity", "NaN", "inf", "f", "1,5", "", None]
+    found = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string").selectExpr("i", f"cast({_number('c')} as string) v").orderBy("i").collect()
+    assert [r.v for r in found] == ["1.5", "2.0", "1000.0", None, None, None, None, None, "-3.0", "4.0", "Infinity", "NaN", "Infinity", None, None, None, None]
