@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from candlemill.schemas import BAR_HEADERS, BAR_SCHEMA, FINANCE_HEADER_SUFFIX, FINANCE_TEXT
 from candlemill.sources.csv_files import FINANCE_ENDING
-from candlemill.sources.shared import new_folder
+from candlemill.sources.shared import new_folder, shuffles_removed
 
 BANNER = "每日行情, daily bars"
 #: A stock's number within its code decides about its file; the same expression runs on both engines.
@@ -52,12 +52,13 @@ def _write(lines: DataFrame, in_gb2312: Column, name: str, target: str) -> str:
         dealt = lines.repartition("stock_code").sortWithinPartitions("stock_code", "line", "at")
         dealt = dealt.select("stock_code", F.coalesce(text, F.lit(b"")).alias("text"))
         where = _address(spark, folder)
-        if where:
-            _by_tasks(dealt, where, target)
-        else:
-            rough = new_folder(spark, f"{name}-rough")
-            dealt.select("stock_code", F.col("text").cast("string").alias("value")).write.partitionBy("stock_code").text(rough)
-            _rename(spark, rough, folder, target)
+        with shuffles_removed(spark):
+            if where:
+                _by_tasks(dealt, where, target)
+            else:
+                rough = new_folder(spark, f"{name}-rough")
+                dealt.select("stock_code", F.col("text").cast("string").alias("value")).write.partitionBy("stock_code").text(rough)
+                _rename(spark, rough, folder, target)
     finally:
         spark.conf.set(charsets, before)
     return folder

@@ -5,7 +5,10 @@ The two SQL texts run unchanged on Spark and on DuckDB. Spark writes each derive
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +20,9 @@ from candlemill.params import ScreenParams, TradeParams
 from candlemill.plans.evaluate import limited_bars
 from candlemill.plans.screen import run_stats
 from candlemill.schemas import TARGET_HEADERS
-from candlemill.sources.shared import dealt_into, keep
+from candlemill.sources.shared import dealt_into, keep, remove, shuffles_removed
 from candlemill.sources.targets import read_targets
-from fixtures.files import write_bar_files, write_damaged_bar_files, write_statement_files
+from fixtures.files import write_bar_files, write_statement_files
 
 SCREEN = ScreenParams(earliest=datetime(1996, 1, 1))
 TRADE = TradeParams()
@@ -79,6 +82,9 @@ select stock_code, report_date, R_np, R_operating_total_revenue, B_total_assets,
 from b where k%7 = 0 and q = 2
 """
 
+#: Bars whose vendor files lie on disk at a time, on average: about 270 bytes a bar.
+FILE_ROWS = 10_000_000
+
 SOURCE_TABLES = ("lineitem", "supplier", "nation", "region")
 
 
@@ -107,7 +113,7 @@ class Market:
     def _bars(self) -> DataFrame:
         # A stock's dates are sorted in the task that has them: parts of so many order lines.
         lines = self.spark.read.parquet(f"{self.folder}/lineitem.parquet")
-        with dealt_into(self.spark, tasks_for(lines)):
+        with dealt_into(self.spark, tasks_for(lines)), shuffles_removed(self.spark):
             return keep(self._derive(BARS_SQL), "bars")
 
     @property
@@ -118,9 +124,17 @@ class Market:
     def bar_files(self) -> str:
         return self._once("bar_files", lambda: write_bar_files(self.bars))
 
-    @property
-    def damaged_files(self) -> str:
-        return self._once("damaged_files", lambda: write_damaged_bar_files(self.bars))
+    def in_parts(self, write: Callable[[DataFrame], str], read: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+        """What `read` makes of the files that `write` makes of all bars, a part of the stocks at a time.
+
+        `read` keeps what it has read, so the files of a part go before those of the next are written.
+        """
+        parts, found = max(1, ceil(self.bars.count() / FILE_ROWS)), []
+        for part in range(parts):
+            folder = write(self.bars.where(F.pmod(F.xxhash64("stock_code"), F.lit(parts)) == part))
+            found.append(read(self.spark, folder))
+            remove(self.spark, [folder])
+        return reduce(DataFrame.unionByName, found)
 
     @property
     def statement_files(self) -> str:

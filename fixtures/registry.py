@@ -31,7 +31,7 @@ from candlemill.sources.shared import new_folder
 from candlemill.sources.sinks import display_report, display_signals, write_dips, write_report, write_signals
 from candlemill.sources.tables import append_statements, read_table, write_bars
 from candlemill.sources.targets import read_targets
-from fixtures.files import CHINESE, DAMAGES, IN_GB2312, IN_LINES, STOCK_NUMBER
+from fixtures.files import CHINESE, DAMAGES, IN_GB2312, IN_LINES, STOCK_NUMBER, write_bar_files, write_damaged_bar_files
 from fixtures.market import SCREEN, TRADE, Market, market
 from fixtures.oracle import sql
 
@@ -95,7 +95,7 @@ FLAGS = ("hs300_component", "gem_component")
                industry_level3, {', '.join(f'cast(cast(volume as bigint) % 2 = 0 as integer) {c}' for c in FLAGS)},
                cast(null as double) net_assets from bars""", "bars"))
 def _(m: Market) -> DataFrame:
-    return _ingested(read_bar_files(m.spark, m.bar_files))
+    return _ingested(m.in_parts(write_bar_files, read_bar_files))
 
 
 @register("bar_csv_rejects", sql(
@@ -103,7 +103,7 @@ def _(m: Market) -> DataFrame:
         from bars where {STOCK_NUMBER} % 6 in ({', '.join(map(str, DAMAGES))})
         union all select 'rows of other files', cast(count(*) as varchar) from bars where {STOCK_NUMBER} % 6 not in ({', '.join(map(str, DAMAGES))})""", "bars"))
 def _(m: Market) -> DataFrame:
-    parsed = read_bar_files(m.spark, m.damaged_files)
+    parsed = m.in_parts(write_damaged_bar_files, read_bar_files)
     kind = F.coalesce(*(F.when(F.contains(REASON, F.lit(why)), why) for why in DAMAGES.values()), F.col(REASON))
     name = F.regexp_extract(PATH, r"([^/]+)\.csv$", 1)
     kept = accepted(parsed).agg(F.lit("rows of other files").alias("stock_code"), F.count("*").cast("string").alias("reason"))

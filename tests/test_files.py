@@ -265,6 +265,39 @@ def test_tasks_write_vendor_files(spark, monkeypatch):
     assert written[0] == written[1] and len(written[0]) == 8 and "浦,3".encode() not in written[0]["sh3/sh3.csv"]
 
 
+@pytest.mark.parametrize("name", ["bar_csv_ingest", "bar_csv_rejects"])
+def test_vendor_files_of_a_part_at_a_time(spark, market, monkeypatch, name):
+    """The files of a part of the stocks lie on disk at a time, without shuffle files of theirs; all parts give what one gives."""
+    import os
+    from importlib import import_module
+    from pathlib import Path
+
+    from fixtures import registry
+
+    stocks = {r[0] for r in market.bars.select("stock_code").distinct().collect()}
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    read, found = registry.read_bar_files, []
+    for rows in (10**9, -(-market.bars.count() // 3)):
+        folders, files, before = [], [], set(disk.getAllFiles().mkString("\n").split("\n"))
+
+        def look(spark, folder, folders=folders, files=files, before=before):
+            assert not [f for f in folders if os.path.exists(f)]
+            folders.append(folder.removeprefix("file://"))
+            files.append({p.stem for p in Path(folders[-1]).glob("*.csv")})
+            shuffled = sum(os.path.getsize(f) for f in set(disk.getAllFiles().mkString("\n").split("\n")) - before)
+            assert shuffled < 0.02 * sum(p.stat().st_size for p in Path(folders[-1]).glob("*.csv"))
+            return read(spark, folder)
+
+        monkeypatch.setattr(import_module("fixtures.market"), "FILE_ROWS", rows, raising=False)
+        monkeypatch.setattr(registry, "read_bar_files", look)
+        result = registry.QUERIES[name](spark, market.folder)
+        assert not [f for f in folders if os.path.exists(f)]
+        found.append((files, sorted(map(str, result.collect()))))
+    (whole, one), (parts, joined) = found
+    assert whole == [stocks] and len(parts) == 3 and set().union(*parts) == stocks and sum(map(len, parts)) == len(stocks)
+    assert one == joined and len(one) > 1
+
+
 def test_statement_folders_are_no_pattern(spark, tmp_path, monkeypatch):
     """Folders are listed by tasks, not as a pattern by the driver; only files one folder down are statements."""
     for folder in (tmp_path, tmp_path / "deep"):
